@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from grainfold.llm import bpe, exact_dedup, line_dedup, packing, quality_rules, token_counts
+from grainfold.llm import bpe, exact_dedup, line_dedup, lm_scores, packing, quality_classifier, quality_rules, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1,
+        "op3_quality_classifier": quality_classifier.op3,
         "op4_quality_rules": quality_rules.op4,
+        "op5_lm_scores": lm_scores.op5,
         "op7_exact_dedup": exact_dedup.op7,
         "op8_line_dedup": line_dedup.op8,
         "op9_byte_bpe": bpe.op9,
