@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainfold.llm import bpe, exact_dedup, line_dedup, lm_scores, packing, quality_classifier, quality_rules, token_counts
+from grainfold.llm import bpe, exact_dedup, jaccard_join, line_dedup, lm_scores, packing, quality_classifier, quality_rules, token_counts
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_quality_classifier": quality_classifier.op3,
         "op4_quality_rules": quality_rules.op4,
         "op5_lm_scores": lm_scores.op5,
+        "op6_jaccard_join": jaccard_join.op6,
         "op7_exact_dedup": exact_dedup.op7,
         "op8_line_dedup": line_dedup.op8,
         "op9_byte_bpe": bpe.op9,
