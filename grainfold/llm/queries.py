@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from grainfold.llm import bpe, exact_dedup, jaccard_join, line_dedup, lm_scores, packing, quality_classifier, quality_rules, token_counts
+from grainfold.llm import bpe, exact_dedup, jaccard_join, line_dedup, lm_scores, packing, quality_classifier, quality_rules, span_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_best_fit_packing": packing.op1,
+        "op2_suffix_dedup": span_dedup.op2,
         "op3_quality_classifier": quality_classifier.op3,
         "op4_quality_rules": quality_rules.op4,
         "op5_lm_scores": lm_scores.op5,
