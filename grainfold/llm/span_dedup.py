@@ -51,34 +51,30 @@ class Block:
         self.text, self.ids = b"".join(texts), np.array(ids, np.int64)
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.sizes)
-        raw, span = np.frombuffer(self.text, np.uint8), width - gram + 1
+        raw = np.frombuffer(self.text, np.uint8)
         n = len(raw) - width + 1
         if n <= 0:
             self.start = self.stop = np.zeros(0, np.int64)
-            self.hash = np.zeros(0, np.uint64)
+            self.hash = self.bytes_hash = np.zeros(0, np.uint64)
             return
-        h = rolled(raw, gram)
-        key = (((h ^ (h >> np.uint64(31))) * M2) & ~PLACE) | np.arange(len(h), dtype=np.uint64)
-        least, have = key, 1
-        while have < span:
-            step = min(have, span - have)
-            least = np.minimum(least[:-step], least[step:])
-            have += step
-        anchor = (least & PLACE).astype(np.int64)[:n]
+        anchor, hashes, wide = anchors_of(raw, width, gram)
         inside = np.zeros(n + 1, np.int8)  # windows within one document
         long = self.sizes >= width
         np.add.at(inside, (self.ends - self.sizes)[long], 1)
         np.add.at(inside, np.minimum(self.ends[long] - width + 1, n), -1)
-        anchor = np.where(np.cumsum(inside[:-1]) > 0, anchor, -1)
-        doc_start = np.zeros(n, bool)
-        doc_start[(self.ends - self.sizes)[long]] = True
-        new = np.concatenate(([True], anchor[1:] != anchor[:-1])) | doc_start
+        anchor[np.cumsum(inside[:-1], dtype=np.int8) <= 0] = -1
+        new = np.empty(n, bool)
+        new[0] = True
+        np.not_equal(anchor[1:], anchor[:-1], out=new[1:])
+        new[(self.ends - self.sizes)[long]] = True
         start = np.flatnonzero(new)
         stop = np.append(start[1:], n)
         real = anchor[start] >= 0
         self.start, self.stop = start[real], stop[real]
-        at = h[anchor[self.start]]
+        at = hashes[self.start]
         self.hash = (at ^ (at >> np.uint64(29))) * M1
+        size = (self.stop - self.start).astype(np.uint64)
+        self.bytes_hash = ((wide[self.start] * M1) ^ (wide[self.stop - 1] >> np.uint64(7))) * M2 + size
 
     def docs(self) -> np.ndarray:
         return np.searchsorted(self.ends, self.start, "right")
@@ -86,47 +82,61 @@ class Block:
 
 def rolled(raw: np.ndarray, size: int) -> np.ndarray:
     """64-bit hashes of all strings of `size` bytes, by doubling."""
-    h, have = (raw.astype(np.uint64) + np.uint64(1)) * M2, 1
-    power = M1
-    bits = bin(size)[3:]
+    h, have, power = (raw.astype(np.uint64) + np.uint64(1)) * M2, 1, M1
     one = h
-    for bit in bits:
-        h = (h[:-have] * power) + h[have:] if have else h
-        h ^= h >> np.uint64(32)
-        power = power * M2 + np.uint64(2)
-        have *= 2
-        if bit == "1":
-            h = h[:-1] * power + one[have : have + len(h) - 1]
+    with np.errstate(over="ignore"):
+        for bit in bin(size)[3:]:
+            h = h[:-have] * power + h[have:]
             h ^= h >> np.uint64(32)
             power = power * M2 + np.uint64(2)
-            have += 1
+            have *= 2
+            if bit == "1":
+                h = h[:-1] * power + one[have:]
+                h ^= h >> np.uint64(32)
+                power = power * M2 + np.uint64(2)
+                have += 1
     return h
 
 
-def contexts(block: Block, codes: np.ndarray, keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Shared contexts: from, to, key (which shard), bytes. codes: by anchor in keys 0 alone, 1 shared, 2 shared by very many."""
-    code = codes[np.searchsorted(keys, block.hash)]
-    start, stop, key = (x[code == 1] for x in (block.start, block.stop, block.hash))
+def anchors_of(raw: np.ndarray, width: int, gram: int, chunk: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window: the place of its anchor, the anchor's hash, and the hash of the window. Chunk by chunk, within the cache."""
+    n, span = len(raw) - width + 1, width - gram + 1
+    anchor, hashes, wide = np.empty(n, np.int64), np.empty(n, np.uint64), np.empty(n, np.uint64)
+    for a in range(0, n, chunk):
+        b = min(a + chunk, n)
+        part = raw[a : b + width - 1]
+        h = rolled(part, gram)
+        least, have = (((h ^ (h >> np.uint64(31))) * M2) & ~PLACE) | np.arange(len(h), dtype=np.uint64), 1
+        while have < span:
+            step = min(have, span - have)
+            least = np.minimum(least[:-step], least[step:])
+            have += step
+        at = (least & PLACE).astype(np.int64)
+        anchor[a:b], hashes[a:b], wide[a:b] = at + a, h[at], rolled(part, width)
+    return anchor, hashes, wide
+
+
+def distinct(block: Block, codes: np.ndarray, keys: np.ndarray, width: int):
+    """The shared contexts (from, to, number of the distinct one), and of the distinct ones in order: key (which
+    shard), from, to, smallest doc_id. codes: by anchor in keys 0 alone, 1 shared, 2 shared by very many.
+    Two contexts of a block are equal if their anchors' and their bytes' 64-bit hashes are."""
+    code = codes[np.searchsorted(keys, block.hash)] if len(keys) else np.zeros(0, np.uint8)
+    start, stop, key, same = (x[code == 1] for x in (block.start, block.stop, block.hash, block.bytes_hash))
     hot = np.flatnonzero(code == 2)
     if len(hot):
         one = np.concatenate([np.arange(block.start[i], block.stop[i]) for i in hot])
         hashes = np.fromiter((xxhash.xxh64_intdigest(block.text[i : i + width]) for i in one.tolist()), np.uint64, len(one))
-        start, stop, key = np.concatenate([start, one]), np.concatenate([stop, one + 1]), np.concatenate([key, hashes])
-    return start, stop, key, [block.text[a : b + width - 1] for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
-
-
-def distinct(block: Block, codes: np.ndarray, keys: np.ndarray, width: int):
-    """The contexts with the number of their distinct (key, bytes), and those in order: keys, bytes, smallest doc_id."""
-    start, stop, key, texts = contexts(block, codes, keys, width)
+        start, stop, key, same = np.concatenate([start, one]), np.concatenate([stop, one + 1]), np.concatenate([key, hashes]), np.concatenate([same, hashes])
     owner = block.ids[np.searchsorted(block.ends, start, "right")]
-    least: dict[tuple[int, bytes], int] = {}
-    for k, t, d in zip(key.tolist(), texts, owner.tolist(), strict=True):
-        if least.get((k, t), LAST) >= d:
-            least[k, t] = d
-    order = sorted(least)
-    number = {k: i for i, k in enumerate(order)}
-    which = np.fromiter((number[k, t] for k, t in zip(key.tolist(), texts, strict=True)), np.int64, len(texts))
-    return start, stop, which, np.array([k for k, _ in order], np.uint64), [t for _, t in order], np.array([least[k] for k in order], np.int64)
+    order = np.lexsort((same, key))
+    if not len(order):
+        return start, stop, order, key, start, stop, owner
+    k, t = key[order], same[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (t[1:] != t[:-1])))
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return start, stop, which, k[first], start[order[first]], stop[order[first]], np.minimum.reduceat(owner[order], first)
 
 
 def smallest_owners(texts: list[bytes], docs: np.ndarray, width: int) -> list[np.ndarray]:
@@ -182,14 +192,51 @@ def unsqueeze(data: bytes) -> bytes:
     return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True) if data else b""
 
 
-def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot: int = HOT, piece_bytes: int = PIECE_BYTES, with_text: bool = False) -> DataFrame:
-    """RESULT by document; kept_text (a replacement character where a cut leaves half a character) only if with_text."""
+def sliced_keys(keys: np.ndarray, owners: np.ndarray, slices: int, block: int) -> list[tuple]:
+    """Sorted distinct keys of a block and how many owners each has there, dealt out by key."""
+    at = cuts(keys, slices)
+    return [(block, i, 0, planes(np.diff(keys[at[i] : at[i + 1]], prepend=np.uint64(0))), planes(np.minimum(owners[at[i] : at[i + 1]], 255)), None, None) for i in range(slices) if at[i + 1] > at[i]]
+
+
+def by_owners(hot: int):
+    """0 one owner, 1 several, 2 more than `hot`."""
+    return lambda owners: np.where(owners > hot, 2, np.where(owners > 1, 1, 0)).astype(np.uint8)
+
+
+def shared_keys(code_of):
+    """For a slice of all blocks: each key's code, by its number of owners, back to its blocks."""
+
+    def shared(group: pa.Table) -> pa.Table:
+        parts = [np.cumsum(unplanes(x), dtype=np.uint64) for x in group["a"].to_pylist()]
+        n = np.concatenate([unplanes(x) for x in group["b"].to_pylist()]).astype(np.int64)
+        every = np.concatenate(parts)
+        order = np.argsort(every)
+        first = np.flatnonzero(np.concatenate(([True], every[order[1:]] != every[order[:-1]])))
+        sums = np.empty(len(every), np.int64)
+        sums[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(every))))
+        code = code_of(sums)
+        back = np.split(code, np.cumsum([len(p) for p in parts])[:-1])
+        return packed([(b, s, 0, squeeze(c.tobytes()), None, None, None) for b, s, c in zip(group["block"].to_pylist(), group["slice"].to_pylist(), back, strict=True)])
+
+    return shared
+
+
+def returned_codes(found: list[dict]) -> np.ndarray:
+    rows = sorted((r["slice"], r["a"]) for r in found if r["kind"] == 0)
+    return np.frombuffer(b"".join(unsqueeze(a) for _, a in rows), np.uint8)
+
+
+def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, gram: int = GRAM, block_bytes: int = BLOCK_BYTES, hot: int = HOT, piece_bytes: int = PIECE_BYTES, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """RESULT by document; kept_text (without what a cut leaves of a character) only if with_text; then the columns in carry."""
     ship_package(docs.sparkSession)
     text = docs[text_col].cast("string")
     total = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     blocks = slices = max(1, -(-total // block_bytes))
     dealt = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text.alias("text")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    number = lambda group: group["block"][0].as_py()
+    riding = {c: f"carried_{i}" for i, c in enumerate(carry)}
+    whole = docs.select(docs[id_col].cast("bigint").alias("doc_id"), text.alias("text"), *(docs[c].alias(a) for c, a in riding.items())).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    wide = RESULT + "".join(f", {riding[c]} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    block_of = lambda group: group["block"][0].as_py()
 
     def anchors(group: pa.Table) -> pa.Table:
         block = Block(group, width, gram)
@@ -200,34 +247,21 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         other = new | np.concatenate(([True], d[1:] != d[:-1])) if len(h) else new
         keys = h[new]
         n = np.add.reduceat(other.astype(np.int64), np.flatnonzero(new)) if len(h) else np.zeros(0, np.int64)
-        at, b = cuts(keys, slices), number(group)
-        return packed([(b, i, 0, planes(np.diff(keys[at[i] : at[i + 1]], prepend=np.uint64(0))), planes(np.minimum(n[at[i] : at[i + 1]], 255)), None, None) for i in range(slices) if at[i + 1] > at[i]])
-
-    def shared(group: pa.Table) -> pa.Table:
-        parts = [np.cumsum(unplanes(x), dtype=np.uint64) for x in group["a"].to_pylist()]
-        n = np.concatenate([unplanes(x) for x in group["b"].to_pylist()]).astype(np.int64)
-        every = np.concatenate(parts)
-        order = np.argsort(every)
-        first = np.flatnonzero(np.concatenate(([True], every[order[1:]] != every[order[:-1]])))
-        sums = np.empty(len(every), np.int64)
-        sums[order] = np.repeat(np.add.reduceat(n[order], first), np.diff(np.append(first, len(every))))
-        code = np.where(sums > hot, 2, np.where(sums > 1, 1, 0)).astype(np.uint8)
-        back = np.split(code, np.cumsum([len(p) for p in parts])[:-1])
-        return packed([(b, s, 0, squeeze(c.tobytes()), None, None, None) for b, s, c in zip(group["block"].to_pylist(), group["slice"].to_pylist(), back, strict=True)])
+        return packed(sliced_keys(keys, n, slices, block_of(group)))
 
     def codes(block: Block, found: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        rows = sorted((r["slice"], r["a"]) for r in found if r["kind"] == 0)
-        return np.frombuffer(b"".join(unsqueeze(a) for _, a in rows), np.uint8), np.unique(block.hash)
+        return returned_codes(found), np.unique(block.hash)
 
     def explode(group: pa.Table, found: pa.Table) -> pa.Table:
         block = Block(group, width, gram)
-        _, _, _, keys, texts, least = distinct(block, *codes(block, found.to_pylist()), width)
-        at, b, rows = cuts(keys, slices), number(group) if group.num_rows else 0, []
+        _, _, _, keys, begin, end, least = distinct(block, *codes(block, found.to_pylist()), width)
+        size = (end - begin + width - 1).astype(np.uint64)
+        texts = [block.text[a : b + width - 1] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        at, b, rows = cuts(keys, slices), block_of(group) if group.num_rows else 0, []
         for i in range(slices):
             low, high = int(at[i]), int(at[i + 1])
             if high > low:
-                size = np.array([len(t) for t in texts[low:high]], np.uint64)
-                rows.append((b, i, 1, planes(np.diff(keys[low:high], prepend=np.uint64(0))), planes(size), planes(least[low:high]), squeeze(b"".join(texts[low:high]))))
+                rows.append((b, i, 1, planes(np.diff(keys[low:high], prepend=np.uint64(0))), planes(size[low:high]), planes(least[low:high]), squeeze(b"".join(texts[low:high]))))
         return packed(rows)
 
     def shard(group: pa.Table) -> pa.Table:
@@ -239,13 +273,26 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             data, ends = unsqueeze(r["d"]), np.cumsum(size)
             texts += [data[e - k : e] for e, k in zip(ends.tolist(), size.tolist(), strict=True)]
         docs_ = np.concatenate([unplanes(r["c"]).astype(np.int64) for r in rows])
-        every, size = np.concatenate(keys), np.concatenate(sizes)
-        order = np.argsort(every, kind="stable")
-        out: list[np.ndarray] = [None] * len(texts)
-        for piece in shard_pieces(every[order], size[order], piece_bytes):
+        every = np.concatenate(keys)
+        number: dict[tuple[int, bytes], int] = {}  # equal contexts of several blocks are one
+        which = np.fromiter((number.setdefault(x, len(number)) for x in zip(every.tolist(), texts, strict=True)), np.int64, len(texts))
+        least = np.full(len(number), LAST)
+        np.minimum.at(least, which, docs_)
+        key, single = np.array([k for k, _ in number], np.uint64), [t for _, t in number]
+        size = np.array([len(t) for t in single], np.int64)
+        result: list[np.ndarray] = [None] * len(single)
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        differs = np.concatenate(([True], k[1:] != k[:-1], [True]))
+        alone = differs[1:] & differs[:-1]
+        for i in order[alone].tolist():  # nothing else has this anchor: all its windows are its own
+            result[i] = np.full(size[i] - width + 1, least[i])
+        order = order[~alone]
+        for piece in shard_pieces(key[order], size[order], piece_bytes) if len(order) else []:
             chosen = order[piece].tolist()
-            for i, w in zip(chosen, smallest_owners([texts[i] for i in chosen], docs_[chosen], width), strict=True):
-                out[i] = w
+            for i, w in zip(chosen, smallest_owners([single[i] for i in chosen], least[chosen], width), strict=True):
+                result[i] = w
+        out = [result[i] for i in which.tolist()]
         back, at = [], 0
         for r, k in zip(rows, keys, strict=True):
             back.append((r["block"], r["slice"], 1, squeeze(planes(np.concatenate(out[at : at + len(k)]))), None, None, None))
@@ -254,10 +301,10 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def mark(group: pa.Table, found: pa.Table) -> pa.Table:
         block, found_rows = Block(group, width, gram), found.to_pylist()
-        start, stop, which, _, texts, _ = distinct(block, *codes(block, found_rows), width)
+        start, stop, which, _, begin, end, _ = distinct(block, *codes(block, found_rows), width)
         rows = sorted((r["slice"], r["a"]) for r in found_rows if r["kind"] == 1)
         least = np.concatenate([*(unplanes(unsqueeze(a)).astype(np.int64) for _, a in rows), np.zeros(0, np.int64)])
-        size = np.array([len(t) - width + 1 for t in texts], np.int64)
+        size = end - begin
         first = np.cumsum(size) - size
         gone = np.zeros(len(block.text) + 1, bool)
         runs = stop - start
@@ -275,14 +322,16 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table({
             "doc_id": block.given, "n_bytes": pa.array(block.sizes), "n_removed": pa.array(total_[high] - total_[low]), "n_spans": pa.array(spans[high] - spans[low]),
             "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-            "kept_text": pa.array([k.decode("utf-8", "replace") if with_text else None for k in kept], pa.string()),
+            "kept_text": pa.array([k.decode("utf-8", "ignore") if with_text else None for k in kept], pa.string()),
+            **{a: group[a] for a in riding.values()},
         })
 
     by_block = dealt.groupBy("block")
-    known = stash(by_block.applyInArrow(anchors, PACKED).groupBy("slice").applyInArrow(shared, PACKED), "shared_anchors")
+    known = stash(by_block.applyInArrow(anchors, PACKED).groupBy("slice").applyInArrow(shared_keys(by_owners(hot)), PACKED), "shared_anchors")
     owners = by_block.cogroup(known.groupBy("block")).applyInArrow(explode, PACKED).groupBy("slice").applyInArrow(shard, PACKED)
     found = stash(known.unionByName(owners), "window_owners")
-    return by_block.cogroup(found.groupBy("block")).applyInArrow(mark, RESULT)
+    marked = whole.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(mark, wide)
+    return marked.withColumnsRenamed({a: c for c, a in riding.items()})
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
