@@ -1,20 +1,21 @@
 """Links between documents with similar sets of word n-grams, by prefix filters under several global orders.
 
 Two sets with a Jaccard similarity of t or more share an element among the first n - ceil(t n) + 1 of each,
-under any one order of all elements. Here there are three orders. All put frequent n-grams last, by classes
-of a frequency sketch over the whole corpus (a fixed number of cells, so its size has a bound; any classes
-give right results, good ones give few candidates), and differ in the order within a class. A document
-stays a candidate only while it shares a prefix element under every order, and a pair is verified only if it
-shares one under every order: the filters are intersected. Verification is exact on the whole sets.
+under any one order of all elements. Here there are three orders. All put rare n-grams first, by how many
+sets of the whole corpus have them (in classes that double), and differ in the order within a class. A document
+is a candidate only if its prefixes hold n-grams of other sets, and a pair is verified only if it shares a prefix
+element under every order: the filters are intersected. Under the first order, what follows the first shared
+element must also be long enough for a link. Verification is exact on the whole sets.
 
 What is asked for are the components of the links, so that not every pair has to be met. Equal sets are one
-set from the start. All sets of one posting list are compared with its smallest document first; lists whose
-sets are then in one component are done, and in the others only pairs from different components are
+set from the start. All sets of one posting list are compared with one of them first, in a few rounds;
+lists whose sets are then in one component are done, and in the others only pairs from different components are
 compared. Every pair that can be linked is thus either verified or already connected.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing; a text of fewer
-words than n has its whole sequence as one element; rows with one doc_id are one document; a null
-doc_id only shares the component of equal sets. N-grams are 64-bit hashes, sets 128-bit hashes.
+words than n has its whole sequence as one element; rows with one doc_id and
+different texts are linked each by its own text; a null doc_id shares its component's number. N-grams and
+sets are known by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.llm.common import documents, map_texts, stash, utf8
+from grainfold.llm.common import documents, ship_package, stash, utf8
 from grainfold.llm.components import components
 from grainfold.llm.lm_scores import HASHES
+from grainfold.llm.span_dedup import PACKED, packed, returned_codes, shared_keys, sliced_keys
 
-WORDS, PERCENT = 5, 75
-CELLS, SLICES = 1 << 18, 64
+WORDS, PERCENT, ROUNDS = 5, 75, 3
+BLOCK_BYTES = 8_000_000
 SEEDS = tuple(np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 STEP = np.uint64(0x2545F4914F6CDD1D)
 
@@ -49,64 +51,29 @@ def shingles(text: bytes | None, n: int = WORDS) -> np.ndarray:
     return np.unique(rolled)
 
 
-def cell(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(46)).astype(np.int64)
+def frequency_class(owners: np.ndarray) -> np.ndarray:
+    """0 for one set, then one more for each doubling."""
+    return np.floor(np.log2(owners)).astype(np.uint8)
 
 
-def sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """How many sets have an element in each of CELLS cells: SLICES rows from each task, added up by slice."""
-
-    def count(batches):
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for text in utf8(batch["text"]):
-                np.add.at(total, cell(shingles(text, n)), 1)
-        parts = [pa.compress(p.astype("<i8").tobytes(), codec="zstd", asbytes=True) for p in np.split(total, SLICES)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["slice", "counts"])
-
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(pa.decompress(x, decompressed_size=8 * CELLS // SLICES, codec="zstd", asbytes=True), "<i8") for x in group["counts"].to_pylist())
-        return pa.table({"slice": group["slice"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "slice int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).orderBy("slice").collect()
-    return np.concatenate([np.frombuffer(r["counts"], "<i8") for r in rows]) if rows else np.zeros(CELLS, np.int64)
-
-
-def classes(counts: np.ndarray) -> np.ndarray:
-    """0 for cells about as full as the median or emptier, then one more for each doubling."""
-    return np.floor(np.log2(np.maximum(counts / (2 * np.median(counts) + 8), 1))).astype(np.uint8)
-
-
-def prefix(tokens: np.ndarray, seed: np.uint64, order: np.ndarray, percent: int) -> np.ndarray:
+def prefix(tokens: np.ndarray, classes: np.ndarray, seed: np.uint64, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first elements of a set under an order that other sets have too, and their places; equal keys stay together."""
     size = len(tokens)
     p = size - -(-percent * size // 100) + 1
-    if p >= size:
-        return tokens
-    key = (order[cell(tokens)].astype(np.uint64) << np.uint64(56)) | ((tokens * seed) >> np.uint64(8))
-    return tokens[key <= np.partition(key, p - 1)[p - 1]]
-
+    key = (classes.astype(np.uint64) << np.uint64(56)) | ((tokens * seed) >> np.uint64(8))
+    chosen = np.flatnonzero(key <= np.partition(key, p - 1)[p - 1])
+    chosen = chosen[np.argsort(key[chosen], kind="stable")]
+    places = np.flatnonzero(classes[chosen] > 0)
+    return tokens[chosen[places]], places.astype(np.int32)
 
-SETS = "doc_id bigint, n_shingles bigint, set_id binary, prefix array<bigint>"
-FULL = "doc_id bigint, n bigint, tokens binary, p1 binary, p2 binary"
 
-
-def longs(values: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum([len(v) for v in values])))
-    flat = np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-
-
-def sharing(tokens: DataFrame) -> DataFrame:
-    """The (token, doc...) rows whose token other documents have too."""
-    shared = tokens.groupBy("token").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).where("x != y").select("token")
-    return tokens.join(shared.hint("merge"), "token", "left_semi")
+ROWS = "doc_id bigint, n_shingles bigint, set_id bigint, tokens binary, p0 binary, p1 binary, p2 binary, places binary"
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are links."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"), F.col("p1").alias("pa1"), F.col("p2").alias("pa2"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"), F.col("p1").alias("pb1"), F.col("p2").alias("pb2"))
+    left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta"), F.col("p1").alias("pa1"), F.col("p2").alias("pa2"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"), F.col("p1").alias("pb1"), F.col("p2").alias("pb2"))
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb", "pa1", "pb1", "pa2", "pb2")
 
     def meet(x: bytes, y: bytes) -> int:
@@ -130,67 +97,101 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
+def candidates(docs: DataFrame, n: int, percent: int, block_bytes: int) -> DataFrame:
+    """ROWS of every document; tokens and prefixes only where a prefix holds an element that other sets have too.
+
+    Blocks of documents explode into their distinct n-grams; these are dealt out by value, and each block gets
+    back the class of each by how many sets have it. N-grams of a single set come first under every order, so a
+    prefix has a shared element exactly if enough of the whole set is shared.
+    """
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks = slices = max(1, -(-total // block_bytes))
+    by_block = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).groupBy("block")
+
+    def sets_of(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+        made = [shingles(t, n) for t in utf8(group["text"].combine_chunks())]
+        return made, np.array([xxhash.xxh3_64_intdigest(m.tobytes()) for m in made], np.uint64)
+
+    def explode(group: pa.Table) -> pa.Table:
+        made, ids = sets_of(group)
+        _, first = np.unique(ids, return_index=True)
+        keys, owners = np.unique(np.concatenate([made[i] for i in first]), return_counts=True)
+        return packed(sliced_keys(keys, owners, slices, group["block"][0].as_py()))
+
+    def choose(group: pa.Table, found: pa.Table) -> pa.Table:
+        made, ids = sets_of(group)
+        every, codes = np.unique(np.concatenate(made)), returned_codes(found.to_pylist())
+        seen: set[int] = set()
+        columns: list[list] = [[], [], [], [], []]
+        for i, m in enumerate(made):
+            classes = codes[np.searchsorted(every, m)] if len(m) else np.zeros(0, np.uint8)
+            parts: list = [None] * 5
+            if len(m) and 100 * np.count_nonzero(classes) >= percent * len(m) and int(ids[i]) not in seen:
+                seen.add(int(ids[i]))
+                (p0, places), (p1, _), (p2, _) = (prefix(m, classes, seed, percent) for seed in SEEDS)
+                parts = [x.tobytes() for x in (m, p0, np.sort(p1), np.sort(p2), places)]
+            for c, p in zip(columns, parts, strict=True):
+                c.append(p)
+        return pa.table({"doc_id": group["doc_id"], "n_shingles": pa.array([len(m) for m in made], pa.int64()), "set_id": pa.array(ids.view(np.int64)), **{k: pa.array(c, pa.binary()) for k, c in zip(("tokens", "p0", "p1", "p2", "places"), columns, strict=True)}})
+
+    codes = by_block.applyInArrow(explode, PACKED).groupBy("slice").applyInArrow(shared_keys(frequency_class), PACKED)
+    return by_block.cogroup(codes.groupBy("block")).applyInArrow(choose, ROWS)
+
+
+def unpack(rows: DataFrame) -> DataFrame:
+    """(token, doc, n, rest) of the shared prefix elements under the first order; rest: the elements from this one on."""
+
+    def run(batches):
+        for batch in batches:
+            values = [np.frombuffer(x, np.uint64) for x in batch["p0"].to_pylist()]
+            sizes = [len(v) for v in values]
+            token = np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)
+            doc, n = (np.repeat(batch[c].to_numpy(), sizes) for c in ("set_id", "n_shingles"))
+            at = np.concatenate([*(np.frombuffer(x, np.int32) for x in batch["places"].to_pylist()), np.zeros(0, np.int32)])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (token, doc, n, n - at)], ["token", "doc", "n", "rest"])
+
+    return rows.select("set_id", "n_shingles", "p0", "places").mapInArrow(run, "token bigint, doc bigint, n bigint, rest bigint")
+
+
 def fits(a: str, b: str, percent: int) -> str:
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
+    """Whether two sets can be a link by their sizes and, if this is the first element they share, by what follows it."""
+    n, m, r, q = f"{a}n", f"{b}n", f"{a}rest", f"{b}rest"
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND {100 + percent} * least({r}, {q}) >= {percent} * ({n} + {m})"
 
 
-def links(docs: DataFrame, sets: DataFrame, order: np.ndarray, n: int, percent: int) -> DataFrame:
+def links(rows: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different sets, enough to connect whatever all links connect."""
-    first = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    chosen = sets.join(first.hint("merge"), ["set_id", "doc_id"], "left_semi").dropDuplicates(["set_id"])
-    tokens = chosen.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"))
-    postings = stash(sharing(tokens), "postings")
-
-    def full(batch):
-        made = [shingles(t, n) for t in utf8(batch["text"])]
-        parts = [[p.tobytes() for p in ps] for ps in ([m for m in made], [prefix(m, SEEDS[1], order, percent) for m in made], [prefix(m, SEEDS[2], order, percent) for m in made])]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(m) for m in made], pa.int64()), *(pa.array(p, pa.binary()) for p in parts)], ["doc_id", "n", "tokens", "p1", "p2"])
-
-    some = docs.join(postings.select(F.col("doc").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
-    found = stash(map_texts(some, "doc_id", "text", lambda: full, FULL).dropDuplicates(["doc_id"]), "candidate_sets")
-
-    def unpack(column: str) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                values = [np.frombuffer(x, np.uint64) for x in batch[column].to_pylist()]
-                doc = np.repeat(batch["doc_id"].to_numpy(), [len(v) for v in values])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values).view(np.int64)), pa.array(doc)], ["token", "doc"])
-
-        return found.select("doc_id", column).mapInArrow(run, "token bigint, doc bigint")
-
-    for column in ("p1", "p2"):  # only who shares a prefix element under every order
-        postings = postings.join(sharing(unpack(column)).select("doc").distinct().hint("merge"), "doc", "left_semi")
-    postings = stash(postings, "postings")
-
-    hubs = postings.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("hub"))
-    pairs = postings.join(hubs.hint("merge"), "token").where(f"doc != hub.doc AND {fits('n', 'hub.n', percent)}")
-    near = stash(verify(pairs.select(F.col("doc").alias("a"), F.col("hub.doc").alias("b")).distinct(), found, percent), "links")
-
-    labelled = postings.join(components(near).withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    open_ = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("doc").alias("hub")).where("x != y").select("token", "hub")
-    rest = stash(labelled.join(open_.hint("merge"), "token").where("doc != hub").drop("hub"), "open_postings")  # pairs with the hub are verified
-    x, y = (rest.select("token", F.col("doc").alias(d), F.col("n").alias(m), F.col("component").alias(c)) for d, m, c in (("a", "na", "ca"), ("b", "nb", "cb")))
-    more = x.join(y.hint("merge"), "token").where(f"a < b AND ca != cb AND {fits('na', 'nb', percent)}").select("a", "b").distinct()
+    rows = rows.where("tokens IS NOT NULL")
+    found = rows.select("set_id", "tokens", "p1", "p2").dropDuplicates(["set_id"])
+    postings = stash(unpack(rows).distinct(), "postings")  # a set of several blocks comes from each
+    near = None
+    open_ = postings.withColumn("component", F.col("doc"))
+    for seed in range(ROUNDS):  # every set of a list with one of them, another one each time
+        by_seed = F.struct(F.xxhash64("doc", F.lit(seed)).alias("h"), "doc", "n", "rest", "component")
+        hubs = open_.groupBy("token").agg(F.min(by_seed).alias("hub"))
+        pairs = open_.join(hubs.hint("merge"), "token").where(f"component != hub.component AND {fits('', 'hub.', percent)}")
+        met = stash(verify(pairs.select(F.greatest("doc", "hub.doc").alias("a"), F.least("doc", "hub.doc").alias("b")).distinct(), found, percent), "links")
+        near = stash(near.unionByName(met), "links") if near else met
+        labelled = open_.drop("component").join(components(near).withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        several = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
+        open_ = stash(labelled.join(several.hint("merge"), "token", "left_semi"), "open_postings")
+    x, y = (open_.select("token", *[F.col(c).alias(side + c) for c in ("doc", "n", "rest", "component")]) for side in ("a_", "b_"))
+    more = x.join(y.hint("merge"), "token").where(f"a_doc < b_doc AND a_component != b_component AND {fits('a_', 'b_', percent)}").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct()
     return near.unionByName(stash(verify(more, found, percent), "links"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
+    ship_package(docs.sparkSession)
     docs = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    order = classes(sketch(docs, n))
-
-    def work(batch):
-        made = [shingles(t, n) for t in utf8(batch["text"])]
-        ids = [xxhash.xxh3_128_digest(m.tobytes()) for m in made]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(m) for m in made], pa.int64()), pa.array(ids, pa.binary()), longs([prefix(m, SEEDS[0], order, percent) for m in made])], ["doc_id", "n_shingles", "set_id", "prefix"])
-
-    sets = stash(map_texts(docs, "doc_id", "text", lambda: work, SETS), "sets")
-    joined = components(links(docs, sets, order, n, percent))
-    small = sets.select("doc_id", "n_shingles", "set_id")
-    heads = small.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("head"))
-    heads = heads.join(joined.withColumnRenamed("node", "head").hint("merge"), "head", "left").select("set_id", F.coalesce("component", "head").alias("component"))
-    out = small.join(heads.hint("merge"), "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = stash(candidates(docs, n, percent, block_bytes), "sets")
+    joined = components(links(rows, percent)).withColumnRenamed("node", "set_id")
+    small = rows.select("doc_id", "n_shingles", "set_id").where("n_shingles > 0")
+    grouped = small.groupBy("set_id").agg(F.min("doc_id").alias("head")).join(joined.hint("merge"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
+    heads = grouped.groupBy("component").agg(F.min("head").alias("component_id"))
+    heads = grouped.join(heads.hint("merge"), "component").select("set_id", "component_id")
+    out = small.join(heads.hint("merge"), "set_id").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
