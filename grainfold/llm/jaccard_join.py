@@ -23,7 +23,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainfold.llm.common import documents, ship_package, stash, utf8
@@ -31,7 +31,7 @@ from grainfold.llm.components import components
 from grainfold.llm.lm_scores import HASHES
 from grainfold.llm.span_dedup import PACKED, packed, returned_codes, shared_keys, sliced_keys
 
-WORDS, PERCENT, ROUNDS = 5, 75, 3
+WORDS, PERCENT, ROUNDS = 5, 75, 4
 BLOCK_BYTES = 8_000_000
 SEEDS = tuple(np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 STEP = np.uint64(0x2545F4914F6CDD1D)
@@ -167,7 +167,8 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
     near = None
     open_ = postings.withColumn("component", F.col("doc"))
     for seed in range(ROUNDS):  # every set of a list with one of them, another one each time
-        by_seed = F.struct(F.xxhash64("doc", F.lit(seed)).alias("h"), "doc", "n", "rest", "component")
+        central = F.expr("16 * (n - rest) DIV n")  # few rarer elements of its own: close to most others
+        by_seed = F.struct(central.alias("c"), F.xxhash64("doc", F.lit(seed)).alias("h"), "doc", "n", "rest", "component")
         hubs = open_.groupBy("token").agg(F.min(by_seed).alias("hub"))
         pairs = open_.join(hubs.hint("merge"), "token").where(f"component != hub.component AND {fits('', 'hub.', percent)}")
         met = stash(verify(pairs.select(F.greatest("doc", "hub.doc").alias("a"), F.least("doc", "hub.doc").alias("b")).distinct(), found, percent), "links")
@@ -175,8 +176,11 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
         labelled = open_.drop("component").join(components(near).withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         several = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
         open_ = stash(labelled.join(several.hint("merge"), "token", "left_semi"), "open_postings")
-    x, y = (open_.select("token", *[F.col(c).alias(side + c) for c in ("doc", "n", "rest", "component")]) for side in ("a_", "b_"))
-    more = x.join(y.hint("merge"), "token").where(f"a_doc < b_doc AND a_component != b_component AND {fits('a_', 'b_', percent)}").select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct()
+    left = Window.partitionBy("doc").orderBy(F.desc("rest"), "token").rowsBetween(Window.unboundedPreceding, -1)
+    open_ = open_.withColumn("before", F.collect_list("token").over(left))  # a prefix at most, so that a pair is met at its first element only
+    x, y = (open_.select("token", *[F.col(c).alias(side + c) for c in ("doc", "n", "rest", "component", "before")]) for side in ("a_", "b_"))
+    more = x.join(y.hint("merge"), "token").where(f"a_doc < b_doc AND a_component != b_component AND {fits('a_', 'b_', percent)} AND NOT arrays_overlap(a_before, b_before)")
+    more = more.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct()
     return near.unionByName(stash(verify(more, found, percent), "links"))
 
 
