@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from grainfold.llm.common import documents, map_texts, ship_package
 
-LABELLED, POOL, ROUNDS, EXCHANGED = 12_000, 5_000, 3, 400
+LABELLED, POOL, ROUNDS, EXCHANGED = 9_000, 3_000, 3, 400
 DIMS, FEATURES, LEAST_Z = 1 << 18, 1_000, 8.0
 KEPT_WORDS = 300_000
 META = ("lang", "source", "n_chars")
@@ -218,7 +218,8 @@ def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> tupl
         words, x = views(batch)
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], pa.array([w.tobytes() for w in words], pa.binary()), pa.array([m.tobytes() for m in x], pa.binary())], ["doc_id", "y", "words", "meta"])
 
-    rows = map_texts(picked, "doc_id", "text", lambda: work, "doc_id bigint, y int, words binary, meta binary", ("y", *META)).orderBy(*by_hash("order")).collect()
+    rows = map_texts(picked, "doc_id", "text", lambda: work, "doc_id bigint, y int, words binary, meta binary", ("y", *META)).collect()
+    rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r["doc_id"])))  # the same order whatever the tasks' order was
     return [np.frombuffer(r["words"], np.int32) for r in rows], np.array([np.frombuffer(r["meta"]) for r in rows]), np.array([r["y"] for r in rows])
 
 
