@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from grainfold.llm.common import documents, map_texts
 
 #: Pieces remembered with their tokens, longest remembered piece, and states, for each worker.
-PIECES, PIECE_BYTES, STATES = 600_000, 64, 200_000
+PIECES, PIECE_BYTES, STATES = 900_000, 64, 400_000
 BYTES = [bytes((i,)) for i in range(256)]
 
 

@@ -23,10 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from grainfold.llm.bpe import PIECE_BYTES, PIECES, Pairs
+from grainfold.llm.bpe import PIECE_BYTES, Pairs
 from grainfold.llm.common import documents, map_texts
 
-CODEC = "zstd"
+CODEC, PIECES = "zstd", 600_000
 
 
 def byte_letters() -> dict[str, int]:
