@@ -5,9 +5,12 @@ an edit distance of at most 1 from it, identical lines included. Two lines of wh
 characters are within one edit exactly if they are equal, or become equal when one character is deleted
 at the same place of both (substitution), or when one character of the longer is deleted (insertion).
 
-1. Distinct lines: one row each with its earliest occurrence (partial aggregation before the shuffle).
-2. A lossless filter: the single edit lies in one of a few blocks of the line, so everything outside it is
-   equal. Each line emits the hash of what is outside each block; who shares none has no partner.
+1. Distinct lines: one row of numbers each, with the earliest occurrence and four hashes (aggregated by hash,
+   partially before the shuffle).
+2. A lossless filter: the single edit lies in one half of the line, so the other half is equal. The four hashes
+   are of each half, for the line as the shorter and as the longer one; who shares none has no partner. Lines
+   of LONG characters or more that are left pass the same filter over smaller blocks, so that the variants of
+   one line take about length ** 1.5 steps.
 3. The rest emit all deletion variants inside the blocks that matched, as hashed keys. Equal variants are
    met by aggregation, not by pairs: all lines of a substitution key are within one edit of each other, so
    the earliest of them stands for all; an insertion key has the undeleted line on one side and the earliest
@@ -21,95 +24,124 @@ stay; a null doc_id comes before every other. Line ids are two 64-bit hashes of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainfold.llm.common import documents, stash
 
 MIN_CHARS = 20
+LONG = 512
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+    """doc_id, version (hash of the text: rows may share a doc_id), line_no, line and its place in the order of occurrences.
+
+    The place is one decimal, because Spark aggregates numbers by hash but structs by sorting.
+    """
     frame = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
-    return frame.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    split = frame.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    place = F.expr("coalesce(cast(doc_id AS decimal(19, 0)), -9223372036854775809BD) * 10000000000BD + line_no").alias("place")
+    return split.where(F.length("line") >= min_chars).select("*", place, F.xxhash64("line").alias("a"), F.xxhash64(F.lit("second"), "line").alias("b"))
+
+
+#: Key of the half that stays outside, by kind: bit 0 is the half with the edit, bit 1 is set for the longer line.
+HALVES = [
+    f"xxhash64({m}, {half}, {'substring(line, ' + m + ' div 2 + 1 + length(line) - ' + m + ')' if half == 0 else 'substring(line, 1, ' + m + ' div 2)'})"
+    for m in ("length(line)", "(length(line) - 1)") for half in (0, 1)
+]
+
+
+def distinct_lines(found: DataFrame) -> DataFrame:
+    keyed = found.select("a", "b", "place", *[F.expr(h).alias(f"k{i}") for i, h in enumerate(HALVES)])
+    ks = [f"k{i}" for i in range(len(HALVES))]
+    return stash(keyed.groupBy("a", "b").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(k).alias(k) for k in ks]), "distinct_lines")
 
 
-def line_id(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit("second"), line).alias("b"))
+def only_shared(keyed: DataFrame) -> DataFrame:
+    """Rows whose key another row has as well; a line has a key once."""
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("key")
+    return keyed.join(shared.hint("merge"), "key", "left_semi")
 
 
-def block_count(m: str) -> str:
-    return f"IF({m} < 512, 4, 16)"
+def candidates(found: DataFrame, distinct: DataFrame) -> DataFrame:
+    """a, b, first, line, mask of the kinds of halves it shares, of lines that can have a partner."""
+    keyed = distinct.select("a", "b", "first", F.posexplode(F.array(*[f"k{i}" for i in range(len(HALVES))])).alias("kind", "key"))
+    hits = only_shared(keyed).groupBy("a", "b").agg(F.min("first").alias("first"), F.expr("bit_or(shiftleft(1, kind))").alias("mask"))
+    at = hits.select(F.col("a").alias("ha"), F.col("b").alias("hb"), "first", "mask")
+    met = found.select("place", "a", "b", "line").join(at.hint("merge"), F.expr("place = first AND a = ha AND b = hb"))
+    return stash(met.groupBy("a", "b").agg(F.first("first").alias("first"), F.first("mask").alias("mask"), F.first("line").alias("line")), "line_candidates")
 
 
-def block_keys(line: str = "line") -> Column:
-    """Array of (m, block, key): the hash of what lies outside each block, as the shorter and as the longer line."""
-    one = f"""transform(sequence(0, {block_count("m")} - 1), i -> named_struct('m', m, 'block', i, 'key', xxhash64(m, i,
-        substring({line}, 1, cast(floor(i * m / {block_count("m")}) AS int)),
-        right({line}, m - cast(floor((i + 1) * m / {block_count("m")}) AS int)))))"""
-    return F.expr(f"flatten(transform(array(length({line}), length({line}) - 1), m -> {one}))")
+def blocks(texts: DataFrame) -> DataFrame:
+    """a, b, first, line, m, low, high: places low to high - 1 of the shorter line can hold the edit."""
+    kinds = F.expr("filter(sequence(0, 3), k -> (shiftright(mask, k) & 1) = 1)")
+    halves = texts.select("a", "b", "first", "line", F.explode(kinds).alias("kind")).withColumn("m", F.expr("length(line) - shiftright(kind, 1)"))
+    halves = halves.selectExpr("a", "b", "first", "line", "m", "IF(kind % 2 = 0, 0, m div 2) AS low", "IF(kind % 2 = 0, m div 2, m) AS high")
+    short, long = halves.where(F.col("m") < LONG), halves.where(F.col("m") >= LONG)
+    count = "cast(ceil(sqrt(m) / 2) AS int)"
+    parts = F.expr(f"transform(sequence(0, {count} - 1), i -> named_struct('low', cast(low + i * (high - low) div {count} AS int), 'high', cast(low + (i + 1) * (high - low) div {count} AS int)))")
+    cut = long.select("a", "b", "first", "m", "line", F.explode(parts).alias("p")).select("a", "b", "first", "m", "p.*", F.expr("xxhash64(m, p.low, substring(line, 1, p.low), substring(line, p.high + 1 + length(line) - m))").alias("key"))
+    left = only_shared(cut).where("high > low").drop("key", "first")
+    return short.unionByName(left.join(texts.where(F.length("line") >= LONG).select("a", "b", "first", "line").hint("merge"), ["a", "b"]))
 
 
-def variants(line: str = "line") -> Column:
-    """For a line, m and block: (key, side) of each deletion in that block. Sides: 0 substitution, 1 the line itself, 2 longer by one."""
-    low, high = f"cast(floor(block * m / {block_count('m')}) AS int)", f"length({line}) - m + cast(floor((block + 1) * m / {block_count('m')}) AS int)"
+def variants(line: str = "line") -> str:
+    """(key, side) of each deletion from low to high. Sides: 0 substitution, 1 the line itself, 2 longer by one."""
     without = f"concat(substring({line}, 1, p), substring({line}, p + 2))"
-    deleted = f"""transform(IF({high} > {low}, sequence({low}, {high} - 1), cast(array() AS array<int>)), p -> IF(length({line}) = m,
+    deleted = f"""transform(sequence(low, high + length({line}) - m - 1), p -> IF(length({line}) = m,
         named_struct('key', xxhash64('substituted', m, p, {without}), 'side', 0),
         named_struct('key', xxhash64('inserted', m, {without}), 'side', 2)))"""
-    return F.expr(f"""IF(length({line}) = m, concat({deleted}, array(named_struct('key', xxhash64('inserted', m, {line}), 'side', 1))), {deleted})""")
+    return f"""IF(length({line}) = m, concat({deleted}, array(named_struct('key', xxhash64('inserted', m, {line}), 'side', 1))), {deleted})"""
 
 
 def near_firsts(found: DataFrame, distinct: DataFrame) -> DataFrame:
-    """For each distinct line that has one: the earliest occurrence of a line within one edit. found: every line occurrence; distinct: (id, first)."""
-    keyed = found.select(line_id(F.col("line")).alias("id"), F.explode(block_keys()).alias("k")).select("id", "k.*")
-    shared = keyed.groupBy("m", "block", "key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x != y").select("m", "block", "key")
-    partners = stash(keyed.join(shared.hint("merge"), ["m", "block", "key"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("m", "block")).alias("blocks")), "line_partners")
-    texts = found.select(line_id(F.col("line")).alias("id"), "line").join(partners.hint("merge"), "id").groupBy("id").agg(F.first("line").alias("line"), F.first("blocks").alias("blocks"))
-    texts = stash(texts.join(distinct.hint("merge"), "id"), "line_texts")
+    """For each distinct line that has one: the earliest occurrence of a line within one edit."""
+    texts = candidates(found, distinct)
     made = (
-        texts.select("id", "first", "line", F.explode("blocks").alias("b")).select("id", "first", "line", "b.*")
-        .select("id", F.struct("first", "id").alias("me"), F.explode(variants()).alias("v")).select("id", "me", "v.*").distinct()
+        blocks(texts).select("a", "b", F.struct("first", "a", "b").alias("me"), F.explode(F.expr(variants())).alias("v"))
+        .select("a", "b", "me", "v.*").distinct()
     )
     met = made.groupBy("key").agg(
         F.min(F.when(F.col("side") < 2, F.col("me"))).alias("same"), F.min(F.when(F.col("side") == 2, F.col("me"))).alias("longer"), F.count(F.lit(1)).alias("n"),
     ).where("n > 1").drop("n")
     best = (
         made.join(met.hint("merge"), "key")
-        .select("id", F.when(F.col("side") == 1, F.col("longer")).otherwise(F.col("same")).alias("partner"))
-        .where("partner IS NOT NULL AND partner.id != id").groupBy("id").agg(F.min("partner").alias("partner"))
+        .select("a", "b", F.when(F.col("side") == 1, F.col("longer")).otherwise(F.col("same")).alias("partner"))
+        .where("partner IS NOT NULL AND NOT (partner.a = a AND partner.b = b)").groupBy("a", "b").agg(F.min("partner").alias("partner"))
     )
-    mine, other = texts.select("id", "line"), texts.select(F.col("id").alias("other_id"), F.col("line").alias("other"))
+    mine, other = texts.select("a", "b", "line"), texts.select(F.col("a").alias("oa"), F.col("b").alias("ob"), F.col("line").alias("other"))
     return (
-        best.select("id", F.col("partner.first").alias("near"), F.col("partner.id").alias("other_id"))
-        .join(mine.hint("merge"), "id").join(other.hint("merge"), "other_id")
-        .where(F.levenshtein("line", "other", 1) >= 0).select("id", "near")
+        best.select("a", "b", F.col("partner.first").alias("near"), F.col("partner.a").alias("oa"), F.col("partner.b").alias("ob"))
+        .join(mine.hint("merge"), ["a", "b"]).join(other.hint("merge"), ["oa", "ob"])
+        .where(F.levenshtein("line", "other", 1) >= 0).select("a", "b", "near")
     )
 
 
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """Distinct lines with their earliest occurrence and the earliest occurrence of another line within one edit."""
-    found = lines(docs, id_col, text_col).where(F.length("line") >= min_chars)
-    distinct = stash(found.groupBy(line_id(F.col("line")).alias("id")).agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")), "distinct_lines")
-    return distinct.join(near_firsts(found, distinct.select("id", "first")).hint("merge"), "id", "left")
+    """Distinct lines (a, b) with their earliest occurrence and the earliest occurrence of another line within one edit."""
+    found = lines(docs, id_col, text_col, min_chars)
+    distinct = distinct_lines(found)
+    return distinct.select("a", "b", "first", "n").join(near_firsts(found, distinct).hint("merge"), ["a", "b"], "left")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, text: the lines that stay, joined again; n_lines, n_exact, n_near: how many lines went as copies and as near copies."""
-    verdicts = line_verdicts(docs, id_col, text_col, min_chars).where("n > 1 OR near < first").select("id", "first", "near")
-    at = F.struct("doc_id", "line_no")
+    verdicts = line_verdicts(docs, id_col, text_col, min_chars).where("n > 1 OR near < first").select("a", "b", "first", F.least("first", "near").alias("stays"))
     dropped = (
-        lines(docs, id_col, text_col).where(F.length("line") >= min_chars).select("doc_id", "line_no", line_id(F.col("line")).alias("id"))
-        .join(verdicts.hint("merge"), "id").where(at > F.least("first", F.coalesce("near", "first")))
-        .groupBy("doc_id").agg(F.collect_set("line_no").alias("gone"), F.countDistinct(F.when(at > F.col("first"), F.col("line_no"))).alias("n_exact"), F.countDistinct("line_no").alias("n_gone"))
+        lines(docs, id_col, text_col, min_chars).select("doc_id", "version", "line_no", "place", "a", "b")
+        .join(verdicts.hint("merge"), ["a", "b"]).where("place > stays")
+        .groupBy(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"))
+        .agg(F.collect_set("line_no").alias("gone"), F.collect_set(F.when(F.col("place") > F.col("first"), F.col("line_no"))).alias("exact"))
     )
-    whole = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).join(dropped.hint("merge"), "doc_id", "left")
-    kept = F.expr(r"array_join(transform(filter(transform(split(text, '\n'), (x, i) -> named_struct('x', x, 'i', i)), s -> NOT array_contains(gone, s.i)), s -> s.x), '\n')")
+    whole = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text")).withColumn("version", F.xxhash64("text"))
+    whole = whole.join(dropped.hint("merge"), F.expr("doc_id <=> gone_id AND version = gone_version"), "left").withColumn("parts", F.split("text", "\n"))
+    kept = F.expr(r"array_join(transform(array_except(sequence(0, size(parts) - 1), gone), i -> parts[i]), '\n')")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
     return whole.select(
         "doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"),
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"),
-        zero(F.col("n_exact")).alias("n_exact"), zero(F.col("n_gone") - F.col("n_exact")).alias("n_near"),
+        zero(F.when(F.col("parts").isNotNull(), F.size("parts"))).alias("n_lines"),
+        zero(F.when(F.col("gone").isNotNull(), F.size("exact"))).alias("n_exact"),
+        zero(F.when(F.col("gone").isNotNull(), F.size("gone") - F.size("exact"))).alias("n_near"),
     )
 
 

@@ -114,3 +114,15 @@ def test_classifier_learns_and_keeps_without_labels(spark, frame):
     assert quality_classifier.keep_good(docs, model).columns == docs.columns
     assert quality_classifier.fit(docs, labels.where("false")) is None
     assert quality_classifier.score(docs, None).where(~F.col("kept")).count() == 0
+
+
+def test_line_dedup_of_long_lines_repeated_and_null_ids(frame):
+    rnd = random.Random(8)
+    base = "".join(rnd.choices("abcdé ", k=700))
+    texts = [base, base[:5] + base[6:], base[:350] + "z" + base[350:], base[:690] + "q" + base[691:], base[:100] + "zz" + base[100:], base + "\nthe only line of this version"]
+    ids = [1, 2, 3, 4, 5, 1]
+    got = [(r["doc_id"], r["text"], r["n_near"]) for r in line_dedup.line_dedup(frame(texts, ids)).collect()]
+    want = [(1, base, 0), (2, "", 1), (3, "", 1), (4, "", 1), (5, texts[4], 0), (1, texts[5], 0)]
+    assert sorted(got) == sorted(want)  # 5 is two edits away from every other
+    got = {(r["doc_id"], r["text"]) for r in line_dedup.line_dedup(frame([base, base], [None, -7])).collect()}
+    assert got == {(None, base), (-7, "")}
