@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from grainfold.llm.common import documents, stash
 
 MIN_CHARS = 20
-LONG = 512
+LONG = 100
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
