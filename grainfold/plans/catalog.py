@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainfold.functions import text as T
-from grainfold.operators import chunking, evaluation, ranking, retrieval
+from grainfold.operators import chunking, evaluation, experiments, judging, ranking, retrieval
+from grainfold.session import ship_package
+from grainfold.streaming import usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -237,6 +239,47 @@ def corpus_statistics(spark, sf_dir):
     return n.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.median("n").alias("median_words"), F.max("n").cast("bigint").alias("max_words"))
 
 
+#: Answers of a judge: plain, fenced with quotes to repair, without a label, inside prose.
+ANSWERS = (
+    '{"all_relevant_sentence_keys": ["0a", "0b"], "all_utilized_sentence_keys": ["0b"], "overall_supported": true}',
+    'Here:\n```json\n{"all_relevant_sentence_keys": ["0a"], "overall_supported": false, "why": "it says "no" here"}\n```',
+    "none",
+    'So {"all_utilized_sentence_keys": ["0a", "0a"]} it is',
+)
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 WHEN 3 THEN 0.0 END::DOUBLE AS relevance, CASE doc_id % 4 WHEN 0 THEN 0.25 WHEN 1 THEN 0.0 WHEN 3 THEN 0.5 END::DOUBLE AS utilization,
+CASE doc_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.0 WHEN 3 THEN 1.0 END::DOUBLE AS completeness, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 3 THEN false END AS adherence, doc_id % 4 = 2 AS failed FROM labels""")
+def judge_scores(spark, sf_dir):
+    ship_package(spark)
+    answer = F.array(*map(F.lit, ANSWERS))[(F.col("doc_id") % 4).cast("int")]
+    answers = table(spark, sf_dir, "labels").select("doc_id", answer.alias("answer"), F.lit(4).alias("n_sentences"))
+    return judging.scored(answers).select("doc_id", *evaluation.METRICS, "adherence", "failed")
+
+
+PRICES = [("purchase", 0.59, 0.79), ("view", 0.05, 0.08)]
+
+
+@query("""WITH c AS (SELECT event_id, event_type, ts, user_id, round((1000 + event_id % 7) * CASE event_type WHEN 'view' THEN 0.05::DOUBLE ELSE 0.59::DOUBLE END / 1e6 + (200 + event_id % 5) * CASE event_type WHEN 'view' THEN 0.08::DOUBLE ELSE 0.79::DOUBLE END / 1e6, 6) AS cost FROM events)
+SELECT CAST(user_id % 50 AS VARCHAR) AS leg, count(*) AS calls, sum(1000 + event_id % 7)::BIGINT AS in_tokens, sum(200 + event_id % 5)::BIGINT AS out_tokens, round(sum(cost), 3) AS cost_usd FROM c GROUP BY 1""")
+def usage_cost(spark, sf_dir):
+    calls = table(spark, sf_dir, "events").selectExpr("cast(user_id % 50 AS string) AS leg", "event_id AS call_no", "event_type AS model", "1000 + event_id % 7 AS in_tokens", "200 + event_id % 5 AS out_tokens")
+    prices = spark.createDataFrame(PRICES, "model string, price_in double, price_out double")
+    return experiments.cost_report(experiments.costs(calls, prices, 5.0)).withColumn("cost_usd", F.round("cost_usd", 3))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    return usage.window_counts(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 2))
+
+
+@query("""SELECT conv_id, turn, '[ECHO] received a prompt of ' || length('Question: ' || coalesce(text, '')) || ' chars' ||
+CASE WHEN trim(split_part(coalesce(text, ''), chr(10), 1)) != '' THEN '; question was: ' || trim(split_part(text, chr(10), 1)) ELSE '' END AS answer FROM conversations""")
+def echo_answers(spark, sf_dir):
+    asked = F.concat(F.lit("Question: "), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", experiments.echo(asked).alias("answer"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid_search(spark, sf_dir)
 
