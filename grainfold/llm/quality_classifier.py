@@ -1,14 +1,17 @@
 """Quality classifier by co-training of two views.
 
 View 1 sees the words of a document (hashed words, their first four and five and last three characters;
-which of them occur, those that are clearly more frequent in bad documents). View 2 sees page metadata: language, source, sizes, layout, letter case and
+which of them occur; the FEATURES that are most overrepresented in toxic documents, as many for low quality, as many
+for documents that the other view calls bad; none is cut for being weak, the penalty holds weak ones down). View 2 sees page metadata: language, source, sizes, layout, letter case and
 punctuation. Both are logistic models. They start from labelled documents; in each round each view labels
 the unlabelled documents it is surest of, and these go into the other view's training set. Both are then
 calibrated on labelled documents held out from training, the calibrated log-odds are combined by a third
 logistic model, and every document is scored.
 
 Fitting uses a bounded sample, by a hash of the id: at most `labelled` labelled documents and `pool`
-unlabelled ones (parameters); only their features reach the driver. Scoring reads every document once.
+unlabelled ones (parameters); only their features reach the driver. Good, low-quality and toxic documents share
+the sample by their frequency, but a kind gets a sixth of it at least, or all it has; calibration weighs each
+document by what it stands for. Every kind has its part of the held-out documents. Scoring reads every document once.
 A document is good if its label has quality 1 and not toxic 1.
 
 Defined cases: a null text counts as empty, null metadata as a value of its own; labels with a null are left
@@ -19,6 +22,7 @@ learned and every document is kept, with probability 1.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,8 @@ from pyspark.sql import functions as F
 from grainfold.llm.common import documents, map_texts, ship_package
 
 LABELLED, POOL, ROUNDS, EXCHANGED = 9_000, 3_000, 3, 400
-DIMS, FEATURES, LEAST_Z = 1 << 18, 1_000, 8.0
+DIMS, FEATURES, LEAST_SEEN = 1 << 18, 1_000, 3
+UNLABELLED, GOOD, LOW, TOXIC = -1, 0, 1, 2  # kinds; a document that is both low and toxic is toxic
 KEPT_WORDS = 300_000
 META = ("lang", "source", "n_chars")
 
@@ -82,26 +87,26 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def descend(forward, back, y: np.ndarray, size: int, l2: float, steps: int) -> np.ndarray:
+def descend(forward, back, y: np.ndarray, size: int, l2: float, steps: int, weight: np.ndarray | float = 1.0) -> np.ndarray:
     """Logistic weights, the last one an intercept without penalty, by accelerated gradient descent."""
     v = np.random.default_rng(0).random(size)
     for _ in range(15):
-        v = back(forward(v))
+        v = back(weight * forward(v))
         top = np.linalg.norm(v) or 1.0
         v /= top
     rate = 1 / (0.26 * top + l2)
     w = last = np.zeros(size)
     for k in range(steps):
         ahead = w + (k / (k + 3)) * (w - last)
-        grad = back(sigmoid(forward(ahead)) - y)
+        grad = back(weight * (sigmoid(forward(ahead)) - y))
         grad[:-1] += l2 * ahead[:-1]
         last, w = w, ahead - rate * grad
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 300) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 300, weight: np.ndarray | float = 1.0) -> np.ndarray:
     x = np.hstack([x, np.ones((len(x), 1))])
-    return descend(x.__matmul__, x.T.__matmul__, y, x.shape[1], l2, steps)
+    return descend(x.__matmul__, x.T.__matmul__, y, x.shape[1], l2, steps, weight)
 
 
 def sparse_logistic(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width: int, l2: float = 0.3, steps: int = 200) -> np.ndarray:
@@ -119,13 +124,17 @@ class Words:
     bias: float
 
     @classmethod
-    def fit(cls, docs: list[np.ndarray], y: np.ndarray) -> Words:
-        good, bad = (np.bincount(np.concatenate([d for d, t in zip(docs, y, strict=True) if t == k]), minlength=DIMS) for k in (1, 0))
-        n1, n0 = max(int(y.sum()), 1), max(int(len(y) - y.sum()), 1)
-        p = (good + bad) / (n1 + n0)
-        z = (bad / n0 - good / n1) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-        chosen = np.argsort(-z)[:FEATURES]
-        chosen = chosen[(z[chosen] >= LEAST_Z) & (good + bad >= 5)[chosen]]
+    def fit(cls, docs: list[np.ndarray], kind: np.ndarray) -> Words:
+        """kind: GOOD or else the group of bad documents it is in; each group has features of its own."""
+        occurs = lambda k: np.bincount(np.concatenate([d for d, t in zip(docs, kind, strict=True) if t == k]), minlength=DIMS)
+        y, good, lists = kind == GOOD, occurs(GOOD), []
+        for k in np.unique(kind[~y]):
+            bad, n1, n0 = occurs(k), int(y.sum()), int((kind == k).sum())
+            p = (good + bad) / (n1 + n0)
+            z = (bad / n0 - good / n1) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
+            first = np.argsort(-z, kind="stable")[:FEATURES]
+            lists.append(first[(z[first] > 0) & (good + bad >= LEAST_SEEN)[first]])
+        chosen = np.unique(np.concatenate(lists))
         place = np.full(DIMS, -1)
         place[chosen] = np.arange(len(chosen))
         rows, columns = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), place[np.concatenate(docs)]
@@ -167,35 +176,39 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(a * self.joint[0] + b * self.joint[1] + self.joint[2])
 
 
-def co_train(docs: list[np.ndarray], x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> Model | None:
-    """y: 1 good, 0 bad, -1 unlabelled. None if there is nothing to learn from."""
-    known = np.flatnonzero(y >= 0)
-    held, train = known[::5], np.setdiff1d(known, known[::5])
+def co_train(docs: list[np.ndarray], x: np.ndarray, kind: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS, exchanged: int = EXCHANGED) -> Model | None:
+    """weight: how many documents each labelled one stands for. None if there is nothing to learn from."""
+    y = np.where(kind == UNLABELLED, -1, kind == GOOD)
+    held = np.sort(np.concatenate([np.flatnonzero(kind == k)[2::5] for k in (GOOD, LOW, TOXIC)]))
+    train = np.setdiff1d(np.flatnonzero(y >= 0), held)
     if min((y[train] == 1).sum(), (y[train] == 0).sum(), (y[held] == 1).sum(), (y[held] == 0).sum()) < 2:
         return None
     pool = np.flatnonzero(y < 0)
-    sets = [dict(zip(train.tolist(), y[train].tolist(), strict=True)) for _ in range(2)]
-    rate = float(y[train].mean())
+    sets = [dict(zip(train.tolist(), kind[train].tolist(), strict=True)) for _ in range(2)]
+    rate = float(np.average(y[train], weights=weight[train]))
+    shift = np.log(rate / (1 - rate)) - np.log(y[train].mean() / (1 - y[train].mean()))  # from the sample's odds to the table's
+    named_bad = TOXIC + 1
 
     def fitted(k: int):
         at = np.array(sorted(sets[k]))
         t = np.array([sets[k][i] for i in at.tolist()])
-        return Words.fit([docs[i] for i in at], t) if k == 0 else Metadata.fit(x[at], t)
+        return Words.fit([docs[i] for i in at], t) if k == 0 else Metadata.fit(x[at], t == GOOD)
 
     for r in range(rounds + 1):
         views = fitted(0), fitted(1)
         if r == rounds or not len(pool):
             break
-        for k, odds in enumerate((views[0].odds([docs[i] for i in pool]), views[1].odds(x[pool]))):
+        for k, odds in enumerate((views[0].odds([docs[i] for i in pool]) + shift, views[1].odds(x[pool]) + shift)):
             order = np.argsort(odds)
             low, high = order[: int(exchanged * (1 - rate))], order[len(order) - int(exchanged * rate) :]
-            for at, label in ((low[odds[low] < -2], 0), (high[odds[high] > 2], 1)):
+            for at, label in ((low[odds[low] < -2], named_bad), (high[odds[high] > 2], GOOD)):
                 sets[1 - k].update((int(pool[i]), label) for i in at)
     a, b = views[0].odds([docs[i] for i in held]), views[1].odds(x[held])
     t = y[held].astype(float)
-    scales = np.array([logistic(np.clip(v, -30, 30)[:, None], t, steps=500) for v in (a, b)])
+    share = weight[held] / weight[held].mean()
+    scales = np.array([logistic(np.clip(v, -30, 30)[:, None], t, steps=500, weight=share) for v in (a, b)])
     pair = np.stack([np.clip(v * s[0] + s[1], -12, 12) for v, s in zip((a, b), scales, strict=True)], 1)
-    return Model(*views, scales, logistic(pair, t, steps=500))
+    return Model(*views, scales, logistic(pair, t, steps=500, weight=share))
 
 
 def views(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
@@ -204,23 +217,39 @@ def views(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
     return [word_view(t) for t in texts], x
 
 
-def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Features and labels of the bounded sample."""
+def quotas(counts: dict[int, int], total: int) -> dict[int, int]:
+    """How many documents of each kind go into a sample of total: by frequency, but a sixth of it at least, or all there are."""
+    every = sum(counts.values())
+    if every <= total:
+        return counts
+    least = {k: min(n, total // 6) for k, n in counts.items()}
+    more = {k: max(0, n * total // every - least[k]) for k, n in counts.items()}
+    over, room = sum(least.values()) + sum(more.values()) - total, max(1, sum(more.values()))
+    return {k: least[k] + (v - -(-v * over // room) if over > 0 else v) for k, v in more.items()}
+
+
+def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Features, kinds and weights of the bounded sample."""
     by_hash = lambda seed: (F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
     known = labels.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).dropna()
-    known = known.select("doc_id", F.expr("cast(q = 1 AND t != 1 AS int)").alias("y")).orderBy(*by_hash("labelled")).limit(labelled)
+    known = known.select("doc_id", F.expr(f"CASE WHEN t = 1 THEN {TOXIC} WHEN q = 1 THEN {GOOD} ELSE {LOW} END").alias("kind"))
+    counts = {r["kind"]: r["count"] for r in known.groupBy("kind").count().collect()}
+    takes = quotas(counts, labelled)
+    parts = [known.where(F.col("kind") == k).orderBy(*by_hash("labelled")).limit(n) for k, n in takes.items()]
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).dropna()
     free = ids.join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_anti").distinct().orderBy(*by_hash("pool")).limit(pool)
-    wanted = known.unionByName(free.withColumn("y", F.lit(-1)))
+    wanted = reduce(DataFrame.unionByName, parts, free.withColumn("kind", F.lit(UNLABELLED)))
     picked = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])  # at most labelled + pool rows
 
     def work(batch):
         words, x = views(batch)
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], pa.array([w.tobytes() for w in words], pa.binary()), pa.array([m.tobytes() for m in x], pa.binary())], ["doc_id", "y", "words", "meta"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["kind"], pa.array([w.tobytes() for w in words], pa.binary()), pa.array([m.tobytes() for m in x], pa.binary())], ["doc_id", "kind", "words", "meta"])
 
-    rows = map_texts(picked, "doc_id", "text", lambda: work, "doc_id bigint, y int, words binary, meta binary", ("y", *META)).collect()
+    rows = map_texts(picked, "doc_id", "text", lambda: work, "doc_id bigint, kind int, words binary, meta binary", ("kind", *META)).collect()
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r["doc_id"])))  # the same order whatever the tasks' order was
-    return [np.frombuffer(r["words"], np.int32) for r in rows], np.array([np.frombuffer(r["meta"]) for r in rows]), np.array([r["y"] for r in rows])
+    kind = np.array([r["kind"] for r in rows], int)
+    stands = {k: counts[k] / n for k, n in takes.items() if n} | {UNLABELLED: 1.0}
+    return [np.frombuffer(r["words"], np.int32) for r in rows], np.array([np.frombuffer(r["meta"]) for r in rows]), kind, np.array([stands[k] for k in kind.tolist()])
 
 
 def with_metadata(docs: DataFrame) -> DataFrame:
@@ -230,8 +259,8 @@ def with_metadata(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    words, x, y = sample(with_metadata(docs), labels, labelled, pool)
-    return co_train(words, x, y) if len(y) else None
+    words, x, kind, weight = sample(with_metadata(docs), labels, labelled, pool)
+    return co_train(words, x, kind, weight) if len(kind) else None
 
 
 SCORED = "doc_id bigint, p_content double, p_metadata double, p_good double, kept boolean"
