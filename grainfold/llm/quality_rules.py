@@ -1,7 +1,8 @@
 """Quality rules by repetition coverage: rolling hashes of several n-gram lengths, in numpy.
 
 For each text: the share of word characters inside word n-grams that occur twice or more (each length on
-its own), and inside lines that occur twice or more. Words are `[^\x20\x09-\x0D]+`. Windows of n words
+its own), inside lines that occur twice or more, and inside the one short n-gram that covers most of the text
+(no short one that occurs once counts; where its occurrences overlap, characters count once). Words are `[^\x20\x09-\x0D]+`. Windows of n words
 are compared by a 64-bit polynomial rolling hash, each length made from the next shorter one, over
 64-bit word hashes; texts are never compared with each other, so a clash needs two windows of one text.
 
@@ -17,9 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grainfold.llm.common import documents, map_texts, utf8
 
-#: Largest share of word characters inside duplicated n-grams, by n, and inside duplicated lines.
-NGRAM_LIMITS = {5: 0.25, 7: 0.22, 10: 0.20}
-LINE_LIMIT = 0.30
+#: Largest share of word characters inside duplicated n-grams, by n, inside one short n-gram, and inside duplicated lines.
+#: They lie under the base rule's 20 % of words in repeated 5-grams, so that they decide where it does not.
+NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+TOP_LIMITS = {2: 0.20, 3: 0.18, 4: 0.16}
+LINE_LIMIT = 0.20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -47,14 +50,27 @@ def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def measure(text: bytes, limits: dict[int, float] = NGRAM_LIMITS) -> tuple[int, int, int, int, int, float, dict[int, float]]:
-    """(words, word characters, symbols, duplicate lines, words in repeated 5-grams, line share, n-gram shares)."""
+def largest(keys: np.ndarray, n: int, before: np.ndarray) -> int:
+    """The most characters that one n-gram covers which occurs twice or more; before: characters before each word."""
+    order = np.argsort(keys, kind="stable")
+    same = keys[order[1:]] == keys[order[:-1]]
+    if not same.any():
+        return 0
+    start = order.copy()
+    start[1:][same] = np.maximum(order[1:], order[:-1] + n)[same]
+    first = np.flatnonzero(np.concatenate(([True], ~same)))
+    sums = np.add.reduceat(before[order + n] - before[start], first)
+    return int(sums[np.diff(np.append(first, len(keys))) > 1].max())
+
+
+def measure(text: bytes, limits: dict[int, float] = NGRAM_LIMITS, top_limits: dict[int, float] = TOP_LIMITS) -> tuple[int, int, int, int, int, float, dict[int, float], dict[int, float]]:
+    """(words, word characters, symbols, duplicate lines, words in repeated 5-grams, line share, n-gram shares, shares of one n-gram)."""
     raw = np.frombuffer(text, np.uint8)
     words = text.split()
     n = len(words)
     symbols = int(SYMBOL[raw].sum())
     if not n:
-        return 0, 0, symbols, 0, 0, 0.0, dict.fromkeys(limits, 0.0)
+        return 0, 0, symbols, 0, 0, 0.0, dict.fromkeys(limits, 0.0), dict.fromkeys(top_limits, 0.0)
     inside = np.concatenate(([False], ~SPACE[raw], [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
@@ -72,29 +88,34 @@ def measure(text: bytes, limits: dict[int, float] = NGRAM_LIMITS) -> tuple[int,
         line_chars = sum(c * sum(len(w.decode("utf-8", "replace")) for w in line.split()) for line, (c, _) in lines.items() if c > 1)
 
     hashes = np.fromiter(map(hash, words), np.int64, n).astype(np.uint64)
-    rolled, width, shares, repeats = hashes, 1, {}, 0
-    for size in sorted({5, *limits}):
+    rolled, width, shares, top, repeats = hashes, 1, {}, {}, 0
+    before = np.concatenate(([0], np.cumsum(chars)))
+    for size in sorted({5, *limits, *top_limits}):
         if size > n:
-            shares[size] = 0.0
+            shares[size] = top[size] = 0.0
             continue
         while width < size:
             rolled = rolled[:-1] * BASE + hashes[width:]
             width += 1
+        if size in top_limits:
+            top[size] = largest(rolled, size, before) / total
+        if size != 5 and size not in limits:
+            continue
         twice = repeated(rolled)
         mark = covered(twice, size, n) if twice.any() else np.zeros(n, bool)
         shares[size] = float(chars[mark].sum() / total)
         if size == 5:
             repeats = int(mark.sum())
-    return n, total, symbols, duplicates, repeats, line_chars / total, {k: shares[k] for k in limits}
+    return n, total, symbols, duplicates, repeats, line_chars / total, {k: shares[k] for k in limits}, {k: top[k] for k in top_limits}
 
 
-def verdicts(limits: dict[int, float] = NGRAM_LIMITS, line_limit: float = LINE_LIMIT):
+def verdicts(limits: dict[int, float] = NGRAM_LIMITS, line_limit: float = LINE_LIMIT, top_limits: dict[int, float] = TOP_LIMITS):
     def work(batch: pa.RecordBatch):
         rows = []
         for doc, text in zip(batch["doc_id"].to_pylist(), utf8(batch["text"]), strict=True):
-            n, total, symbols, lines, repeats, line_share, shares = measure(text or b"", limits)
+            n, total, symbols, lines, repeats, line_share, shares, top = measure(text or b"", limits, top_limits)
             failed = n < 10 or 100 * repeats > 20 * n
-            kept = not failed and line_share <= line_limit and all(shares[k] <= v for k, v in limits.items())
+            kept = not failed and line_share <= line_limit and all(shares[k] <= v for k, v in limits.items()) and all(top[k] <= v for k, v in top_limits.items())
             rows.append((doc, n, total, symbols, lines, repeats, failed, kept, line_share, max(shares.values(), default=0.0)))
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] * 2
@@ -103,8 +124,8 @@ def verdicts(limits: dict[int, float] = NGRAM_LIMITS, line_limit: float = LINE_L
     return work
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: dict[int, float] = NGRAM_LIMITS, line_limit: float = LINE_LIMIT) -> DataFrame:
-    return map_texts(docs, id_col, text_col, lambda: verdicts(limits, line_limit), SCHEMA)
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: dict[int, float] = NGRAM_LIMITS, line_limit: float = LINE_LIMIT, top_limits: dict[int, float] = TOP_LIMITS) -> DataFrame:
+    return map_texts(docs, id_col, text_col, lambda: verdicts(limits, line_limit, top_limits), SCHEMA)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
