@@ -18,8 +18,9 @@ at the same place of both (substitution), or when one character of the longer is
 4. The partner chosen is verified by edit distance on the lines themselves.
 
 Defined cases: a null text has no lines; lines of fewer than min_chars characters (blank ones included)
-take no part and stay; of repeated rows (one doc_id, equal lines) all occurrences at the earliest place
-stay; a null doc_id comes before every other. Line ids are two 64-bit hashes of the line.
+take no part and stay, as the SQL of op8 has it; with exact_chars, exact copies of shorter lines go as well if
+they have that many characters and are not blank, but they have no near copies; of repeated rows (one doc_id,
+equal lines) all occurrences at the earliest place stay; a null doc_id comes before every other. Line ids are two 64-bit hashes of the line.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ from grainfold.llm.common import documents, stash
 
 MIN_CHARS = 20
 LONG = 100
+NOT_BLANK = r"[^\x20\x09-\x0D]"
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
+def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, exact_chars: int | None = None) -> DataFrame:
     """doc_id, version (hash of the text: rows may share a doc_id), line_no, line and its place in the order of occurrences.
 
     The place is one decimal, because Spark aggregates numbers by hash but structs by sorting.
@@ -41,7 +43,10 @@ def lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFr
     frame = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].alias("text"))
     split = frame.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     place = F.expr("coalesce(cast(doc_id AS decimal(19, 0)), -9223372036854775809BD) * 10000000000BD + line_no").alias("place")
-    return split.where(F.length("line") >= min_chars).select("*", place, F.xxhash64("line").alias("a"), F.xxhash64(F.lit("second"), "line").alias("b"))
+    part = F.length("line") >= min_chars
+    if exact_chars is not None:
+        part |= (F.length("line") >= exact_chars) & F.col("line").rlike(NOT_BLANK)
+    return split.where(part).select("*", place, F.xxhash64("line").alias("a"), F.xxhash64(F.lit("second"), "line").alias("b"))
 
 
 #: Key of the half that stays outside, by kind: bit 0 is the half with the edit, bit 1 is set for the longer line.
@@ -51,14 +56,16 @@ HALVES = [
 ]
 
 
-def distinct_lines(found: DataFrame) -> DataFrame:
-    keyed = found.select("a", "b", "place", *[F.expr(h).alias(f"k{i}") for i, h in enumerate(HALVES)])
+def distinct_lines(found: DataFrame, least: int | None = None) -> DataFrame:
+    """Lines of fewer than least characters have null keys."""
+    key = lambda h: F.expr(h) if least is None else F.when(F.length("line") >= least, F.expr(h))
+    keyed = found.select("a", "b", "place", *[key(h).alias(f"k{i}") for i, h in enumerate(HALVES)])
     ks = [f"k{i}" for i in range(len(HALVES))]
     return stash(keyed.groupBy("a", "b").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), *[F.min(k).alias(k) for k in ks]), "distinct_lines")
 
 
 def only_shared(keyed: DataFrame) -> DataFrame:
-    """Rows whose key another row has as well; a line has a key once."""
+    """Rows whose key another row has as well; a line has a key once, a null key meets none."""
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("key")
     return keyed.join(shared.hint("merge"), "key", "left_semi")
 
@@ -117,18 +124,18 @@ def near_firsts(found: DataFrame, distinct: DataFrame) -> DataFrame:
     )
 
 
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """Distinct lines (a, b) with their earliest occurrence and the earliest occurrence of another line within one edit."""
-    found = lines(docs, id_col, text_col, min_chars)
-    distinct = distinct_lines(found)
+    found = lines(docs, id_col, text_col, min_chars, exact_chars)
+    distinct = distinct_lines(found, None if exact_chars is None else min_chars)
     return distinct.select("a", "b", "first", "n").join(near_firsts(found, distinct).hint("merge"), ["a", "b"], "left")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """doc_id, text: the lines that stay, joined again; n_lines, n_exact, n_near: how many lines went as copies and as near copies."""
-    verdicts = line_verdicts(docs, id_col, text_col, min_chars).where("n > 1 OR near < first").select("a", "b", "first", F.least("first", "near").alias("stays"))
+    verdicts = line_verdicts(docs, id_col, text_col, min_chars, exact_chars).where("n > 1 OR near < first").select("a", "b", "first", F.least("first", "near").alias("stays"))
     dropped = (
-        lines(docs, id_col, text_col, min_chars).select("doc_id", "version", "line_no", "place", "a", "b")
+        lines(docs, id_col, text_col, min_chars, exact_chars).select("doc_id", "version", "line_no", "place", "a", "b")
         .join(verdicts.hint("merge"), ["a", "b"]).where("place > stays")
         .groupBy(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"))
         .agg(F.collect_set("line_no").alias("gone"), F.collect_set(F.when(F.col("place") > F.col("first"), F.col("line_no"))).alias("exact"))
