@@ -21,18 +21,25 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest doc_id."""
+    """Of equal texts, one row of the document with the smallest doc_id; which one, if rows repeat it, is left open."""
     index = exact_dedup.fresh_index(spark)
     index.admit(docs)
-    stays = spark.read.parquet(index.path).select(F.col("keep_id").alias("__keep"), F.col("digest").alias("__digest"))
-    same = F.expr("doc_id <=> __keep") & (exact_dedup.digest(docs["text"]) == F.col("__digest"))
-    return docs.join(stays.hint("merge"), same, "left_semi")
+    stays = spark.read.schema("digest binary, keep_id bigint").parquet(index.path).select(F.col("keep_id").alias("__keep"), F.col("digest").alias("__digest"))
+    same = F.expr("doc_id <=> __keep AND __own = __digest")
+    found = docs.withColumn("__own", exact_dedup.digest(docs["text"])).join(stays.hint("merge"), same, "left_semi")
+    return found.dropDuplicates(["__own"]).drop("__own")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the smallest doc_id."""
-    found = jaccard_join.jaccard_components(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(found.hint("merge"), F.expr("doc_id <=> __keep"), "left_semi")
+    """Of each component of near copies, the row with the smallest doc_id (null last); equal rows are one row.
+
+    A row is known by a hash of its doc_id and text, because rows may share a doc_id.
+    """
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = jaccard_join.jaccard_components(keyed, id_col="__row").select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("__row").alias("row"))
+    first = keyed.select("__row", "doc_id").join(found.hint("merge"), "__row").groupBy("component_id").agg(F.min(place).alias("at"))
+    return keyed.join(first.select(F.col("at.row").alias("__row")).hint("merge"), "__row", "left_semi").select(*docs.columns)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
