@@ -1,7 +1,12 @@
 import random
 from collections import Counter
 
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from grainfold.llm import quality_classifier, span_dedup
 
 
 def words(rnd, n):
@@ -43,3 +48,27 @@ def test_near_copies_leave_one_row_a_component(spark, frame):
     assert {(1, texts[0]), (3, texts[6]), (4, texts[7])} < set(got) and len(got) == 4  # near(a) has doc_id 3, which stays for another text
     assert [i for i, _ in got].count(5) == 1
     assert corpus_pipeline.drop_near_copies(spark, frame([]), "").count() == 0
+
+
+def test_passages_equal_the_operator_and_carry_columns(spark, frame):
+    rnd = random.Random(9)
+    shared = " ".join(words(rnd, 80))
+    docs = frame([shared + " one", "two " + shared + " three", None]).withColumn("source", F.concat(F.lit("s"), "doc_id")).withColumn("n_chars", F.lit(1).cast("bigint"))
+    out = {r["doc_id"]: r for r in corpus_pipeline.drop_passages(spark, docs, "").collect()}
+    want = {r["doc_id"]: r["kept_text"] for r in span_dedup.span_dedup(docs, with_text=True).collect()}
+    assert {i: r["text"] for i, r in out.items()} == want and shared not in want[1]
+    assert all(r["source"] == f"s{i}" and r["n_chars"] == (None if r["text"] is None else len(r["text"])) for i, r in out.items())
+
+
+def test_classify_and_the_whole_run(spark, frame, tmp_path):
+    texts, ids, docs = rows(frame)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert quality_classifier.fit(docs, spark.read.parquet(f"{tmp_path}/labels.parquet")) is None  # too few: all stay
+    assert corpus_pipeline.classify(spark, docs, str(tmp_path)).count() == len(texts)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+    want = sum(len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in kept.select("text").collect())
+    assert sum(r["length"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
