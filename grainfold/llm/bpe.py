@@ -30,6 +30,7 @@ from grainfold.llm.common import documents, map_texts
 
 #: Pieces remembered with their tokens, longest remembered piece, and states, for each worker.
 PIECES, PIECE_BYTES, STATES = 900_000, 64, 400_000
+PAIR_COST = 160
 BYTES = [bytes((i,)) for i in range(256)]
 
 
@@ -39,9 +40,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Pairs:
-    """Which token may stand after which."""
+    """Which token may stand after which. At most `bound` verdicts are remembered, of PAIR_COST bytes each."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], bound: int = 1_000_000):
+        self.bound = bound
         self.ranks, self.bytes = ranks, {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
         self.known: dict[tuple[int, int], bool] = {}
@@ -82,7 +84,7 @@ class Pairs:
         """May b follow a? a = -1: may b stand first?"""
         found = self.known.get((a, b))
         if found is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) >= self.bound:
                 self.known.clear()
             found = self.known[a, b] = self.stand(a, b) if a >= 0 else len(self.bytes[b]) == 1 or self.halves(b) is not None
         return found
@@ -217,21 +219,45 @@ class Encoder:
         return list(chain.from_iterable([get(w) or make(w) for w in self.split(text)]))
 
 
+def utf8_transitions() -> list[list[int]]:
+    """state -> byte -> state: 0 between characters, 1 to 3 that many bytes to come, 4 to 7 behind a lead whose next
+    byte is narrower (no overlong forms, no surrogates, nothing above U+10FFFF), 8 what no character can hold."""
+    wrong, back = 8, range(0x80, 0xC0)
+    table = [[wrong] * 256 for _ in range(9)]
+    leads = {0: range(0x80), 1: range(0xC2, 0xE0), 2: range(0xE1, 0xF0), 3: range(0xF1, 0xF4), 4: (0xE0,), 5: (0xED,), 6: (0xF0,), 7: (0xF4,)}
+    for state, bytes_ in leads.items():
+        for b in bytes_:
+            table[0][b] = state
+    table[0][0xED] = 5
+    after = {1: (0, back), 2: (1, back), 3: (2, back), 4: (1, range(0xA0, 0xC0)), 5: (1, range(0x80, 0xA0)), 6: (2, range(0x90, 0xC0)), 7: (2, range(0x80, 0x90))}
+    for state, (then, bytes_) in after.items():
+        for b in bytes_:
+            table[state][b] = then
+    return table
+
+
+UTF8 = utf8_transitions()
+
+
 class Utf8Machine:
-    """An incremental UTF-8 reader: push() returns the bytes of all characters that are complete."""
+    """An incremental UTF-8 reader: push() returns all bytes that are settled, whole characters and what belongs to none.
+
+    A byte that isn't a continuation starts anew, whatever came before, so the state at the end of a chunk is
+    that of the machine run from the last such byte on, at most four bytes back.
+    """
 
     def __init__(self):
         self.tail = b""
 
     def push(self, chunk: bytes) -> bytes:
         data = self.tail + chunk
-        keep = 0
-        for back in range(1, min(3, len(data)) + 1):
-            lead = data[-back]
-            if lead & 0xC0 != 0x80:  # ASCII or the first byte of a character
-                need = 4 if lead >= 0xF0 else 3 if lead >= 0xE0 else 2 if lead >= 0xC0 else 1
-                keep = back if need > back else 0
-                break
+        start = len(data) - 1
+        while start > max(0, len(data) - 4) and data[start] & 0xC0 == 0x80:
+            start -= 1
+        state = 0
+        for byte in data[max(start, 0) :]:
+            state = UTF8[state][byte]
+        keep = len(data) - start if 0 < state < 8 else 0
         self.tail = data[len(data) - keep :]
         return data[: len(data) - keep]
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grainfold.session import partitions, shared_dir, ship_package, stash
 
-__all__ = ["documents", "map_texts", "partitions", "shared_dir", "ship_package", "stash", "utf8"]
+__all__ = ["cache_share", "documents", "map_texts", "partitions", "shared_dir", "ship_package", "stash", "utf8"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def cache_share(spark: SparkSession, total: int) -> int:
+    """Bytes that one Python worker may remember, so that the workers of an executor remember `total` together."""
+    sc = spark.sparkContext
+    tasks = sc.defaultParallelism if sc.master.startswith("local[") or sc.master == "local" else int(sc.getConf().get("spark.executor.cores", "4"))
+    return total // max(1, tasks // int(sc.getConf().get("spark.task.cpus", "1")))
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of an Arrow string column, null as None."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

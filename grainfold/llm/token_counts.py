@@ -23,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from grainfold.llm.bpe import PIECE_BYTES, Pairs
-from grainfold.llm.common import documents, map_texts
+from grainfold.llm.bpe import PAIR_COST, PIECE_BYTES, Pairs
+from grainfold.llm.common import cache_share, documents, map_texts
 
-CODEC, PIECES = "zstd", 600_000
+#: CACHE_BYTES: what the workers of one executor may remember together, pieces and verdicts on pairs.
+CODEC, CACHE_BYTES, PIECE_COST = "zstd", 256 << 20, 200
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,10 +47,12 @@ def load_json(path: str) -> tuple[dict[bytes, int], list[str]]:
 
 
 class PrefixTable:
-    def __init__(self, ranks: dict[bytes, int], special: list[str], pattern: str, pieces: int = PIECES):
+    """Remembers pieces and pairs within cache_bytes, half of them each; when the pieces' half is full, all are forgotten."""
+
+    def __init__(self, ranks: dict[bytes, int], special: list[str], pattern: str, cache_bytes: int = 64 << 20):
         import regex
 
-        self.pairs, self.bound, self.known = Pairs(ranks), pieces, {}
+        self.pairs, self.bound, self.known, self.held = Pairs(ranks, max(1, cache_bytes // 2 // PAIR_COST)), cache_bytes // 2, {}, 0
         self.heads = {t[:i] for t in ranks for i in range(1, len(t) + 1)}
         self.split = regex.compile(pattern).findall
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
@@ -83,8 +86,11 @@ class PrefixTable:
             total = sum(np.frombuffer(out, np.int8))
             out = np.array([1, 1, total - 2], np.int8).tobytes()
         if len(raw) <= PIECE_BYTES:
-            if len(self.known) >= self.bound:
+            self.held += PIECE_COST + 3 * len(raw)
+            if self.held > self.bound:
                 self.known.clear()
+                self.pairs.known.clear()
+                self.held = PIECE_COST + 3 * len(raw)
             self.known[word] = out
         return out
 
@@ -121,10 +127,10 @@ class PrefixTable:
         return np.concatenate(out)
 
 
-@lru_cache(4)
-def prefix_table(path: str, pattern: str) -> PrefixTable:
+@lru_cache(1)
+def prefix_table(path: str, pattern: str, cache_bytes: int) -> PrefixTable:
     """One for each worker process, so that its tables outlive a task."""
-    return PrefixTable(*load_json(path), pattern)
+    return PrefixTable(*load_json(path), pattern, cache_bytes)
 
 
 def counts(table: bytes, size: int) -> np.ndarray:
@@ -133,30 +139,45 @@ def counts(table: bytes, size: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(steps, dtype=np.int32)))
 
 
+def longest_prefix(steps: np.ndarray, limit: int) -> int:
+    """Bytes of the longest prefix of at most `limit` tokens, from the changes of the count."""
+    return int(np.flatnonzero(np.concatenate(([0], np.cumsum(steps, dtype=np.int32))) <= limit)[-1])
+
+
 STORED = "doc_id bigint, n_bytes bigint, n_tokens bigint, prefix_steps binary"
+ANSWERS = ", over_limit boolean, bytes_in_limit bigint"
+
 
+def prefix_tables(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", limit: int | None = None, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """For each document its size, its tokens and the stored table of all its prefixes.
 
-def prefix_tables(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each document its size, its tokens and the stored table of all its prefixes."""
+    With a limit, also what within_budget would answer from the table, while the worker has it in hand.
+    """
+    share = cache_share(docs.sparkSession, cache_bytes)
 
     def make():
-        table = prefix_table(tokenizer_path, pattern)
+        table = prefix_table(tokenizer_path, pattern, share)
 
         def work(batch):
-            n, total, steps = [], [], []
+            n, total, steps, cut = [], [], [], []
             for text in batch["text"]:
                 made = table.table(text.as_py() or "")
                 n.append(len(made))
                 total.append(int(made.sum(dtype=np.int64)))
                 steps.append(pa.compress(made.tobytes(), codec=CODEC, asbytes=True) if len(made) else b"")
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(total, pa.int64()), pa.array(steps, pa.binary())], ["doc_id", "n_bytes", "n_tokens", "prefix_steps"])
+                if limit is not None:
+                    cut.append(len(made) if total[-1] <= limit else longest_prefix(made, limit))
+            columns = {"doc_id": batch["doc_id"], "n_bytes": pa.array(n, pa.int64()), "n_tokens": pa.array(total, pa.int64()), "prefix_steps": pa.array(steps, pa.binary())}
+            if limit is not None:
+                columns |= {"over_limit": pa.array([t > limit for t in total], pa.bool_()), "bytes_in_limit": pa.array(cut, pa.int64())}
+            yield pa.RecordBatch.from_pydict(columns)
 
         return work
 
-    return map_texts(docs, id_col, text_col, make, STORED)
+    return map_texts(docs, id_col, text_col, make, STORED if limit is None else STORED + ANSWERS)
 
 
-BUDGET = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, bytes_in_limit bigint"
+BUDGET = "doc_id bigint, n_bytes bigint, n_tokens bigint" + ANSWERS
 
 
 def within_budget(tables: DataFrame, limit: int) -> DataFrame:
@@ -176,4 +197,5 @@ def within_budget(tables: DataFrame, limit: int) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return within_budget(prefix_tables(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN), 512)
+    made = prefix_tables(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=512)
+    return made.drop("prefix_steps")

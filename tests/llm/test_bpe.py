@@ -1,3 +1,5 @@
+import hashlib
+import itertools
 import random
 
 import public_tokenizers
@@ -52,7 +54,7 @@ def test_prefix_counts_equal_encoding_each_prefix():
     library = Tokenizer.from_file(JSON)
     ranks, special = token_counts.load_json(JSON)
     assert special == ["<|endoftext|>"]
-    table = token_counts.PrefixTable(ranks, special, public_tokenizers.PATTERN, pieces=200)
+    table = token_counts.PrefixTable(ranks, special, public_tokenizers.PATTERN, cache_bytes=60_000)
     for text in [*texts(250, 11)[6:], "a  b", "x <|endoftext|> y<|endoftext|>", "I'll 'l <|endoftext", "   \n  \n z", "ab" + " " * 40 + "c"]:
         steps = table.table(text)
         counts = [0, *steps.cumsum(dtype=int)]
@@ -62,3 +64,63 @@ def test_prefix_counts_equal_encoding_each_prefix():
             assert counts[len(head.encode())] == len(library.encode(head, add_special_tokens=False).ids), (text, k)
     long = table.table("word " * 4000 + " " * 5000)
     assert long.sum(dtype=int) == len(library.encode("word " * 4000 + " " * 5000).ids)
+
+
+TAILS = [bytes(t) for k in (1, 2, 3) for t in itertools.product((0x80, 0x90, 0x9F, 0xA0, 0xBF), repeat=k)]
+
+
+class Characters:
+    def __contains__(self, raw):
+        try:
+            return len(raw.decode()) == 1
+        except UnicodeDecodeError:
+            return False
+
+
+CHARACTERS = Characters()
+EDGE = [None, "", " ", "x <|endoftext|> é 日本🙂", "word " * 30_000, "same", "same", "'ll   \n", "word " * 30_000]
+
+
+def test_stored_tables_answer_budgets(frame):
+    library = Tokenizer.from_file(JSON)
+    docs, size = frame(EDGE), [len(library.encode(t or "", add_special_tokens=False).ids) for t in EDGE]
+    stored = token_counts.prefix_tables(docs, JSON, public_tokenizers.PATTERN)
+    for limit in (0, 3, 512):
+        rows = {r["doc_id"]: r for r in token_counts.within_budget(stored, limit).collect()}
+        at_once = {r["doc_id"]: r for r in token_counts.prefix_tables(docs, JSON, public_tokenizers.PATTERN, limit=limit, cache_bytes=4000).drop("prefix_steps").collect()}
+        assert rows == at_once and len(rows) == len(EDGE)
+        for i, t in enumerate(EDGE):
+            raw, r = (t or "").encode(), rows[i]
+            assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(raw), size[i], size[i] > limit)
+            head = raw[: r["bytes_in_limit"]].decode("utf-8", "ignore")
+            assert len(library.encode(head, add_special_tokens=False).ids) <= limit and (size[i] > limit) == (r["bytes_in_limit"] < len(raw))
+    assert token_counts.prefix_tables(frame([]), JSON, public_tokenizers.PATTERN, limit=5).count() == 0
+
+
+def test_documents_there_and_back(frame):
+    path, docs = public_tokenizers.path("byte_bpe_50k.tiktoken"), frame(EDGE)
+    ids = {r["doc_id"]: r["ids"] for r in bpe.encode_documents(docs, path, public_tokenizers.PATTERN).collect()}
+    assert ids == {i: LIBRARY.encode_ordinary(t or "") for i, t in enumerate(EDGE)}
+    back = bpe.decode_documents(bpe.encode_documents(docs, path, public_tokenizers.PATTERN), path)
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in enumerate(EDGE)}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    for r in bpe.round_trip(docs, path, public_tokenizers.PATTERN).collect():
+        want, text = ids[r["doc_id"]], EDGE[r["doc_id"]] or ""
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(want), sha(" ".join(map(str, want)).encode()), sha(text.encode()))
+    assert bpe.round_trip(frame([]), path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_utf8_machine_on_bytes_that_are_not_utf8():
+    rnd, odd = random.Random(5), b"a\x80\xbf\xc0\xc3\xa9\xe0\xa0\xed\x9f\xe2\x82\xac\xf0\x90\x9f\xf4\x8f\xf5\xff"
+    for _ in range(4000):
+        raw = bytes(rnd.choices(odd, k=rnd.randint(0, 14)))
+        machine, at, parts = bpe.Utf8Machine(), 0, []
+        while at < len(raw):
+            k = rnd.randint(1, 4)
+            parts.append(machine.push(raw[at : at + k]))
+            at += k
+            held = machine.tail  # what is held can still become one character, nothing else
+            assert len(held) < 4 and (not held or any(held + more in CHARACTERS for more in TAILS))
+        parts.append(machine.end())
+        assert b"".join(parts) == raw
+        assert "".join(p.decode("utf-8", "replace") for p in parts) == raw.decode("utf-8", "replace")
