@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Where a sentence ends (a closing quote or bracket there is consumed), and what a blank paragraph border is.
-SENTENCE_END = r"""(?<=[.!?])["')\]]?\s+(?=[A-Z0-9])"""
-PARAGRAPH = r"\n\s*\n"
+#: The characters that count as blank (Unicode white space and the ASCII separators), where a
+#: sentence ends (a closing quote or bracket there is consumed), and what a blank paragraph border is.
+BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+SENTENCE_END = rf"""(?<=[.!?])["')\]]?{BLANK}+(?=[A-Z0-9])"""
+PARAGRAPH = rf"\n{BLANK}*\n"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for a row however often body names it, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
 
 
 def words(c: Column) -> Column:
-    return F.filter(F.split(strip(c), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(c, f"{BLANK}+"), lambda w: w != "")
 
 
 def window_starts(n: Column, size: int, step: int) -> Column:
@@ -24,29 +33,43 @@ def window_starts(n: Column, size: int, step: int) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def fixed_windows(c: Column, size: int = 512, overlap: int = 50) -> Column:
+def checked_window(size: int, overlap: int) -> int:
+    """The step from a window to the next one."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("size > 0 and 0 <= overlap < size are needed")
-    w = words(c)
-    return F.transform(window_starts(F.size(w), size, size - overlap), lambda k: F.array_join(F.slice(w, k * (size - overlap) + 1, F.lit(size)), " "))
+    return size - overlap
+
+
+def joined_windows(parts: Column, size: int, step: int, glue: str) -> Column:
+    return let(parts, lambda p: F.transform(window_starts(F.size(p), size, step), lambda k: F.array_join(F.slice(p, k * step + 1, F.lit(size)), glue)))
+
+
+def fixed_windows(c: Column, size: int = 512, overlap: int = 50) -> Column:
+    return joined_windows(words(c), size, checked_window(size, overlap), " ")
 
 
 def paragraphs(c: Column) -> Column:
+    """Parts between blank lines; between lines, if that gives one part only."""
     parts = lambda pattern: F.filter(F.transform(F.split(c, pattern), strip), lambda p: p != "")
-    return F.when(F.size(parts(PARAGRAPH)) > 1, parts(PARAGRAPH)).otherwise(parts("\n"))
+    return let(parts(PARAGRAPH), lambda p: F.when(F.size(p) > 1, p).otherwise(parts("\n")))
 
 
 def paragraph_groups(c: Column, size: int = 2, overlap: int = 1) -> Column:
-    p = paragraphs(c)
-    return F.transform(window_starts(F.size(p), size, size - overlap), lambda k: F.array_join(F.slice(p, k * (size - overlap) + 1, F.lit(size)), "\n\n"))
+    return joined_windows(paragraphs(c), size, checked_window(size, overlap), "\n\n")
 
 
 def summary_windows(c: Column, size: int = 500, overlap: int = 0, summary: int = 150) -> Column:
     """Character windows, each behind the text's own beginning."""
-    text = strip(c)
-    head = strip(F.replace(F.substring(text, 1, summary), F.lit("\n"), F.lit(" ")))
-    prefix = F.when(head != "", F.concat(head, F.lit("\n\n"))).otherwise("")
-    return F.transform(window_starts(F.length(text), size, size - overlap), lambda k: F.concat(prefix, F.substr(text, k * (size - overlap) + 1, F.lit(size))))
+    step = checked_window(size, overlap)
+    if summary < 0:
+        raise ValueError("summary >= 0 is needed")
+
+    def windows(text: Column) -> Column:
+        head = strip(F.replace(F.substring(text, 1, summary), F.lit("\n"), F.lit(" ")))
+        prefix = F.when(head != "", F.concat(head, F.lit("\n\n"))).otherwise("")
+        return let(prefix, lambda p: F.transform(window_starts(F.length(text), size, step), lambda k: F.concat(p, F.substr(text, k * step + 1, F.lit(size)))))
+
+    return let(strip(c), windows)
 
 
 def sentences(c: Column) -> Column:
@@ -54,18 +77,36 @@ def sentences(c: Column) -> Column:
 
 
 def letters(i: Column) -> Column:
-    """a..z, aa..zz, aaa..: up to 18,277."""
-    one = lambda x: F.char(97 + x)
-    two, three = i - 26, i - 702
-    return (
-        F.when(i < 26, one(i))
-        .when(i < 702, F.concat(one(F.floor(two / 26)), one(two % 26)))
-        .otherwise(F.concat(one(F.floor(three / 676)), one(F.floor(three / 26) % 26), one(three % 26)))
-    )
+    """a..z, aa..zz, aaa..: bijective in base 26, up to five letters (12,356,630)."""
+    out, before, size = None, 0, 26
+    for width in range(1, 6):
+        digits = F.concat(*[F.char(97 + F.floor((i - before) / 26**k) % 26) for k in reversed(range(width))])
+        out = F.when(i < before + size, digits) if out is None else out.when(i < before + size, digits)
+        before, size = before + size, size * 26
+    return out
+
+
+def keyed(parts: Column, prefix: Column) -> Column:
+    return F.transform(parts, lambda s, i: F.struct(F.concat(prefix, letters(i)).alias("key"), s.alias("text")))
 
 
 def keyed_sentences(c: Column, prefix: Column) -> Column:
-    return F.transform(sentences(c), lambda s, i: F.struct(F.concat(prefix, letters(i)).alias("key"), s.alias("text")))
+    """The sentences of an answer, or of one document, with their keys."""
+    return keyed(sentences(c), prefix)
+
+
+def keyed_documents(documents: Column) -> Column:
+    """documents: the sentences of each. Keys begin with the document's number; one without sentences still has a number."""
+    return F.transform(documents, lambda d, i: keyed(d, i.cast("string")))
+
+
+def split_documents(texts: Column) -> Column:
+    return F.transform(texts, lambda t: sentences(F.coalesce(t, F.lit(""))))
+
+
+def segmented(texts: Column, answer: Column) -> Column:
+    """What a judge labels: keyed sentences of all documents and of the answer (plain letters)."""
+    return F.struct(keyed_documents(split_documents(texts)).alias("documents"), keyed_sentences(F.coalesce(answer, F.lit("")), F.lit("")).alias("response"))
 
 
 def token_set(c: Column) -> Column:

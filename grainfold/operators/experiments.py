@@ -6,38 +6,15 @@ from collections import Counter
 from copy import deepcopy
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.operators.evaluation import METRICS
-from grainfold.sources.tables import STAGES
+from grainfold.sources.tables import STAGES, running_totals
 
 REQUIRED = [s for s in STAGES if s not in ("reranker", "repacker", "summarizer")]
 
 
-class Registry:
-    """Makers by kind and name."""
-
-    def __init__(self) -> None:
-        self.made: dict[tuple[str, str], object] = {}
-
-    def register(self, kind: str, name: str):
-        def put(maker):
-            if self.made.setdefault((kind, name), maker) is not maker:
-                raise ValueError(f"{kind} {name!r} is registered already")
-            return maker
-
-        return put
-
-    def available(self, kind: str) -> list[str]:
-        return sorted(n for k, n in self.made if k == kind)
-
-    def build(self, kind: str, name: str, **parameters):
-        if (kind, name) not in self.made:
-            raise KeyError(f"unknown {kind} {name!r}, there are {self.available(kind)}")
-        return self.made[kind, name](**parameters)
-
-
 def config_id(config: dict) -> str:
     """The types of the stages; none for those left out."""
     missing = [s for s in REQUIRED if not config.get(s)]
@@ -55,11 +32,6 @@ def grid(configs: dict[str, dict], domains: list[str], generator: dict | None =
     return cells
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """Equal texts once, with the smallest doc_id."""
-    return docs.groupBy("text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "text")
-
-
 def means(rows: DataFrame, *by: str) -> DataFrame:
     """Mean scores; n_scored counts rows with scores; without any, the scoring is pending."""
     n = F.count("relevance")
@@ -70,38 +42,68 @@ def means(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def comparison(matrix: DataFrame, reference: DataFrame, *key: str) -> DataFrame:
-    """matrix with {metric}_ref and {metric}_gap; null where there is no reference or no score."""
+    """matrix with {metric}_ref and {metric}_gap side by side; null where there is no reference or no score.
+
+    The reference has a row a domain and sample size at most, the matrix one a configuration and domain.
+    """
     names = (*METRICS, "adherence")
     ref = reference.select(*key, *[F.col(m).alias(f"{m}_ref") for m in names])
-    return matrix.join(ref, list(key), "left").withColumns({f"{m}_gap": F.round(F.col(m) - F.col(f"{m}_ref"), 6) for m in names})
+    gap = lambda m: F.round(F.col(m).cast("double") - F.col(f"{m}_ref"), 6)
+    pairs = [c for m in names for c in (F.col(f"{m}_ref"), gap(m).alias(f"{m}_gap"))]
+    return matrix.join(ref, list(key), "left").select(*matrix.columns, *pairs)
 
 
 def label(name: Column, config: Column) -> Column:
     return F.regexp_replace(F.coalesce(name, config, F.lit("")), r"\.yaml$", "")
 
 
-def costs(calls: DataFrame, prices: DataFrame, cap: float) -> DataFrame:
-    """calls (leg, call_no, model, in_tokens, out_tokens) with cost, the leg's running total and whether that is above the cap.
+#: Prices (US dollars a million tokens, in and out) and what a run may cost.
+PRICES = [
+    ("llama-3.3-70b-versatile", 0.59, 0.79),
+    ("llama-3.1-70b-versatile", 0.59, 0.79),
+    ("llama-3.1-8b-instant", 0.05, 0.08),
+]
+CAP_USD = 4.50
+PRICE_COLUMNS = "model string, price_in double, price_out double"
 
-    prices (model, price_in, price_out, a million tokens): a table of models, broadcast; an unknown model costs as
-    much as the dearest one, for each side. The running total is kept within a leg: legs are counted apart.
-    """
+
+def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
+    """calls with cost_usd, to six places. An unknown model costs as much as the dearest one, for each side.
+    prices (model, price_in, price_out): a table of models, broadcast."""
     top = prices.agg(F.max("price_in").alias("top_in"), F.max("price_out").alias("top_out"))
-    priced = calls.join(F.broadcast(prices), "model", "left").join(F.broadcast(top), how="cross")
-    cost = F.round((F.col("in_tokens") * F.coalesce("price_in", "top_in") + F.col("out_tokens") * F.coalesce("price_out", "top_out")) / 1e6, 6)
-    so_far = Window.partitionBy("leg").orderBy("call_no").rowsBetween(Window.unboundedPreceding, 0)
-    out = priced.withColumn("cost_usd", cost).withColumn("total_usd", F.round(F.sum("cost_usd").over(so_far), 6))
-    return out.select(*calls.columns, "cost_usd", "total_usd", (F.col("total_usd") > cap).alias("over_cap"))
+    met = calls.join(F.broadcast(prices), "model", "left").join(F.broadcast(top), how="cross")  # one row
+    tokens = lambda c: F.coalesce(F.col(c), F.lit(0))
+    cost = (tokens("in_tokens") * F.coalesce("price_in", "top_in") + tokens("out_tokens") * F.coalesce("price_out", "top_out")) / 1e6
+    return met.select(*calls.columns, F.round(cost, 6).alias("cost_usd"))
+
+
+def costs(calls: DataFrame, prices: DataFrame, cap: float = CAP_USD) -> DataFrame:
+    """calls (leg, call_no, model, in_tokens, out_tokens) with cost, the leg's and all legs' running totals by call_no, and
+    whether all of them together are above the cap. No task sees more than its range of calls."""
+    legs = running_totals(priced(calls, prices), "cost_usd", "total_usd", "call_no", by="leg", by_total="leg_usd")
+    return legs.select(*calls.columns, "cost_usd", F.round("leg_usd", 6).alias("leg_usd"), F.round("total_usd", 6).alias("total_usd"), (F.round("total_usd", 6) > cap).alias("over_cap"))
 
 
 def cost_report(priced: DataFrame) -> DataFrame:
     return priced.groupBy("leg").agg(F.count(F.lit(1)).alias("calls"), F.sum("in_tokens").alias("in_tokens"), F.sum("out_tokens").alias("out_tokens"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
 
 
-def echo(prompt: Column) -> Column:
-    """A generator without a model: the prompt's length and the first line that begins with question:."""
-    asked = F.trim(F.regexp_extract(prompt, r"(?im)^[ \t]*question:(.*)$", 1))
-    return F.concat(F.lit("[ECHO] received a prompt of "), F.length(prompt).cast("string"), F.lit(" chars"), F.when(asked != "", F.concat(F.lit("; question was: "), asked)).otherwise(""))
+def cost_state(calls: DataFrame, prices: DataFrame, cap: float = CAP_USD) -> DataFrame:
+    """One row: what each leg and all together cost so far. A leg without calls has zeros."""
+    legs = cost_report(priced(calls.where(F.col("leg").isin("gen", "judge")), prices))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    leg = lambda name: F.struct(
+        *[zero(F.max(F.when(F.col("leg") == name, F.col(c)))).alias(c) for c in ("calls", "in_tokens", "out_tokens")],
+        F.coalesce(F.max(F.when(F.col("leg") == name, F.col("cost_usd"))), F.lit(0.0)).alias("cost_usd"),
+    ).alias(name)
+    total = F.round(F.coalesce(F.sum("cost_usd"), F.lit(0.0)), 6)
+    return legs.agg(leg("gen"), leg("judge"), total.alias("total_usd"), F.lit(cap).alias("hard_cap_usd"))
+
+
+def cost_line(state: DataFrame) -> DataFrame:
+    """The state in one line of text."""
+    part = lambda leg: F.format_string(f"{leg} %d calls $%.4f", F.col(f"{leg}.calls"), F.col(f"{leg}.cost_usd"))
+    return state.select(F.concat_ws(" | ", part("gen"), part("judge"), F.format_string("total $%.4f of $%.2f", "total_usd", "hard_cap_usd")).alias("line"))
 
 
 def length_cap(generated: DataFrame, cap: int, *by: str) -> DataFrame:

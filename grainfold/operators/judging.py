@@ -1,18 +1,57 @@
-"""Labels of a judge model: its answer's JSON, repaired where possible, and the scores that follow from it."""
+"""Labels of a judge model: the question put to it, its answer's JSON, repaired where possible, and the scores that follow."""
 
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from grainfold.operators import evaluation
+from grainfold.session import ship_package
 
-LABEL = "struct<all_relevant_sentence_keys: array<string>, all_utilized_sentence_keys: array<string>, overall_supported: string>"
+#: The names in a label, and what a fenced object looks like.
+RELEVANT, UTILIZED, SUPPORTED = "all_relevant_sentence_keys", "all_utilized_sentence_keys", "overall_supported"
 FENCED = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+LABEL = f"struct<{RELEVANT}: array<string>, {UTILIZED}: array<string>, {SUPPORTED}: boolean>"
+
+QUESTION = """You check how an answer uses the documents it was given. Every sentence has a key.
+
+Documents:
+{documents}
+
+Question:
+{question}
+
+Answer:
+{response}
+
+Reply with one JSON object and nothing else, with these fields:
+"relevance_explanation": a string, which parts of the documents help with the question, and why;
+"all_relevant_sentence_keys": a list of the keys of all document sentences that help with the question;
+"overall_supported_explanation": a string, whether the documents support the answer, sentence by sentence;
+"overall_supported": true if they support all of it, otherwise false;
+"sentence_support_information": a list with an object for each sentence of the answer: "response_sentence_key", "explanation", "supporting_sentence_keys" (a list of keys) and "fully_supported" (true or false);
+"all_utilized_sentence_keys": a list of the keys of all document sentences that the answer makes use of."""
+CONSERVATIVE = "Be strict about relevance and use: list a key only if its sentence is needed for the question, or if the answer clearly takes something from it. When in doubt, leave it out."
+
+
+def lines(keyed: Column) -> Column:
+    return F.array_join(F.transform(keyed, lambda s: F.concat(s["key"], F.lit(". "), s["text"])), "\n")
+
+
+def judge_prompt(question: Column, documents: Column, response: Column, conservative: bool = False) -> Column:
+    """documents: an array of keyed sentences each; response: keyed sentences."""
+    values = {"documents": lines(F.flatten(documents)), "question": F.coalesce(question, F.lit("")), "response": lines(response)}
+    parts = [values[p] if i % 2 else F.lit(p) for i, p in enumerate(re.split(r"\{(\w+)\}", QUESTION))]
+    return F.concat(*parts, F.lit(f"\n\n{CONSERVATIVE}" if conservative else ""))
+
+
+def total_sentences(documents: Column) -> Column:
+    """Sentences of all documents."""
+    return F.aggregate(documents, F.lit(0), lambda n, d: n + F.size(d))
 
 
 def json_part(answer: Column) -> Column:
@@ -35,7 +74,7 @@ def escape_inner_quotes(text: str | None) -> str | None:
             i += 2
             continue
         if c == '"':
-            ends = not inside or text[i + 1 :].lstrip()[:1] in ("", ":", ",", "}", "]")
+            ends = not inside or next((x for x in text[i + 1 :] if not x.isspace()), "") in ("", ":", ",", "}", "]")
             inside = not inside if ends else inside
             c = c if ends else '\\"'
         out.append(c)
@@ -43,45 +82,66 @@ def escape_inner_quotes(text: str | None) -> str | None:
     return "".join(out)
 
 
-def is_object(text: str | None) -> bool:
-    try:
-        return text is not None and isinstance(json.loads(text), dict)
-    except ValueError:
-        return False
-
+def parsed_object(text: str | None) -> dict | None:
+    """The JSON object in a text as it is, or else in the repaired text."""
+    for candidate in (text, escape_inner_quotes(text)):
+        try:
+            found = json.loads(candidate) if candidate is not None else None
+        except ValueError:
+            continue
+        if isinstance(found, dict):
+            return found
+    return None
 
-def sound_json(text: Column) -> Column:
-    """The text if it is a JSON object, else the repaired text if that is one, else null."""
 
-    def one(x: str | None) -> str | None:
-        return next((y for y in (x, escape_inner_quotes(x)) if is_object(y)), None)
+def label_of(answer: str | None) -> dict | None:
+    """The object in a judge's answer; None if there is none that can be read."""
+    answer = answer or ""
+    fenced = re.search(FENCED, answer)
+    first, last = answer.find("{"), answer.rfind("}")
+    return parsed_object(fenced[1] if fenced else answer[first : last + 1] if 0 <= first < last else None)
 
-    def every(texts: pd.Series) -> pd.Series:
-        return pd.Series([one(x) for x in texts], dtype=object)
 
-    return F.pandas_udf(every, StringType())(text)
+def canonical(label: dict | None) -> str | None:
+    """The label with its lists as lists of strings and the verdict as a boolean by the rules of truth: an empty string,
+    list or object, zero and null are false, anything else, the string "false" too, is true. What is missing is empty or
+    false. None if a list is null, a number or a boolean, or holds what is no plain value."""
+    if label is None:
+        return None
+    out: dict = {SUPPORTED: bool(label.get(SUPPORTED, False))}
+    for name in (RELEVANT, UTILIZED):
+        keys = label.get(name, [])
+        if not isinstance(keys, list | str | dict) or any(isinstance(k, list | dict) for k in keys):
+            return None
+        out[name] = [k if isinstance(k, str) else json.dumps(k) for k in keys]
+    return json.dumps(out)
 
 
 def parsed(answer: Column) -> Column:
     """The label in an answer, null where it has none."""
-    sound = sound_json(json_part(answer))
-    return F.when(sound.isNotNull(), F.from_json(sound, LABEL))
 
+    def every(texts: pd.Series) -> pd.Series:
+        return pd.Series([canonical(parsed_object(x)) for x in texts], dtype=object)
 
-def supported(c: Column) -> Column:
-    """Any value but false, null, zero and an empty string counts as true; a missing one as false."""
-    return F.coalesce(~F.lower(c).isin("false", "", "0", "0.0"), F.lit(False))
+    ship_package(SparkSession.active())
+    return F.from_json(F.pandas_udf(every, "string")(json_part(answer)), LABEL)
 
 
 def scored(answers: DataFrame, answer: str = "answer", total: str = "n_sentences") -> DataFrame:
     """answers with the four scores; all null where the answer has no label, and failed is true there."""
     label = answers.withColumn("__label", parsed(F.col(answer)))
-    none = F.array().cast("array<string>")
-    keys = lambda name: F.coalesce(F.col(f"__label.{name}"), none)
-    scores = evaluation.grounding(F.col(total), keys("all_relevant_sentence_keys"), keys("all_utilized_sentence_keys"), none)[:3]
+    scores = evaluation.grounding(F.col(total), F.col(f"__label.{RELEVANT}"), F.col(f"__label.{UTILIZED}"), F.array())[:3]
     given = F.col("__label").isNotNull()
     scores = [F.when(given, s).alias(m) for s, m in zip(scores, evaluation.METRICS, strict=True)]
-    return label.select(*answers.columns, *scores, F.when(given, supported(F.col("__label.overall_supported"))).alias("adherence"), (~given).alias("failed"))
+    return label.select(*answers.columns, *scores, F.when(given, F.col(f"__label.{SUPPORTED}")).alias("adherence"), (~given).alias("failed"))
+
+
+def fake_scores(df: DataFrame, documents: str, relevant: float, utilized: float, supported: bool) -> DataFrame:
+    """A judge without a model: the first part of all keys, one at least if there are any."""
+    keys = df.withColumn("__keys", F.transform(F.flatten(documents), lambda s: s["key"]))
+    cut = keys.withColumns({"__r": evaluation.first_keys(F.col("__keys"), relevant), "__u": evaluation.first_keys(F.col("__keys"), utilized)})
+    scores = evaluation.grounding(F.size("__keys"), F.col("__r"), F.col("__u"), F.array())[:3]
+    return cut.select(*df.columns, *scores, F.lit(supported).alias("adherence"), F.lit(False).alias("failed"))
 
 
 def judge_report(rows: DataFrame, *by: str) -> DataFrame:
@@ -94,4 +154,19 @@ def judge_report(rows: DataFrame, *by: str) -> DataFrame:
         for name, v in (("rmse", F.sqrt(F.avg(d * d))), ("mae", F.avg(F.abs(d))), ("signed", F.avg(d))):
             out.append(F.round(F.coalesce(v, F.lit(0.0)), 6).alias(f"{m}_{name}"))
     us, ref = F.col("adherence"), F.col("adherence_ref")
-    return rows.groupBy(*by).agg(*out, *[F.round(rate(c), 6).alias(n) for n, c in (("accuracy", us == ref), ("over_flag", ~us & ref), ("under_flag", us & ~ref))])
+    rates = (("adherence_acc", us == ref), ("adherence_over_flag", ~us & ref), ("adherence_under_flag", us & ~ref))
+    return rows.groupBy(*by).agg(*out, *[F.round(rate(c), 6).alias(n) for n, c in rates])
+
+
+def judge_verdict(*reports: DataFrame) -> DataFrame:
+    """Mean agreement by model and prompt variant. Reports of different age: one without a variant is the baseline; of
+    rows with equal model, variant and config the last report's holds (within a report, that of its last line)."""
+    every = None
+    for i, r in enumerate(reports):
+        variant = F.coalesce("prompt_variant", F.lit("baseline")) if "prompt_variant" in r.columns else F.lit("baseline")
+        line = F.col("line_no") if "line_no" in r.columns else F.lit(0)
+        one = r.select("model", variant.alias("prompt_variant"), "config", "relevance_rmse", "relevance_signed", "utilization_rmse", "completeness_rmse", "adherence_acc", F.struct(F.lit(i).alias("file"), line.cast("bigint").alias("line")).alias("at"))
+        every = one if every is None else every.unionByName(one)
+    figures = ("relevance_rmse", "relevance_signed", "utilization_rmse", "completeness_rmse", "adherence_acc")
+    last = every.groupBy("model", "prompt_variant", "config").agg(F.max_by(F.struct(*figures), "at").alias("r"))
+    return last.groupBy("model", "prompt_variant").agg(F.count(F.lit(1)).alias("configs"), *[F.round(F.avg(f"r.{c}"), 3).alias(c) for c in figures])

@@ -1,86 +1,273 @@
-"""Exact vector search, BM25 and rank fusion. Hits are (query_id, doc_id, score, rank), rank 0 first."""
+"""Vector search, BM25, overlap of words, rank fusion and diversification.
+
+Queries are (corpus_id, query_id, query) and documents or chunks (corpus_id, doc_id, text or embedding); a query looks at
+the documents of its corpus only. Without a corpus_id column there is one corpus. doc_id may be any type with an order:
+it is the place in the corpus by which ties are decided. Hits are (query_id, doc_id, score, rank), rank 0 first.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfold.functions import text as T
+from grainfold.functions.vectors import dot
+from grainfold.operators.embedding import Embedder
+from grainfold.operators.registry import register
+from grainfold.session import ship_package, sized, stash
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+BLOCK, QUERY_BYTES = 2048, 256 << 20
 
 
 def top(hits: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The first k hits of each query. Each task limits its own rows before they are shuffled."""
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1)
     return ranked.where(F.col("rank") < k)
 
 
+def with_corpus(df: DataFrame) -> DataFrame:
+    return df if "corpus_id" in df.columns else df.withColumn("corpus_id", F.lit(0))
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+# Vectors
+
+
+def checked_vectors(index: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
+    """The same rows; one with another dimension is an error when it is read."""
+    wrong = F.raise_error(F.concat(F.lit(f"a vector of dimension {dim} is needed, not "), F.size(column).cast("string")))
+    return index.withColumn(column, F.when(F.size(column) == dim, F.col(column)).otherwise(wrong.cast(index.schema[column].dataType)))
+
+
+def added(index: DataFrame | None, more: DataFrame, dim: int) -> DataFrame:
+    """An index of vectors with more rows."""
+    more = checked_vectors(more, dim)
+    return more if index is None else index.unionByName(more)
+
+
+def vector_blocks(df: DataFrame, key: str, vector: str, size: int = BLOCK) -> DataFrame:
+    """Rows of up to size vectors: their keys in order and one matrix, row by row. A batch of rows makes its own blocks."""
+
+    def place(k):
+        return tuple((v is not None, v) for v in k.values()) if isinstance(k, dict) else (k is not None, k)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                keys = part["key"].to_pylist()
+                order = sorted(range(len(keys)), key=lambda i: place(keys[i]))
+                vectors = part["vector"].to_pylist()
+                width = {len(v) for v in vectors}
+                if len(width) > 1:
+                    raise ValueError(f"vectors of several dimensions: {sorted(width)}")
+                flat = np.array([vectors[i] for i in order], np.float64).tobytes()
+                ordered = part["key"].take(pa.array(order, pa.int64()))
+                lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), ordered)
+                yield pa.RecordBatch.from_arrays([lists, pa.array([flat], pa.binary())], ["keys", "matrix"])
+
+    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector")).dropna()
+    return rows.mapInArrow(run, f"keys array<{kind_of(rows, 'key')}>, matrix binary")
+
+
+def search_blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Each block of queries against each block of vectors as one matrix product, of which the k best of each query go on."""
+    ship_package(queries.sparkSession)
+    q = vector_blocks(queries, "query_id", "query").withColumnsRenamed({"keys": "asked", "matrix": "queries"})
+    v = vector_blocks(vectors, "doc_id", "embedding")
+    kinds = kind_of(queries, "query_id"), kind_of(vectors, "doc_id")
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                asked, keys = batch["asked"][row].values, batch["keys"][row].values
+                a = np.frombuffer(batch["queries"][row].as_py()).reshape(len(asked), -1)
+                b = np.frombuffer(batch["matrix"][row].as_py()).reshape(len(keys), -1)
+                scores = np.round(a @ b.T, 6)
+                whose, which = [], []
+                few = min(k, len(keys))
+                least = np.partition(scores, len(keys) - few, axis=1)[:, len(keys) - few]
+                for i, line in enumerate(scores):
+                    found = np.flatnonzero(line >= least[i])
+                    found = found[np.argsort(-line[found], kind="stable")][:few]
+                    whose.append(np.full(len(found), i))
+                    which.append(found)
+                whose, which = np.concatenate(whose), np.concatenate(which)
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(whose)), keys.take(pa.array(which)), pa.array(scores[whose, which] + 0.0)], ["query_id", "doc_id", "score"])
+
+    q = stash(q, "query_blocks")
+    fits = (q.agg(F.sum(F.octet_length("queries"))).first()[0] or 0) <= QUERY_BYTES
+    pairs = v.crossJoin(F.broadcast(q) if fits else q)  # a stated query set against all rows, in blocks
+    return pairs.mapInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+
+
 def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """Inner product of each query (query_id, query) with every vector (doc_id, embedding)."""
-    pairs = vectors.join(queries)  # a stated query set against all rows
-    hits = pairs.select("query_id", "doc_id", F.round(dot(F.col("query"), F.col("embedding")), 6).alias("score"))
-    return top(hits, k, F.desc("score"), F.col("doc_id"))
+    """The k largest inner products of each query (query_id, query) with vectors (doc_id, embedding), to six places."""
+    if k < 1:
+        raise ValueError("k >= 1 is needed")
+    if "corpus_id" in queries.columns:
+        pairs = vectors.join(queries, "corpus_id").select("query_id", "doc_id", F.round(dot(F.col("query"), F.col("embedding")), 6).alias("score"))
+    else:
+        pairs = search_blocks(queries, vectors, k)
+    return top(pairs, k, F.desc("score"), F.col("doc_id"))
+
+
+def dense_search(queries: DataFrame, docs: DataFrame, embedder: Embedder, k: int = 5) -> DataFrame:
+    """Texts and queries through the same embedder."""
+    vectors = docs.select(*[c for c in ("corpus_id", "doc_id") if c in docs.columns], embedder.one(F.col("text")).alias("embedding"))
+    return vector_search(queries.withColumn("query", embedder.one(F.col("query"))), vectors, k)
+
+
+# Words. A token of its own, the empty one, which no text has, is asked by every query of the first documents of its
+# corpus and is worth nothing: so the places that matches leave over go to these documents.
+
+
+def first_documents(docs: DataFrame, k: int) -> DataFrame:
+    first = Window.partitionBy("corpus_id").orderBy("doc_id")
+    return docs.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= k).drop("__n")
+
+
+def asked_postings(docs: DataFrame, tokens: str, asked: DataFrame, k: int) -> DataFrame:
+    """(corpus_id, doc_id, size, term) of each token in the array `tokens` that any query asks for, dealt out by document."""
+    terms = sized(asked.select("corpus_id", "term").distinct(), 2_000_000)
+    exploded = docs.select("corpus_id", "doc_id", "size", F.explode(tokens).alias("term")).join(terms, ["corpus_id", "term"], "left_semi")
+    fill = first_documents(docs.select("corpus_id", "doc_id"), k).select("corpus_id", "doc_id", F.lit(0).alias("size"), F.lit("").alias("term"))
+    return exploded.unionByName(fill).repartition("corpus_id", "doc_id")
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
-    """BM25 with a floor for negative idf; documents without a match fill up k places in order of doc_id."""
-    lower = F.filter(F.split(T.strip(F.lower("text")), r"\s+"), lambda w: w != "")
-    size = docs.select("doc_id", F.size(lower).alias("dl"))
-    tf = docs.select("doc_id", F.explode(lower).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = size.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats))  # one row
-    idf = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.agg(F.avg("idf").alias("mean_idf"))
-    idf = idf.join(F.broadcast(mean)).withColumn("idf", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")))
-    asked = queries.select("query_id", F.explode(F.filter(F.split(T.strip(F.lower("query")), r"\s+"), lambda w: w != "")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    weight = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    matched = asked.join(idf, "term").join(tf, "term").join(size, "doc_id").groupBy("query_id", "doc_id").agg(F.sum(weight).alias("score"))
-    fill = docs.select("doc_id").orderBy("doc_id").limit(k)  # the places left over go to the first documents
-    zero = queries.select("query_id").join(fill).join(matched, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-    hits = matched.unionByName(zero).withColumn("score", F.round("score", 6))
-    return top(hits, k, F.desc("score"), F.col("doc_id"))
+    """BM25 with a floor for negative idf; documents without a match score 0 and fill up k places in their order."""
+    lower = lambda c: T.words(F.lower(c))
+    few = (lambda df: df) if "corpus_id" in queries.columns else F.broadcast  # one corpus: one row
+    queries = with_corpus(queries).select("corpus_id", "query_id", F.explode(F.concat(lower(F.col("query")), F.array(F.lit("")))).alias("term"))
+    asked = queries.groupBy("corpus_id", "query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
+    docs = with_corpus(docs).select("corpus_id", "doc_id", lower(F.coalesce("text", F.lit(""))).alias("w")).withColumn("size", F.size("w"))
+    once = docs.select("corpus_id", "size", F.explode(F.array_append(F.array_distinct("w"), F.lit(None))).alias("term"))  # null: the document itself
+    df = stash(once.groupBy("corpus_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("size").alias("words")), "vocabulary")  # read three times
+    stats = df.where("term IS NULL").select("corpus_id", F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
+    idf = df.where("term IS NOT NULL").select("corpus_id", "term", "df").join(few(stats), "corpus_id").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = idf.groupBy("corpus_id").agg(F.avg("idf").alias("mean_idf"))
+    known = asked.join(idf.select("corpus_id", "term", "idf"), ["corpus_id", "term"], "left").where("idf IS NOT NULL OR term = ''")
+    floor = F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.coalesce("idf", F.lit(0.0)))
+    weights = known.join(few(stats), "corpus_id").join(few(mean), "corpus_id", "left").select("corpus_id", "query_id", "term", (F.col("qf") * floor).alias("w"), "avgdl")
+    tf = asked_postings(docs, "w", asked, k).groupBy("corpus_id", "doc_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weight = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avgdl")))
+    weight = F.when(F.col("term") == "", 0.0).otherwise(weight)
+    scored = tf.join(sized(weights, 2_000_000), ["corpus_id", "term"]).groupBy("corpus_id", "query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
+    return top(scored.drop("corpus_id"), k, F.desc("score"), F.col("doc_id"))
+
+
+def overlap_search(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    """Distinct tokens shared with the query by the root of the document's distinct tokens: a dense list without vectors."""
+    tokens = lambda c: T.token_set(F.coalesce(c, F.lit("")))
+    asked = with_corpus(queries).select("corpus_id", "query_id", F.explode(F.array_append(tokens(F.col("query")), F.lit(""))).alias("term"))
+    docs = with_corpus(docs).select("corpus_id", "doc_id", tokens(F.col("text")).alias("t")).withColumn("size", F.size("t"))
+    met = asked_postings(docs, "t", asked, k).join(sized(asked, 2_000_000), ["corpus_id", "term"])
+    shared = F.sum(F.when(F.col("term") != "", 1).otherwise(0))
+    scored = met.groupBy("corpus_id", "query_id", "doc_id").agg(F.round(shared / F.sqrt(F.greatest(F.max("size"), F.lit(1))), 6).alias("score"))
+    return top(scored.drop("corpus_id"), k, F.desc("score"), F.col("doc_id"))
+
+
+# Lists of hits
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = 10, w_dense: float = 1.0, w_sparse: float = 1.0, k_rrf: int = 60) -> DataFrame:
-    """Reciprocal rank fusion: sum of w / (k_rrf + rank); ties in the order of the dense, then of the sparse list."""
-    d = dense.select("query_id", "doc_id", F.col("rank").alias("r1"))
-    s = sparse.select("query_id", "doc_id", F.col("rank").alias("r2"))
-    part = lambda w, r: F.coalesce(F.lit(w) / (k_rrf + F.col(r)), F.lit(0.0))
+    """Reciprocal rank fusion: sum of w / (k_rrf + rank); ties in the order of the dense, then of the sparse list.
+    A list of weight 0 is left out."""
+    d = dense.where(F.lit(w_dense != 0)).select("query_id", "doc_id", F.col("rank").alias("r1"))
+    s = sparse.where(F.lit(w_sparse != 0)).select("query_id", "doc_id", F.col("rank").alias("r2"))
+    part = lambda w, r: F.coalesce(F.lit(float(w)) / (k_rrf + F.col(r)), F.lit(0.0))
     both = d.join(s, ["query_id", "doc_id"], "full_outer").withColumn("score", F.round(part(w_dense, "r1") + part(w_sparse, "r2"), 9))
     return top(both, k, F.desc("score"), F.asc_nulls_last("r1"), F.asc_nulls_last("r2")).drop("r1", "r2")
 
 
 def diversify(hits: DataFrame, trade_off: float = 0.7) -> DataFrame:
-    """Maximal marginal relevance over each query's few candidates (query_id, doc_id, score, rank, embedding)."""
+    """Maximal marginal relevance over each query's few candidates (query_id, doc_id, score, rank, embedding).
+
+    Gains are compared to nine places, so that ties go to the earlier candidate whatever order sums are taken in.
+    """
     if not 0 <= trade_off <= 1:
         raise ValueError("0 <= trade_off <= 1 is needed")
 
-    def reorder(frame):
-        import numpy as np
-
-        frame = frame.sort_values("rank").reset_index(drop=True)
-        v = np.stack(frame["embedding"].to_numpy()).astype(float)
+    def reorder(group: pa.Table) -> pa.Table:
+        group = group.sort_by("rank")
+        v = np.array(group["embedding"].to_pylist(), float)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        score, order, left = frame["score"].to_numpy(), [], list(range(len(frame)))
+        near, score = v @ v.T, group["score"].to_numpy()
+        order, left = [], list(range(len(score)))
         while left:
-            gain = [score[i] if not order else trade_off * score[i] - (1 - trade_off) * max(v[i] @ v[j] for j in order) for i in left]
-            order.append(left.pop(int(np.argmax(gain))))
-        out = frame.loc[order, ["query_id", "doc_id", "score"]].reset_index(drop=True)
-        out["rank"] = range(len(out))
-        return out
+            gain = score[left] if not order else trade_off * score[left] - (1 - trade_off) * near[np.ix_(left, order)].max(1)
+            order.append(left.pop(int(np.argmax(np.round(gain, 9)))))
+        out = group.select(["query_id", "doc_id", "score"]).take(pa.array(order))
+        return out.append_column("rank", pa.array(range(len(order)), pa.int32()))
 
-    return hits.groupBy("query_id").applyInPandas(reorder, "query_id bigint, doc_id bigint, score double, rank int")
+    kinds = f"query_id {kind_of(hits, 'query_id')}, doc_id {kind_of(hits, 'doc_id')}, score double, rank int"
+    return hits.select("query_id", "doc_id", "score", "rank", "embedding").groupBy("query_id").applyInArrow(reorder, kinds)
 
 
-def redundancy(hits: DataFrame, limit: float = 0.9) -> DataFrame:
-    """Mean and largest similarity among each query's hits (query_id, rank, embedding), and the verdict over all queries."""
+def pairwise_similarity(hits: DataFrame) -> DataFrame:
+    """Mean and largest similarity among each query's hits (query_id, rank, embedding); null for fewer than two."""
     a, b = (hits.select("query_id", F.col("rank").alias(r), F.col("embedding").alias(e)) for r, e in (("ra", "ea"), ("rb", "eb")))
     pairs = a.join(b, "query_id").where("ra < rb").withColumn("s", dot(F.col("ea"), F.col("eb")))  # k hits a query
-    by_query = pairs.groupBy("query_id").agg(F.avg("s").alias("mean"), F.max("s").alias("highest"))
+    found = pairs.groupBy("query_id").agg(F.avg("s").alias("mean"), F.max("s").alias("highest"))
+    return hits.select("query_id").distinct().join(found, "query_id", "left")
+
+
+def redundancy(hits: DataFrame, top_n: int = 5, limit: float = 0.9) -> DataFrame:
+    """How alike the first top_n hits and all k hits of a query are, over all queries, and the verdict."""
+    near = pairwise_similarity(hits.where(F.col("rank") < top_n))
+    every = pairwise_similarity(hits).select("query_id", F.col("mean").alias("mean_all"))
     share = F.avg((F.col("highest") >= limit).cast("double"))
-    total = by_query.agg(F.round(F.avg("mean"), 6).alias("mean_similarity"), F.round(F.avg("highest"), 6).alias("mean_highest"), F.round(share, 6).alias("dup_share"))
+    total = near.join(every, "query_id").agg(
+        F.round(F.avg("mean"), 6).alias("mean_similarity"), F.round(F.avg("highest"), 6).alias("mean_highest"),
+        F.round(F.avg("mean_all"), 6).alias("mean_similarity_all"), F.round(share, 6).alias("dup_share"),
+    )
     return total.withColumn("verdict", F.when(F.col("dup_share") >= 0.6, "HIGH").when(F.col("dup_share") >= 0.4, "MODERATE").otherwise("LOW"))
+
+
+# Retrievers by name: (queries, docs, embedder, k) -> hits
+
+
+@register("retriever", "dense")
+def dense():
+    return dense_search
+
+
+@register("retriever", "bm25")
+def sparse():
+    return lambda queries, docs, embedder, k: bm25(queries, docs, k)
+
+
+@register("retriever", "hybrid")
+def hybrid(w_dense: float = 1.0, w_sparse: float = 1.0, k_rrf: int = 60):
+    return lambda queries, docs, embedder, k: fuse(dense_search(queries, docs, embedder, k), bm25(queries, docs, k), k, w_dense, w_sparse, k_rrf)
+
+
+@register("retriever", "mmr")
+def mmr(lambda_mult: float = 0.7):
+    if not 0 <= lambda_mult <= 1:
+        raise ValueError("0 <= lambda_mult <= 1 is needed")
+
+    def search(queries, docs, embedder, k):
+        texts = docs.select("doc_id", "text") if "corpus_id" not in docs.columns else docs.select("corpus_id", "doc_id", "text")
+        hits = dense_search(queries, docs, embedder, k)
+        if "corpus_id" in texts.columns:
+            hits = hits.join(queries.select("query_id", "corpus_id"), "query_id")
+        met = hits.join(texts, [c for c in texts.columns if c != "text"])
+        return diversify(met.withColumn("embedding", embedder.one(F.col("text"))), lambda_mult)
+
+    return search
+
+
+@register("index", "faiss", "exact")
+def exact(corpus_mode: str = "per_example", dim: int | None = None) -> str:
+    """The only index is the table of vectors itself; what is chosen is whose documents a query sees."""
+    if corpus_mode not in ("per_example", "pooled"):
+        raise ValueError("corpus_mode is 'per_example' or 'pooled'")
+    return corpus_mode

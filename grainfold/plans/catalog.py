@@ -4,284 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from grainfold.functions import text as T
-from grainfold.operators import chunking, evaluation, experiments, judging, ranking, retrieval
-from grainfold.session import ship_package
-from grainfold.streaming import usage
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def checked(chunks: DataFrame) -> DataFrame:
-    return chunks.select("doc_id", "chunk_no", "chunk_id", F.md5("text").alias("text_md5"))
-
-
-#: Expressions shared by the SQL: words of a text, and sentences (a border character instead of a look-behind).
-WORDS = r"list_filter(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '\s+'), lambda w: w != '')"
-SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '([.!?])["'')\]]?\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(13))), lambda s: s != '')"""
-
-
-@query(f"""WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents), c AS (
-SELECT doc_id, w, unnest(generate_series(0, greatest(0, ceil((len(w) - 128) / 112.0)::INT))) AS k FROM d WHERE len(w) > 0)
-SELECT doc_id, k::INT AS chunk_no, doc_id || '-' || k AS chunk_id, md5(array_to_string(w[k * 112 + 1 : k * 112 + 128], ' ')) AS text_md5 FROM c""")
-def chunk_fixed(spark, sf_dir):
-    return checked(chunking.chunk(table(spark, sf_dir, "documents"), "fixed", size=128, overlap=16))
-
-
-@query(r"""SELECT doc_id, 0 AS chunk_no, doc_id || '-0' AS chunk_id, md5(text) AS text_md5 FROM documents WHERE regexp_matches(text, '\S')""")
-def chunk_none(spark, sf_dir):
-    return checked(chunking.chunk(table(spark, sf_dir, "documents"), "none"))
-
-
-@query(r"""WITH d AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(p, ' ' || chr(9) || chr(13))), lambda p: p != '') AS p FROM documents), c AS (
-SELECT doc_id, p, unnest(generate_series(0, greatest(0, len(p) - 2))) AS k FROM d WHERE len(p) > 0)
-SELECT doc_id, k::INT AS chunk_no, doc_id || '-' || k AS chunk_id, md5(array_to_string(p[k + 1 : k + 2], chr(10) || chr(10))) AS text_md5 FROM c""")
-def chunk_paragraphs(spark, sf_dir):
-    return checked(chunking.chunk(table(spark, sf_dir, "documents"), "paragraphs"))
-
-
-@query(r"""WITH d AS (SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents), e AS (
-SELECT doc_id, t, trim(replace(substring(t, 1, 150), chr(10), ' ')) || chr(10) || chr(10) AS head, unnest(generate_series(0, greatest(0, ceil((length(t) - 500) / 400.0)::INT))) AS k FROM d WHERE t != '')
-SELECT doc_id, k::INT AS chunk_no, doc_id || '-' || k AS chunk_id, md5(head || substring(t, k * 400 + 1, 500)) AS text_md5 FROM e""")
-def chunk_summary(spark, sf_dir):
-    return checked(chunking.chunk(table(spark, sf_dir, "documents"), "summary", size=500, overlap=100))
-
-
-@query(f"""WITH d AS (SELECT doc_id, {SENTENCES} AS s FROM documents), e AS (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS i FROM d WHERE len(s) > 0)
-SELECT doc_id, '0' || CASE WHEN i <= 26 THEN chr((96 + i)::INT) WHEN i <= 702 THEN chr((97 + (i - 27) // 26)::INT) || chr((97 + (i - 27) % 26)::INT)
- ELSE chr((97 + (i - 703) // 676)::INT) || chr((97 + (i - 703) // 26 % 26)::INT) || chr((97 + (i - 703) % 26)::INT) END AS key, md5(s[i]) AS text_md5 FROM e""")
-def sentence_keys(spark, sf_dir):
-    keyed = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.keyed_sentences(F.col("text"), F.lit("0"))).alias("k"))
-    return keyed.select("doc_id", "k.key", F.md5("k.text").alias("text_md5"))
-
-
-@query("SELECT min(doc_id) AS doc_id, md5(text) AS text_md5 FROM documents GROUP BY text")
-def distinct_documents(spark, sf_dir):
-    return chunking.distinct_documents(table(spark, sf_dir, "documents")).select("doc_id", F.md5("text").alias("text_md5"))
-
-
-def vectors(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-
-
-def vector_queries(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-
-
-DENSE = """SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 6) AS score
-FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0"""
-
-
-@query(f"SELECT query_id, doc_id, round(score, 4) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1)::INT AS rank FROM ({DENSE}) QUALIFY rank < 10")
-def vector_search(spark, sf_dir):
-    return retrieval.vector_search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 10).withColumn("score", F.round("score", 4))
-
-
-@query()
-def diversified_search(spark, sf_dir):
-    hits = retrieval.vector_search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 20)
-    return retrieval.diversify(hits.join(vectors(spark, sf_dir), "doc_id"))
-
-
-@query(f"""WITH h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM ({DENSE}) QUALIFY rank < 5),
-v AS (SELECT h.query_id, h.rank, e.embedding FROM h JOIN embeddings e ON e.vec_id = h.doc_id),
-p AS (SELECT a.query_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)) AS s FROM v a JOIN v b ON a.query_id = b.query_id AND a.rank < b.rank),
-q AS (SELECT query_id, avg(s) AS mean, max(s) AS highest FROM p GROUP BY query_id),
-t AS (SELECT round(avg(mean), 6) AS mean_similarity, round(avg(highest), 6) AS mean_highest, round(avg((highest >= 0.9)::INT), 6) AS dup_share FROM q)
-SELECT *, CASE WHEN dup_share >= 0.6 THEN 'HIGH' WHEN dup_share >= 0.4 THEN 'MODERATE' ELSE 'LOW' END AS verdict FROM t""")
-def redundancy_probe(spark, sf_dir):
-    hits = retrieval.vector_search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 5).join(vectors(spark, sf_dir), "doc_id")
-    return retrieval.redundancy(hits)
-
-
-def text_queries(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-
-
-def bm25_sql(k: int) -> str:
-    return rf"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)), '\s+'), lambda w: w != '') AS w FROM documents),
-size AS (SELECT doc_id, len(w) AS dl FROM w), tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY ALL),
-idf0 AS (SELECT term, ln((SELECT count(*) FROM size) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf GROUP BY term),
-idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM idf0) ELSE idf END AS idf FROM idf0),
-asked AS (SELECT item_id AS query_id, term, count(*) AS qf FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)), '\s+'), lambda w: w != '')) AS term FROM benchmark) GROUP BY ALL),
-matched AS (SELECT query_id, doc_id, sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM size)))) AS score FROM asked JOIN idf USING (term) JOIN tf USING (term) JOIN size USING (doc_id) GROUP BY ALL),
-bm25 AS (SELECT query_id, doc_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) - 1)::INT AS rank FROM (
-  SELECT * FROM matched UNION ALL (SELECT item_id, d.doc_id, 0.0 FROM benchmark, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT {k}) d WHERE (item_id, d.doc_id) NOT IN (SELECT query_id, doc_id FROM matched))) QUALIFY rank < {k})"""
-
-
-@query(f"WITH {bm25_sql(10)} SELECT query_id, doc_id, round(score, 2) AS score, rank FROM bm25")
-def bm25_search(spark, sf_dir):
-    return retrieval.bm25(text_queries(spark, sf_dir), table(spark, sf_dir, "documents"), 10).withColumn("score", F.round("score", 2))
-
-
-#: A model-free dense view of texts: hashed words (a fixed number of cells), so that the hybrid needs no embedding model.
-LEXICAL = r"""q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents),
-overlap AS (SELECT query_id, doc_id, round(len(list_intersect(q.t, d.t)) / sqrt(greatest(len(d.t), 1)), 6) AS score FROM q, d),
-dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS rank FROM overlap QUALIFY rank < 10)"""
-
-
-def lexical_search(spark, sf_dir, k: int) -> DataFrame:
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.token_set(F.col("text")).alias("q"))
-    d = table(spark, sf_dir, "documents").select("doc_id", T.token_set(F.col("text")).alias("d"))
-    score = F.round(F.size(F.array_intersect("q", "d")) / F.sqrt(F.greatest(F.size("d"), F.lit(1))), 6)
-    return retrieval.top(d.join(q).select("query_id", "doc_id", score.alias("score")), k, F.desc("score"), F.col("doc_id"))  # a stated query set
-
-
-@query(f"""WITH {bm25_sql(10)}, {LEXICAL}, f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS r1, b.rank AS r2,
-  round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS score FROM dense a FULL JOIN bm25 b ON a.query_id = b.query_id AND a.doc_id = b.doc_id)
-SELECT query_id, doc_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, r1 NULLS LAST, r2 NULLS LAST) - 1)::INT AS rank FROM f QUALIFY rank < 10""")
-def hybrid_search(spark, sf_dir):
-    sparse = retrieval.bm25(text_queries(spark, sf_dir), table(spark, sf_dir, "documents"), 10)
-    return retrieval.fuse(lexical_search(spark, sf_dir, 10), sparse, 10).withColumn("score", F.round("score", 6))
-
-
-@query(f"""WITH {LEXICAL}, n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM dense)
-SELECT query_id, doc_id, rank::INT AS forward, (n - 1 - rank)::INT AS reverse, (CASE WHEN rank % 2 = 0 THEN rank // 2 ELSE n - 1 - (rank - 1) // 2 END)::INT AS sides FROM n""")
-def repacking(spark, sf_dir):
-    hits = lexical_search(spark, sf_dir, 10).withColumn("n", ranking.count_window())
-    return hits.select("query_id", "doc_id", *[ranking.repacked(F.col("rank"), F.col("n"), k).cast("int").alias(k) for k in ("forward", "reverse", "sides")])
-
-
-@query()
-def compression(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return ranking.compress(docs, F.col("source")).select("doc_id", F.length("text").alias("n"), F.md5("text").alias("text_md5"))
-
-
-@query(r"""WITH q AS (SELECT conv_id, turn, lower(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS q FROM conversations), c AS (SELECT *, len(regexp_extract_all(q, '[\p{L}\p{N}_]+')) AS n,
- list_any_value(list_filter(['hello', 'hi there', 'hey', 'thanks', 'thank you', 'who are you', 'how are you'], lambda p: contains(q, p))) IS NOT NULL AS talk FROM q)
-SELECT conv_id, turn, NOT (q = '' OR n < 3 OR talk) AS needs_retrieval, CASE WHEN q = '' THEN 1.0 WHEN n < 3 THEN 0.8 WHEN talk THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence FROM c""")
-def query_classes(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", ranking.needs_retrieval(F.col("text")).alias("c")).select("conv_id", "turn", "c.*")
-
-
-@query(f"""WITH {LEXICAL}, t AS (SELECT query_id, string_agg('[' || (rank + 1) || '] ' || text, chr(10) ORDER BY rank) AS context FROM dense JOIN documents USING (doc_id) WHERE rank < 3 GROUP BY query_id)
-SELECT query_id, length('Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:') AS prompt_chars, md5('Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:') AS prompt_md5
-FROM t JOIN benchmark ON item_id = query_id""")
-def prompts(spark, sf_dir):
-    hits = lexical_search(spark, sf_dir, 3).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    made = ranking.in_order(hits).join(text_queries(spark, sf_dir), "query_id").select("query_id", ranking.prompt(F.col("texts"), F.col("query")).alias("p"))
-    return made.select("query_id", F.length("p").alias("prompt_chars"), F.md5("p").alias("prompt_md5"))
-
-
-GROUNDING = f"""d AS (SELECT doc_id, source, lang, len({SENTENCES}) AS t, len({WORDS}) AS n FROM documents),
-k AS (SELECT *, CASE WHEN t = 0 THEN 0 ELSE greatest(1, floor(t * 0.5)::INT) END AS r, CASE WHEN t = 0 THEN 0 ELSE greatest(1, floor(t * 0.34)::INT) END AS u FROM d),
-s AS (SELECT *, CASE WHEN t = 0 THEN 0 ELSE r / t END::DOUBLE AS relevance, CASE WHEN t = 0 THEN 0 ELSE u / t END::DOUBLE AS utilization, CASE WHEN r = 0 THEN 1 ELSE least(r, u) / r END::DOUBLE AS completeness FROM k)"""
-
-
-def grounded(spark, sf_dir) -> DataFrame:
-    keys = F.transform(T.keyed_sentences(F.col("text"), F.lit("0")), lambda k: k["key"])
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", keys.alias("keys"))
-    judged = docs.withColumns({"r": evaluation.first_keys(F.col("keys"), 0.5), "u": evaluation.first_keys(F.col("keys"), 0.34), "none": F.array().cast("array<string>")})
-    return judged.select("doc_id", "source", "lang", *evaluation.grounding(F.size("keys"), F.col("r"), F.col("u"), F.col("none")))
-
-
-@query(f"WITH {GROUNDING} SELECT doc_id, round(relevance, 6) AS relevance, round(utilization, 6) AS utilization, round(completeness, 6) AS completeness, true AS adherence FROM s")
-def grounding_scores(spark, sf_dir):
-    return grounded(spark, sf_dir).select("doc_id", *[F.round(m, 6).alias(m) for m in evaluation.METRICS], "adherence")
-
-
-@query(f"""WITH {GROUNDING}, x AS (SELECT source, relevance - utilization AS d FROM s)
-SELECT source, count(*) AS n_scored, round(sqrt(avg(d * d)), 6) AS rmse, round(avg(abs(d)), 6) AS mae, round(avg(d), 6) AS signed, round(max(abs(d)), 6) AS max_gap FROM x GROUP BY source""")
-def score_agreement(spark, sf_dir):
-    return evaluation.agreement(grounded(spark, sf_dir), "relevance", "utilization", "source")
-
-
-@query(f"""WITH {GROUNDING}, m AS (SELECT source, lang, avg(relevance) AS relevance, avg(utilization) AS utilization, avg(completeness) AS completeness FROM s GROUP BY ALL),
-r AS (SELECT lang, avg(relevance) AS r1, avg(utilization) AS r2, avg(completeness) AS r3 FROM s GROUP BY lang),
-g AS (SELECT unnest(['relevance', 'utilization', 'completeness']) AS metric, unnest([relevance - r1, utilization - r2, completeness - r3]) AS gap FROM m JOIN r USING (lang))
-SELECT metric, count(*) AS n_cells, round(avg(gap), 6) + 0 AS bias, round(stddev_pop(gap), 6) AS spread, round(min(gap), 6) AS gap_min, round(max(gap), 6) AS gap_max FROM g GROUP BY metric""")
-def gap_summary(spark, sf_dir):
-    rows = grounded(spark, sf_dir)
-    ours = rows.groupBy("source", "lang").agg(*[F.avg(m).alias(m) for m in evaluation.METRICS])
-    theirs = rows.groupBy("lang").agg(*[F.avg(m).alias(f"{m}_ref") for m in evaluation.METRICS])
-    return evaluation.gap_summary(ours.join(theirs, "lang").select(*[(F.col(m) - F.col(f"{m}_ref")).alias(f"{m}_gap") for m in evaluation.METRICS]))
-
-
-@query(f"""WITH {GROUNDING} SELECT source, round(avg(relevance) FILTER (WHERE lang = 'de'), 3) AS de, round(avg(relevance) FILTER (WHERE lang = 'en'), 3) AS en, round(avg(relevance) FILTER (WHERE lang = 'es'), 3) AS es, round(avg(relevance) FILTER (WHERE lang = 'fr'), 3) AS fr FROM s GROUP BY source""")
-def score_pivot(spark, sf_dir):
-    return grounded(spark, sf_dir).groupBy("source").pivot("lang", ["de", "en", "es", "fr"]).agg(F.round(F.avg("relevance"), 3))
-
-
-@query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def resume_pending(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
-
-
-@query("""SELECT event_id, user_id, round(sum(value) OVER w, 4) AS total, round(sum(value) OVER w, 4) > 100 AS over_cap FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
-def running_cost(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.round(F.sum("value").over(w), 4)
-    return table(spark, sf_dir, "events").select("event_id", "user_id", total.alias("total"), (total > 100).alias("over_cap"))
-
-
-@query(f"""WITH d AS (SELECT source, len({WORDS}) AS n FROM documents) SELECT source, count(*) AS docs, median(n)::DOUBLE AS median_words, max(n)::BIGINT AS max_words FROM d GROUP BY source""")
-def corpus_statistics(spark, sf_dir):
-    n = table(spark, sf_dir, "documents").select("source", F.size(T.words(F.col("text"))).alias("n"))
-    return n.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.median("n").alias("median_words"), F.max("n").cast("bigint").alias("max_words"))
-
-
-#: Answers of a judge: plain, fenced with quotes to repair, without a label, inside prose.
-ANSWERS = (
-    '{"all_relevant_sentence_keys": ["0a", "0b"], "all_utilized_sentence_keys": ["0b"], "overall_supported": true}',
-    'Here:\n```json\n{"all_relevant_sentence_keys": ["0a"], "overall_supported": false, "why": "it says "no" here"}\n```',
-    "none",
-    'So {"all_utilized_sentence_keys": ["0a", "0a"]} it is',
-)
-
-
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 WHEN 3 THEN 0.0 END::DOUBLE AS relevance, CASE doc_id % 4 WHEN 0 THEN 0.25 WHEN 1 THEN 0.0 WHEN 3 THEN 0.5 END::DOUBLE AS utilization,
-CASE doc_id % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.0 WHEN 3 THEN 1.0 END::DOUBLE AS completeness, CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 3 THEN false END AS adherence, doc_id % 4 = 2 AS failed FROM labels""")
-def judge_scores(spark, sf_dir):
-    ship_package(spark)
-    answer = F.array(*map(F.lit, ANSWERS))[(F.col("doc_id") % 4).cast("int")]
-    answers = table(spark, sf_dir, "labels").select("doc_id", answer.alias("answer"), F.lit(4).alias("n_sentences"))
-    return judging.scored(answers).select("doc_id", *evaluation.METRICS, "adherence", "failed")
-
-
-PRICES = [("purchase", 0.59, 0.79), ("view", 0.05, 0.08)]
-
-
-@query("""WITH c AS (SELECT event_id, event_type, ts, user_id, round((1000 + event_id % 7) * CASE event_type WHEN 'view' THEN 0.05::DOUBLE ELSE 0.59::DOUBLE END / 1e6 + (200 + event_id % 5) * CASE event_type WHEN 'view' THEN 0.08::DOUBLE ELSE 0.79::DOUBLE END / 1e6, 6) AS cost FROM events)
-SELECT CAST(user_id % 50 AS VARCHAR) AS leg, count(*) AS calls, sum(1000 + event_id % 7)::BIGINT AS in_tokens, sum(200 + event_id % 5)::BIGINT AS out_tokens, round(sum(cost), 3) AS cost_usd FROM c GROUP BY 1""")
-def usage_cost(spark, sf_dir):
-    calls = table(spark, sf_dir, "events").selectExpr("cast(user_id % 50 AS string) AS leg", "event_id AS call_no", "event_type AS model", "1000 + event_id % 7 AS in_tokens", "200 + event_id % 5 AS out_tokens")
-    prices = spark.createDataFrame(PRICES, "model string, price_in double, price_out double")
-    return experiments.cost_report(experiments.costs(calls, prices, 5.0)).withColumn("cost_usd", F.round("cost_usd", 3))
-
-
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
-def event_windows(spark, sf_dir):
-    return usage.window_counts(table(spark, sf_dir, "events")).withColumn("value", F.round("value", 2))
-
-
-@query("""SELECT conv_id, turn, '[ECHO] received a prompt of ' || length('Question: ' || coalesce(text, '')) || ' chars' ||
-CASE WHEN trim(split_part(coalesce(text, ''), chr(10), 1)) != '' THEN '; question was: ' || trim(split_part(text, chr(10), 1)) ELSE '' END AS answer FROM conversations""")
-def echo_answers(spark, sf_dir):
-    asked = F.concat(F.lit("Question: "), F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", experiments.echo(asked).alias("answer"))
+from grainfold.plans import runs, scores, search, texts  # noqa: F401, they register their queries
+from grainfold.plans.base import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hybrid_search(spark, sf_dir)
+    return search.hybrid_search(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_SCRATCH: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -29,24 +33,51 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may do without: it gets a temporary one."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None)
+    found = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_grainfold_dir", None)
     if not found:
-        found = getattr(sc, "_grainfold_dir", None) or f"file://{tempfile.mkdtemp(prefix='grainfold-')}"
-        sc._grainfold_dir = found
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = sc._grainfold_dir = f"file://{tempfile.mkdtemp(prefix='grainfold-')}"
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
     return found.rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+    if path not in _SCRATCH:
+        _SCRATCH.add(path)
+        atexit.register(_forget, spark, path)
+    return path
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session has no file system to ask
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     gc.collect()  # shuffle files of frames that nobody holds any more can go now
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """df to be broadcast if it has no more than `most` rows, which is counted, and to be shuffled otherwise."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("shuffle_hash")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

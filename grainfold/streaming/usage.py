@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from grainfold.operators.experiments import priced
+
 CALLS = "leg string, model string, in_tokens bigint, out_tokens bigint, ts timestamp"
 
 
@@ -14,9 +16,9 @@ def call_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def running_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """Cost by leg so far: one state row a leg (output mode complete or update). prices is a table of models and broadcast."""
-    cost = F.round((F.col("in_tokens") * F.col("price_in") + F.col("out_tokens") * F.col("price_out")) / 1e6, 6)
-    return calls.join(F.broadcast(prices), "model", "left").groupBy("leg").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum(cost), 6).alias("cost_usd"))
+    """Cost by leg so far: one state row a leg (output mode complete or update). An unknown model costs as much as the
+    dearest one. prices is a table of models and broadcast."""
+    return priced(calls, prices).groupBy("leg").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
 
 
 def window_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
