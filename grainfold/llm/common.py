@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from grainfold.session import partitions, shared_dir, ship_package, stash
+from grainfold.session import delete, partitions, shared_dir, ship_package, stash
 
-__all__ = ["cache_share", "documents", "map_texts", "partitions", "shared_dir", "ship_package", "stash", "utf8"]
+__all__ = ["cache_share", "claim", "delete", "documents", "lean", "map_texts", "partitions", "remembers", "shared_dir", "ship_package", "stash", "trim", "utf8"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,54 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+_TABLES: dict[str, Callable[[], None]] = {}
+_OWNER: list[str] = [""]
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """owner keeps tables in the worker process, which outlives a stage; forget empties them."""
+    _TABLES[owner] = forget
+
+
+def claim(owner: str) -> None:
+    """From now on this worker process works for owner: the tables of all others are emptied."""
+    if _OWNER[0] != owner:
+        _OWNER[0] = owner
+        for name, forget in _TABLES.items():
+            if name != owner:
+                forget()
+        trim()
+
+
+@lru_cache(1)
+def c_library():
+    found = ctypes.util.find_library("c")
+    return ctypes.CDLL(found) if found and hasattr(ctypes.CDLL(found), "malloc_trim") else None
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: a worker that waits for its next task should not hold it."""
+    pa.default_memory_pool().release_unused()
+    if c_library():
+        c_library().malloc_trim(0)
+
+
+def lean(work: Callable) -> Callable:
+    """A function of one group, or of two that belong together, that leaves no free memory behind."""
+
+    def one(group: pa.Table) -> pa.Table:
+        out = work(group)
+        trim()
+        return out
+
+    def two(group: pa.Table, other: pa.Table) -> pa.Table:
+        out = work(group, other)
+        trim()
+        return out
+
+    return two if work.__code__.co_argcount == 2 else one
+
+
 def cache_share(spark: SparkSession, total: int) -> int:
     """Bytes that one Python worker may remember, so that the workers of an executor remember `total` together."""
     sc = spark.sparkContext

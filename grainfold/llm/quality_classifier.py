@@ -9,18 +9,22 @@ calibrated on labelled documents held out from training, the calibrated log-odds
 logistic model, and every document is scored.
 
 Fitting uses a bounded sample, by a hash of the id: at most `labelled` labelled documents and `pool`
-unlabelled ones (parameters); only their features reach the driver. Good, low-quality and toxic documents share
+unlabelled ones (parameters); one task fits the models on their features, and only the models reach the driver. Good, low-quality and toxic documents share
 the sample by their frequency, but a kind gets a sixth of it at least, or all it has; calibration weighs each
 document by what it stands for. Every kind has its part of the held-out documents. Scoring reads every document once.
 A document is good if its label has quality 1 and not toxic 1.
 
 Defined cases: a null text counts as empty, null metadata as a value of its own; labels with a null are left
-out, of several labels of one document the worst holds; without labels of both kinds nothing can be
-learned and every document is kept, with probability 1.
+out, of several labels of one document the worst holds; of rows that repeat a doc_id the sample takes the
+smallest text, and all are scored; very long texts count as any other, by which words occur; without labels
+of both kinds, or without documents, nothing can be learned and every document is kept, with probability 1.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,36 +35,53 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.llm.common import documents, map_texts, ship_package
+from grainfold.llm.common import claim, documents, map_texts, remembers, ship_package, trim
 
 LABELLED, POOL, ROUNDS, EXCHANGED = 9_000, 3_000, 3, 400
 DIMS, FEATURES, LEAST_SEEN = 1 << 18, 1_000, 3
 UNLABELLED, GOOD, LOW, TOXIC = -1, 0, 1, 2  # kinds; a document that is both low and toxic is toxic
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 META = ("lang", "source", "n_chars")
 
 
+SHAPES = 4
+
+
+def word_features(word: str) -> tuple[int, ...]:
+    return tuple(xxhash.xxh64_intdigest(s) & (DIMS - 1) for s in (f"w{word}", f"4{word[:4].lower()}", f"5{word[:5].lower()}", f"e{word[-3:]}"))
+
+
 class WordFeatures(dict):
-    """word -> hashed features."""
+    """word -> row of the table of hashed features; at most KEPT_WORDS rows."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= KEPT_WORDS:
+    def __init__(self):
+        self.table = np.zeros((0, SHAPES), np.int32)
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        self.table[row] = word_features(word)
+        return row
+
+    def forget(self) -> None:
+        self.clear()
+        self.table = np.zeros((0, SHAPES), np.int32)
+
+    def of(self, words: set[str]) -> np.ndarray:
+        if len(words) > KEPT_WORDS // 2:
+            return np.array([word_features(w) for w in words], np.int32)
+        if len(self) + len(words) > KEPT_WORDS:  # rows of one text are never thrown away while they are looked up
             self.clear()
-        shapes = {f"w{word}", f"4{word[:4].lower()}", f"5{word[:5].lower()}", f"e{word[-3:]}"}
-        found = tuple(xxhash.xxh64_intdigest(s) & (DIMS - 1) for s in shapes)
-        if len(word) < 40:
-            self[word] = found
-        return found
+        if not len(self.table):
+            self.table = np.zeros((KEPT_WORDS, SHAPES), np.int32)
+        return self.table[np.fromiter(map(self.__getitem__, words), np.int64, len(words))]
 
 
 WORDS = WordFeatures()
+remembers("word features", WORDS.forget)
 
 
 def word_view(text: str) -> np.ndarray:
-    found: set[int] = set()
-    for word in set(text.split()):
-        found.update(WORDS[word])
-    return np.fromiter(found, np.int32, len(found))
+    return np.unique(WORDS.of(set(text.split())))
 
 
 def metadata_view(text: str, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
@@ -116,6 +137,22 @@ def sparse_logistic(rows: np.ndarray, columns: np.ndarray, y: np.ndarray, width:
     return descend(forward, back, y, width + 1, l2, steps)
 
 
+def stacked(docs: list[np.ndarray], chosen, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, feature) of the chosen documents, some at a time."""
+    chosen = np.asarray(chosen, np.int64)
+    for i in range(0, len(chosen), step):
+        part = chosen[i : i + step]
+        yield np.repeat(part, [len(docs[k]) for k in part]), np.concatenate([docs[k] for k in part])
+
+
+def occurrences(docs: list[np.ndarray], of: np.ndarray) -> np.ndarray:
+    """In how many of these documents each feature occurs."""
+    total = np.zeros(DIMS, np.int64)
+    for _, features in stacked(docs, np.flatnonzero(of)):
+        total += np.bincount(features, minlength=DIMS)
+    return total
+
+
 @dataclass
 class Words:
     """The view on content. table: feature -> weight, 0 for those not chosen."""
@@ -126,19 +163,22 @@ class Words:
     @classmethod
     def fit(cls, docs: list[np.ndarray], kind: np.ndarray) -> Words:
         """kind: GOOD or else the group of bad documents it is in; each group has features of its own."""
-        occurs = lambda k: np.bincount(np.concatenate([d for d, t in zip(docs, kind, strict=True) if t == k]), minlength=DIMS)
-        y, good, lists = kind == GOOD, occurs(GOOD), []
+        y, good, lists = kind == GOOD, occurrences(docs, kind == GOOD), []
         for k in np.unique(kind[~y]):
-            bad, n1, n0 = occurs(k), int(y.sum()), int((kind == k).sum())
+            bad, n1, n0 = occurrences(docs, kind == k), int(y.sum()), int((kind == k).sum())
             p = (good + bad) / (n1 + n0)
             z = (bad / n0 - good / n1) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
             first = np.argsort(-z, kind="stable")[:FEATURES]
             lists.append(first[(z[first] > 0) & (good + bad >= LEAST_SEEN)[first]])
         chosen = np.unique(np.concatenate(lists))
-        place = np.full(DIMS, -1)
+        place = np.full(DIMS, -1, np.int32)
         place[chosen] = np.arange(len(chosen))
-        rows, columns = np.repeat(np.arange(len(docs)), [len(d) for d in docs]), place[np.concatenate(docs)]
-        w = sparse_logistic(rows[columns >= 0], columns[columns >= 0], y.astype(float), len(chosen))
+        rows, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, features in stacked(docs, range(len(docs))):  # only the chosen features are kept
+            found = place[features]
+            rows.append(at[found >= 0])
+            columns.append(found[found >= 0].astype(np.int64))
+        w = sparse_logistic(np.concatenate(rows), np.concatenate(columns), y.astype(float), len(chosen))
         table = np.zeros(DIMS, np.float32)
         table[chosen] = w[:-1]
         return cls(table, float(w[-1]))
@@ -212,6 +252,7 @@ def co_train(docs: list[np.ndarray], x: np.ndarray, kind: np.ndarray, weight: np
 
 
 def views(batch: pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray]:
+    claim("word features")
     texts = [t or "" for t in batch["text"].to_pylist()]
     x = np.array([metadata_view(t, *m) for t, *m in zip(texts, *(batch[c].to_pylist() for c in META), strict=True)])
     return [word_view(t) for t in texts], x
@@ -228,39 +269,67 @@ def quotas(counts: dict[int, int], total: int) -> dict[int, int]:
     return {k: least[k] + (v - -(-v * over // room) if over > 0 else v) for k, v in more.items()}
 
 
-def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Features, kinds and weights of the bounded sample."""
+FEATURED = "doc_id bigint, kind int, words binary, meta binary"
+
+
+def sample(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> tuple[DataFrame, dict[int, float]]:
+    """FEATURED rows of the bounded sample, and how many documents one of each kind stands for."""
     by_hash = lambda seed: (F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+    docs = with_metadata(docs)
     known = labels.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).dropna()
     known = known.select("doc_id", F.expr(f"CASE WHEN t = 1 THEN {TOXIC} WHEN q = 1 THEN {GOOD} ELSE {LOW} END").alias("kind"))
     counts = {r["kind"]: r["count"] for r in known.groupBy("kind").count().collect()}
     takes = quotas(counts, labelled)
     parts = [known.where(F.col("kind") == k).orderBy(*by_hash("labelled")).limit(n) for k, n in takes.items()]
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).dropna()
+    ids = docs.select("doc_id").dropna()
     free = ids.join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_anti").distinct().orderBy(*by_hash("pool")).limit(pool)
     wanted = reduce(DataFrame.unionByName, parts, free.withColumn("kind", F.lit(UNLABELLED)))
-    picked = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])  # at most labelled + pool rows
+    met = docs.join(F.broadcast(wanted), "doc_id")  # at most labelled + pool rows
+    picked = met.groupBy("doc_id", "kind").agg(F.min(F.struct("text", *META)).alias("row")).select("doc_id", "kind", "row.*")
 
     def work(batch):
         words, x = views(batch)
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["kind"], pa.array([w.tobytes() for w in words], pa.binary()), pa.array([m.tobytes() for m in x], pa.binary())], ["doc_id", "kind", "words", "meta"])
 
-    rows = map_texts(picked, "doc_id", "text", lambda: work, "doc_id bigint, kind int, words binary, meta binary", ("kind", *META)).collect()
-    rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r["doc_id"])))  # the same order whatever the tasks' order was
-    kind = np.array([r["kind"] for r in rows], int)
-    stands = {k: counts[k] / n for k, n in takes.items() if n} | {UNLABELLED: 1.0}
-    return [np.frombuffer(r["words"], np.int32) for r in rows], np.array([np.frombuffer(r["meta"]) for r in rows]), kind, np.array([stands[k] for k in kind.tolist()])
+    rows = map_texts(picked, "doc_id", "text", lambda: work, FEATURED, ("kind", *META))
+    return rows, {k: counts[k] / n for k, n in takes.items() if n} | {UNLABELLED: 1.0}
 
 
 def with_metadata(docs: DataFrame) -> DataFrame:
-    """docs with the metadata columns this classifier reads, null where the table has none."""
-    kinds = {"lang": "string", "source": "string", "n_chars": "bigint"}
-    return docs.withColumns({c: (F.col(c) if c in docs.columns else F.lit(None)).cast(k) for c, k in kinds.items()})
+    """The columns this classifier reads, null where the table has none."""
+    kinds = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+    return docs.select(*[(docs[c] if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Word features (parts of one array), metadata and kinds of FEATURED rows, in an order that the tasks' order doesn't change."""
+    ids, kinds, sizes, words, meta = [], [], [], [], []
+    for batch in batches:
+        ids += batch["doc_id"].to_pylist()
+        kinds.append(batch["kind"].to_numpy(zero_copy_only=False))
+        raw = batch["words"].to_pylist()
+        sizes += [len(r) // 4 for r in raw]
+        words.append(np.frombuffer(b"".join(raw), np.int32))
+        meta += [np.frombuffer(m) for m in batch["meta"].to_pylist()]
+    order = sorted(range(len(ids)), key=lambda i: xxhash.xxh64_intdigest(str(ids[i])))
+    every, ends = np.concatenate([*words, np.zeros(0, np.int32)]), np.cumsum(sizes)
+    docs = [every[ends[i] - sizes[i] : ends[i]] for i in order]
+    return docs, np.array([meta[i] for i in order]), np.concatenate([*kinds, np.zeros(0, np.int32)])[order].astype(int)
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    words, x, kind, weight = sample(with_metadata(docs), labels, labelled, pool)
-    return co_train(words, x, kind, weight) if len(kind) else None
+    """One task gathers the sample's features, which `labelled` and `pool` bound, and fits; a lost one is run again."""
+    rows, stands = sample(docs, labels, labelled, pool)
+
+    def run(batches):
+        words, x, kind = gathered(batches)
+        model = co_train(words, x, kind, np.array([stands[k] for k in kind.tolist()])) if len(kind) else None
+        del words, x
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()  # no task at all for an empty table
+    return pickle.loads(found["model"]) if found else None
 
 
 SCORED = "doc_id bigint, p_content double, p_metadata double, p_good double, kept boolean"
@@ -274,7 +343,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.4) -> DataF
             p = model.probabilities(*views(batch))
         yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c) for c in p), pa.array(p[2] >= threshold)], ["doc_id", "p_content", "p_metadata", "p_good", "kept"])
 
-    return map_texts(with_metadata(docs), "doc_id", "text", lambda: work, SCORED, META)
+    return map_texts(with_metadata(docs), "doc_id", "text", lambda: work, SCORED, META)  # rows as they are, repeated ones too
 
 
 def keep_good(docs: DataFrame, model: Model | None, threshold: float = 0.4) -> DataFrame:
@@ -287,7 +356,8 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = 0.4) -> D
         for batch in batches:
             if batch.num_rows:
                 have = dict(zip(batch.schema.names, batch.columns, strict=True))
-                seen = pa.RecordBatch.from_arrays([pc.cast(have["text"], pa.string()), *(have.get(c, pa.nulls(batch.num_rows)) for c in META)], ["text", *META])
+                kinds = {"text": pa.string(), "lang": pa.string(), "source": pa.string(), "n_chars": pa.int64()}
+                seen = pa.RecordBatch.from_pydict({c: pc.cast(have[c], k, safe=False) if c in have else pa.nulls(batch.num_rows) for c, k in kinds.items()})
                 yield batch.filter(pa.array(model.probabilities(*views(seen))[2] >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
