@@ -3,9 +3,9 @@
 Two sets with a Jaccard similarity of t or more share an element among the first n - ceil(t n) + 1 of each,
 under any one order of all elements. Here there are three orders. All put rare n-grams first, by how many
 sets of the whole corpus have them (in classes that double), and differ in the order within a class. A document
-is a candidate only if its prefixes hold n-grams of other sets, and a pair is verified only if it shares a prefix
-element under every order: the filters are intersected. Under the first order, what follows the first shared
-element must also be long enough for a link. Verification is exact on the whole sets.
+is a candidate only if its prefixes hold n-grams of other sets. Pairs that share a prefix element under the first order,
+and have enough left behind it for a link, are looked up in the other two orders by their prefixes alone: the filters are
+intersected, and only pairs that pass all of them have their sets brought together. Verification is exact on the whole sets.
 
 What is asked for are the components of the links, so that not every pair has to be met. Equal sets are one
 set from the start. All sets of one posting list are compared with one of them first, in a few rounds;
@@ -14,8 +14,10 @@ compared. Every pair that can be linked is thus either verified or already conne
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing; a text of fewer
 words than n has its whole sequence as one element; rows with one doc_id and
-different texts are linked each by its own text; a null doc_id shares its component's number. N-grams and
-sets are known by 64-bit hashes.
+different texts are linked each by its own text; a null doc_id shares its component's number; an empty table gives no
+rows; a document is always within one block, so a very long one takes a worker some 100 bytes a word, and if it is a
+near copy of another, the square of its prefix in the last round. N-grams are known by 64-bit hashes. Sets are numbered
+by one too, but two different sets of one number are found by a second hash, and told apart. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from grainfold.llm.common import documents, ship_package, stash, utf8
+from grainfold.llm.common import claim, documents, lean, ship_package, stash, utf8
 from grainfold.llm.components import components
 from grainfold.llm.lm_scores import HASHES
 from grainfold.llm.span_dedup import PACKED, packed, returned_codes, shared_keys, sliced_keys
@@ -67,34 +69,51 @@ def prefix(tokens: np.ndarray, classes: np.ndarray, seed: np.uint64, percent: in
     return tokens[chosen[places]], places.astype(np.int32)
 
 
-ROWS = "doc_id bigint, n_shingles bigint, set_id bigint, tokens binary, p0 binary, p1 binary, p2 binary, places binary"
+ROWS = "doc_id bigint, n_shingles bigint, set_id bigint, second bigint, tokens binary, p0 binary, p1 binary, p2 binary, places binary"
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta"), F.col("p1").alias("pa1"), F.col("p2").alias("pa2"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"), F.col("p1").alias("pb1"), F.col("p2").alias("pb2"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb", "pa1", "pb1", "pa2", "pb2")
+def folded(tokens: np.ndarray) -> bytes:
+    """Sorted 32-bit halves of tokens: equal tokens have equal ones, so that a filter on them loses nothing."""
+    return np.unique((tokens ^ (tokens >> np.uint64(32))).astype(np.uint32)).tobytes()
 
-    def meet(x: bytes, y: bytes) -> int:
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.searchsorted(y, x)
-        return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+def meet(x: bytes, y: bytes, kind=np.uint64) -> int:
+    x, y = np.frombuffer(x, kind), np.frombuffer(y, kind)
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
+
+
+def brought(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b and these columns of both sets, as a_ and b_."""
+    a, b = (sets.select(F.col("set_id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in ("a", "b"))
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+
+
+def kept_pairs(both: DataFrame, columns: list[str], holds) -> DataFrame:
+    """The pairs for which holds(the columns of a and b, alternating) is true."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for ta, tb, *ps in zip(*(batch[c].to_pylist() for c in ("ta", "tb", "pa1", "pb1", "pa2", "pb2")), strict=True):
-                ok = meet(ps[0], ps[1]) > 0 and meet(ps[2], ps[3]) > 0
-                if ok:
-                    same = meet(ta, tb)
-                    ok = 100 * same >= percent * ((len(ta) + len(tb)) // 8 - same)
-                keep.append(ok)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            sides = [batch[f"{side}_{c}"].to_pylist() for c in columns for side in ("a", "b")]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array([holds(*x) for x in zip(*sides, strict=True)], pa.bool_()))
+
+    return both.select("a", "b", *[f"{side}_{c}" for c in columns for side in ("a", "b")]).mapInArrow(run, "a bigint, b bigint")
+
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+def verify(pairs: DataFrame, sets: DataFrame, percent: int, report: list | None = None) -> DataFrame:
+    """The pairs (a, b) that are links: those that share a prefix element under the other orders too, by their whole sets.
+    report gets the number of pairs before and after the filters, if a list is given."""
+    under_all = kept_pairs(brought(pairs, sets, ["p1", "p2"]), ["p1", "p2"], lambda a1, b1, a2, b2: meet(a1, b1, np.uint32) > 0 and meet(a2, b2, np.uint32) > 0)
+    if report is not None:
+        report.append((pairs.count(), under_all.count()))
+
+    def linked(x: bytes, y: bytes) -> bool:
+        same = meet(x, y)
+        return 100 * same >= percent * ((len(x) + len(y)) // 8 - same)
+
+    return kept_pairs(brought(under_all, sets, ["tokens"]), ["tokens"], linked)
 
 
 def candidates(docs: DataFrame, n: int, percent: int, block_bytes: int) -> DataFrame:
@@ -106,36 +125,50 @@ def candidates(docs: DataFrame, n: int, percent: int, block_bytes: int) -> DataF
     """
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = slices = max(1, -(-total // block_bytes))
-    by_block = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).groupBy("block")
+    by_block = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block").groupBy("block")
 
-    def sets_of(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    def sets_of(group: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        claim("word hashes")
         made = [shingles(t, n) for t in utf8(group["text"].combine_chunks())]
-        return made, np.array([xxhash.xxh3_64_intdigest(m.tobytes()) for m in made], np.uint64)
+        both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(m.tobytes()) for m in made), np.uint64).reshape(-1, 2)
+        return made, both[:, 0], both[:, 1]
 
     def explode(group: pa.Table) -> pa.Table:
-        made, ids = sets_of(group)
+        made, ids, _ = sets_of(group)
         _, first = np.unique(ids, return_index=True)
         keys, owners = np.unique(np.concatenate([made[i] for i in first]), return_counts=True)
         return packed(sliced_keys(keys, owners, slices, group["block"][0].as_py()))
 
     def choose(group: pa.Table, found: pa.Table) -> pa.Table:
-        made, ids = sets_of(group)
+        made, ids, second = sets_of(group)
         every, codes = np.unique(np.concatenate(made)), returned_codes(found.to_pylist())
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         columns: list[list] = [[], [], [], [], []]
         for i, m in enumerate(made):
             classes = codes[np.searchsorted(every, m)] if len(m) else np.zeros(0, np.uint8)
             parts: list = [None] * 5
-            if len(m) and 100 * np.count_nonzero(classes) >= percent * len(m) and int(ids[i]) not in seen:
-                seen.add(int(ids[i]))
+            one = int(ids[i]), int(second[i])
+            if len(m) and 100 * np.count_nonzero(classes) >= percent * len(m) and one not in seen:
+                seen.add(one)
                 (p0, places), (p1, _), (p2, _) = (prefix(m, classes, seed, percent) for seed in SEEDS)
-                parts = [x.tobytes() for x in (m, p0, np.sort(p1), np.sort(p2), places)]
+                parts = [m.tobytes(), p0.tobytes(), folded(p1), folded(p2), places.tobytes()]
             for c, p in zip(columns, parts, strict=True):
                 c.append(p)
-        return pa.table({"doc_id": group["doc_id"], "n_shingles": pa.array([len(m) for m in made], pa.int64()), "set_id": pa.array(ids.view(np.int64)), **{k: pa.array(c, pa.binary()) for k, c in zip(("tokens", "p0", "p1", "p2", "places"), columns, strict=True)}})
+        return pa.table({"doc_id": group["doc_id"], "n_shingles": pa.array([len(m) for m in made], pa.int64()), "set_id": pa.array(ids.view(np.int64)), "second": pa.array(second.view(np.int64)), **{k: pa.array(c, pa.binary()) for k, c in zip(("tokens", "p0", "p1", "p2", "places"), columns, strict=True)}})
+
+    keys = by_block.applyInArrow(lean(explode), PACKED).repartition(slices, "slice")
+    codes = keys.groupBy("slice").applyInArrow(lean(shared_keys(frequency_class)), PACKED).repartition(blocks, "block")
+    return by_block.cogroup(codes.groupBy("block")).applyInArrow(lean(choose), ROWS)
 
-    codes = by_block.applyInArrow(explode, PACKED).groupBy("slice").applyInArrow(shared_keys(frequency_class), PACKED)
-    return by_block.cogroup(codes.groupBy("block")).applyInArrow(choose, ROWS)
+
+def told_apart(rows: DataFrame) -> DataFrame:
+    """rows with another number for those sets that share one with a different set: by 64-bit hashes a handful among billions."""
+    sets = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("second").alias("first"), F.max("second").alias("last"))
+    clashes = sets.where("first != last").select(F.col("set_id").alias("clash"), "first")
+    if clashes.isEmpty():
+        return rows
+    met = rows.join(clashes.hint("merge"), F.col("set_id") == F.col("clash"), "left")
+    return met.withColumn("set_id", F.when(F.col("second") != F.col("first"), F.xxhash64("set_id", "second")).otherwise(F.col("set_id"))).drop("clash", "first")
 
 
 def unpack(rows: DataFrame) -> DataFrame:
@@ -159,7 +192,7 @@ def fits(a: str, b: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND {100 + percent} * least({r}, {q}) >= {percent} * ({n} + {m})"
 
 
-def links(rows: DataFrame, percent: int) -> DataFrame:
+def links(rows: DataFrame, percent: int, report: list | None = None) -> DataFrame:
     """Links (a, b) between different sets, enough to connect whatever all links connect."""
     rows = rows.where("tokens IS NOT NULL")
     found = rows.select("set_id", "tokens", "p1", "p2").dropDuplicates(["set_id"])
@@ -171,7 +204,7 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
         by_seed = F.struct(central.alias("c"), F.xxhash64("doc", F.lit(seed)).alias("h"), "doc", "n", "rest", "component")
         hubs = open_.groupBy("token").agg(F.min(by_seed).alias("hub"))
         pairs = open_.join(hubs.hint("merge"), "token").where(f"component != hub.component AND {fits('', 'hub.', percent)}")
-        met = stash(verify(pairs.select(F.greatest("doc", "hub.doc").alias("a"), F.least("doc", "hub.doc").alias("b")).distinct(), found, percent), "links")
+        met = stash(verify(pairs.select(F.greatest("doc", "hub.doc").alias("a"), F.least("doc", "hub.doc").alias("b")).distinct(), found, percent, report), "links")
         near = stash(near.unionByName(met), "links") if near else met
         labelled = open_.drop("component").join(components(near).withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         several = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
@@ -181,15 +214,15 @@ def links(rows: DataFrame, percent: int) -> DataFrame:
     x, y = (open_.select("token", *[F.col(c).alias(side + c) for c in ("doc", "n", "rest", "component", "before")]) for side in ("a_", "b_"))
     more = x.join(y.hint("merge"), "token").where(f"a_doc < b_doc AND a_component != b_component AND {fits('a_', 'b_', percent)} AND NOT arrays_overlap(a_before, b_before)")
     more = more.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct()
-    return near.unionByName(stash(verify(more, found, percent), "links"))
+    return near.unionByName(stash(verify(more, found, percent, report), "links"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, report: list | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links. report: see verify()."""
     ship_package(docs.sparkSession)
     docs = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = stash(candidates(docs, n, percent, block_bytes), "sets")
-    joined = components(links(rows, percent)).withColumnRenamed("node", "set_id")
+    rows = told_apart(stash(candidates(docs, n, percent, block_bytes), "sets"))
+    joined = components(links(rows, percent, report)).withColumnRenamed("node", "set_id")
     small = rows.select("doc_id", "n_shingles", "set_id").where("n_shingles > 0")
     grouped = small.groupBy("set_id").agg(F.min("doc_id").alias("head")).join(joined.hint("merge"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     heads = grouped.groupBy("component").agg(F.min("head").alias("component_id"))
@@ -200,3 +233,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
+
+
+#: All pairs that share a shingle, then whatever links reach.
+ORACLE = rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x != '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WORDS} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - {WORDS - 1}), lambda i: array_to_string(w[i : i + {WORDS - 1}], ' '))) END AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id != b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= {PERCENT} * (n + m - c)), r AS (SELECT doc_id, doc_id AS reached FROM s UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(reached) FROM r WHERE r.doc_id = s.doc_id) AS component_id FROM s"""

@@ -47,7 +47,7 @@ def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     at = np.flatnonzero(starts)
     np.add.at(steps, at, 1)
     np.add.at(steps, at + n, -1)
-    return np.cumsum(steps[:-1]) > 0
+    return np.cumsum(steps[:-1], dtype=np.int32) > 0
 
 
 def largest(keys: np.ndarray, n: int, before: np.ndarray) -> int:
@@ -130,3 +130,27 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
+
+
+def oracle() -> str:
+    """Windows by their digests, each length on its own."""
+    blank, blanks = r"[\x20\x09-\x0D]+", lambda x: rf"list_filter(regexp_split_to_array({x}, '[\x20\x09-\x0D]+'), lambda x: x != '')"
+    sizes = sorted({5, *NGRAM_LIMITS, *TOP_LIMITS})
+    values = lambda limits: ", ".join(f"({n}, {v}::DOUBLE)" for n, v in limits.items())
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {blanks("coalesce(text, '')")} AS w FROM documents),
+n AS (SELECT doc_id, len(w) AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS symbols FROM d),
+l AS (SELECT doc_id, line, count(*) AS c FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_replace(line, '{blank}', '', 'g') != '' GROUP BY ALL),
+lines AS (SELECT doc_id, sum(c - 1) AS dup, sum(CASE WHEN c > 1 THEN c * length(regexp_replace(line, '{blank}', '', 'g')) ELSE 0 END) AS chars FROM l GROUP BY doc_id),
+p AS (SELECT doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM d, (SELECT unnest({sizes}) AS size) WHERE len(w) >= size),
+g AS (SELECT doc_id, size, i, md5(array_to_string(w[i : i + size - 1], ' ')) AS g FROM p), r AS (SELECT doc_id, size, g, list(i) AS places FROM g GROUP BY ALL HAVING count(*) > 1),
+a AS (SELECT DISTINCT doc_id, size, g, i + k AS i FROM (SELECT doc_id, size, g, unnest(places) AS i FROM r), LATERAL (SELECT unnest(generate_series(0, size - 1)) AS k)),
+c AS (SELECT a.*, length(w[i]) AS chars FROM a JOIN d USING (doc_id)), whole AS (SELECT doc_id, size, sum(chars) AS chars, count(*) AS words FROM (SELECT DISTINCT doc_id, size, i, chars FROM c) GROUP BY ALL),
+one AS (SELECT doc_id, size, max(chars) AS chars FROM (SELECT doc_id, size, g, sum(chars) AS chars FROM c GROUP BY ALL) GROUP BY ALL),
+x AS (SELECT doc_id, max(whole.chars / n.chars) FILTER (WHERE limits.n IS NOT NULL) AS share, bool_or(whole.chars / n.chars > lim) AS over, max(words) FILTER (WHERE size = 5) AS repeats FROM whole JOIN n USING (doc_id) LEFT JOIN (VALUES {values(NGRAM_LIMITS)}) AS limits(n, lim) ON size = limits.n GROUP BY doc_id),
+y AS (SELECT doc_id, bool_or(one.chars / n.chars > lim) AS over FROM one JOIN n USING (doc_id) JOIN (VALUES {values(TOP_LIMITS)}) AS limits(n, lim) ON size = limits.n GROUP BY doc_id),
+z AS (SELECT n.*, coalesce(dup, 0) AS dup, coalesce(repeats, 0) AS repeats, coalesce(lines.chars / nullif(n.chars, 0), 0)::DOUBLE AS line_share, coalesce(share, 0)::DOUBLE AS ngram_share, coalesce(x.over, false) OR coalesce(y.over, false) AS over FROM n LEFT JOIN lines USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN y USING (doc_id)),
+f AS (SELECT *, n < 10 OR 100 * repeats > 20 * n AS failed FROM z)
+SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, repeats::BIGINT AS n_repeat_words, failed AS base_failed, NOT failed AND NOT over AND line_share <= {LINE_LIMIT}::DOUBLE AS kept, line_share, ngram_share FROM f"""
+
+
+ORACLE = oracle()

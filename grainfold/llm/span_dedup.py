@@ -30,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.llm.common import documents, ship_package, stash, utf8
+from grainfold.llm.common import claim, documents, lean, ship_package, stash, utf8
 from grainfold.llm.lm_scores import cuts, planes, unplanes
 from grainfold.llm.quality_rules import covered
 from grainfold.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 WIDTH, GRAM = 50, 20
-BLOCK_BYTES, PIECE_BYTES, HOT = 8_000_000, 2_000_000, 20_000
+BLOCK_BYTES, PIECE_BYTES, HOT, CONTEXTS = 8_000_000, 2_000_000, 2_000, 50_000
 LAST = np.iinfo(np.int64).max
 M1, M2, PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64((1 << 28) - 1)
 
@@ -51,30 +51,11 @@ class Block:
         self.text, self.ids = b"".join(texts), np.array(ids, np.int64)
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.sizes)
+        claim("")
         raw = np.frombuffer(self.text, np.uint8)
-        n = len(raw) - width + 1
-        if n <= 0:
-            self.start = self.stop = np.zeros(0, np.int64)
-            self.hash = self.bytes_hash = np.zeros(0, np.uint64)
-            return
-        anchor, hashes, wide = anchors_of(raw, width, gram)
-        inside = np.zeros(n + 1, np.int8)  # windows within one document
-        long = self.sizes >= width
-        np.add.at(inside, (self.ends - self.sizes)[long], 1)
-        np.add.at(inside, np.minimum(self.ends[long] - width + 1, n), -1)
-        anchor[np.cumsum(inside[:-1], dtype=np.int8) <= 0] = -1
-        new = np.empty(n, bool)
-        new[0] = True
-        np.not_equal(anchor[1:], anchor[:-1], out=new[1:])
-        new[(self.ends - self.sizes)[long]] = True
-        start = np.flatnonzero(new)
-        stop = np.append(start[1:], n)
-        real = anchor[start] >= 0
-        self.start, self.stop = start[real], stop[real]
-        at = hashes[self.start]
-        self.hash = (at ^ (at >> np.uint64(29))) * M1
-        size = (self.stop - self.start).astype(np.uint64)
-        self.bytes_hash = ((wide[self.start] * M1) ^ (wide[self.stop - 1] >> np.uint64(7))) * M2 + size
+        first = (self.ends - self.sizes)[self.sizes >= width]
+        last = self.ends[self.sizes >= width] - width  # first and last window of the documents that have any
+        self.start, self.stop, self.hash, self.bytes_hash = runs_of_windows(raw, first, last, width, gram)
 
     def docs(self) -> np.ndarray:
         return np.searchsorted(self.ends, self.start, "right")
@@ -98,11 +79,13 @@ def rolled(raw: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def anchors_of(raw: np.ndarray, width: int, gram: int, chunk: int = 1 << 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window: the place of its anchor, the anchor's hash, and the hash of the window. Chunk by chunk, within the cache."""
+def runs_of_windows(raw: np.ndarray, first: np.ndarray, last: np.ndarray, width: int, gram: int, chunk: int = 1 << 15) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor inside the documents (windows first to last): from, to, hash of the anchor, hash of
+    the run's bytes. Chunk by chunk, so that besides the text only the runs take memory."""
     n, span = len(raw) - width + 1, width - gram + 1
-    anchor, hashes, wide = np.empty(n, np.int64), np.empty(n, np.uint64), np.empty(n, np.uint64)
-    for a in range(0, n, chunk):
+    starts, anchors, firsts, lasts = ([np.zeros(0, k)] for k in (np.int64, np.uint64, np.uint64, np.uint64))
+    inside, before, end_hash = [np.zeros(0, bool)], -2, np.uint64(0)
+    for a in range(0, max(n, 0), chunk):
         b = min(a + chunk, n)
         part = raw[a : b + width - 1]
         h = rolled(part, gram)
@@ -111,9 +94,31 @@ def anchors_of(raw: np.ndarray, width: int, gram: int, chunk: int = 1 << 15) ->
             step = min(have, span - have)
             least = np.minimum(least[:-step], least[step:])
             have += step
-        at = (least & PLACE).astype(np.int64)
-        anchor[a:b], hashes[a:b], wide[a:b] = at + a, h[at], rolled(part, width)
-    return anchor, hashes, wide
+        at, wide = (least & PLACE).astype(np.int64), rolled(part, width)
+        low, high = np.searchsorted(last, a), np.searchsorted(first, b)
+        edge = np.zeros(b - a + 1, np.int8)
+        np.add.at(edge, np.maximum(first[low:high] - a, 0), 1)
+        np.add.at(edge, np.minimum(last[low:high] + 1, b) - a, -1)
+        real = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        place = np.where(real, at + a, -1)
+        new = np.empty(b - a, bool)
+        new[0] = place[0] != before
+        np.not_equal(place[1:], place[:-1], out=new[1:])
+        begins = first[low:high]
+        new[begins[begins >= a] - a] = True
+        begin = np.flatnonzero(new)
+        starts.append(begin + a)
+        inside.append(real[begin])
+        anchors.append(h[at[begin]])
+        firsts.append(wide[begin])
+        lasts.append(np.where(begin > 0, wide[begin - 1], end_hash))  # the last window of the run before
+        before, end_hash = place[-1], wide[-1]
+    start = np.concatenate(starts)
+    stop = np.append(start[1:], n)[: len(start)]
+    ending = np.append(np.concatenate(lasts)[1:], end_hash)[: len(start)]
+    real = np.concatenate(inside)
+    start, stop, at, wide, ending = (x[real] for x in (start, stop, np.concatenate(anchors), np.concatenate(firsts), ending))
+    return start, stop, (at ^ (at >> np.uint64(29))) * M1, ((wide * M1) ^ (ending >> np.uint64(7))) * M2 + (stop - start).astype(np.uint64)
 
 
 def distinct(block: Block, codes: np.ndarray, keys: np.ndarray, width: int):
@@ -195,7 +200,7 @@ def unsqueeze(data: bytes) -> bytes:
 def sliced_keys(keys: np.ndarray, owners: np.ndarray, slices: int, block: int) -> list[tuple]:
     """Sorted distinct keys of a block and how many owners each has there, dealt out by key."""
     at = cuts(keys, slices)
-    return [(block, i, 0, planes(np.diff(keys[at[i] : at[i + 1]], prepend=np.uint64(0))), planes(np.minimum(owners[at[i] : at[i + 1]], 255)), None, None) for i in range(slices) if at[i + 1] > at[i]]
+    return [(block, i, 0, planes(np.diff(keys[at[i] : at[i + 1]], prepend=np.uint64(0))), planes(owners[at[i] : at[i + 1]]), None, None) for i in range(slices) if at[i + 1] > at[i]]
 
 
 def by_owners(hot: int):
@@ -307,32 +312,48 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         size = end - begin
         first = np.cumsum(size) - size
         gone = np.zeros(len(block.text) + 1, bool)
-        runs = stop - start
-        places = np.repeat(start, runs) + (np.arange(int(runs.sum())) - np.repeat(np.cumsum(runs) - runs, runs))
-        values = least[np.repeat(first[which] if len(which) else which, runs) + places - np.repeat(start, runs)] if len(places) else places
-        gone[places[values < block.ids[np.searchsorted(block.ends, places, "right")]]] = True
+        for a in range(0, len(start), CONTEXTS):  # the windows of some contexts at a time
+            begin_, run, where = start[a : a + CONTEXTS], (stop - start)[a : a + CONTEXTS], first[which[a : a + CONTEXTS]]
+            inner = np.arange(int(run.sum())) - np.repeat(np.cumsum(run) - run, run)
+            places = np.repeat(begin_, run) + inner
+            owner = block.ids[np.searchsorted(block.ends, begin_, "right")]
+            gone[places[least[np.repeat(where, run) + inner] < np.repeat(owner, run)]] = True
         removed = covered(gone[:-1][: max(len(block.text) - width + 1, 0)], width, len(block.text)) if gone.any() else gone[:-1]
         raw = np.frombuffer(block.text, np.uint8)
-        total_ = np.concatenate(([0], np.cumsum(removed)))
+        total_ = np.concatenate(([0], np.cumsum(removed, dtype=np.int32)))
         begins = removed & ~np.concatenate(([False], removed[:-1])) if len(removed) else removed
         begins[(block.ends - block.sizes)[block.sizes > 0]] |= removed[(block.ends - block.sizes)[block.sizes > 0]]
-        spans = np.concatenate(([0], np.cumsum(begins)))
+        spans = np.concatenate(([0], np.cumsum(begins, dtype=np.int32)))
         low, high = block.ends - block.sizes, block.ends
         kept = [raw[a:b][~removed[a:b]].tobytes() if t else block.text[a:b] for a, b, t in zip(low.tolist(), high.tolist(), (total_[high] > total_[low]).tolist(), strict=True)]
         return pa.table({
-            "doc_id": block.given, "n_bytes": pa.array(block.sizes), "n_removed": pa.array(total_[high] - total_[low]), "n_spans": pa.array(spans[high] - spans[low]),
+            "doc_id": block.given, "n_bytes": pa.array(block.sizes), "n_removed": pa.array((total_[high] - total_[low]).astype(np.int64)), "n_spans": pa.array((spans[high] - spans[low]).astype(np.int64)),
             "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
             "kept_text": pa.array([k.decode("utf-8", "ignore") if with_text else None for k in kept], pa.string()),
             **{a: group[a] for a in riding.values()},
         })
 
-    by_block = dealt.groupBy("block")
-    known = stash(by_block.applyInArrow(anchors, PACKED).groupBy("slice").applyInArrow(shared_keys(by_owners(hot)), PACKED), "shared_anchors")
-    owners = by_block.cogroup(known.groupBy("block")).applyInArrow(explode, PACKED).groupBy("slice").applyInArrow(shard, PACKED)
+    by_block = dealt.repartition(blocks, "block").groupBy("block")
+    shared = by_block.applyInArrow(lean(anchors), PACKED).repartition(slices, "slice").groupBy("slice").applyInArrow(lean(shared_keys(by_owners(hot))), PACKED)
+    known = stash(shared, "shared_anchors")
+    contexts = by_block.cogroup(known.repartition(blocks, "block").groupBy("block")).applyInArrow(lean(explode), PACKED)
+    owners = contexts.repartition(slices, "slice").groupBy("slice").applyInArrow(lean(shard), PACKED)
     found = stash(known.unionByName(owners), "window_owners")
-    marked = whole.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(mark, wide)
+    marked = whole.repartition(blocks, "block").groupBy("block").cogroup(found.repartition(blocks, "block").groupBy("block")).applyInArrow(lean(mark), wide)
     return marked.withColumnsRenamed({a: c for c, a in riding.items()})
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup(documents(spark, sf_dir)).drop("kept_text")
+
+
+#: Every window of WIDTH bytes, as hexadecimal digits, with the smallest document it starts in; runs of removed bytes are
+#: those that windows cover without a gap.
+ORACLE = f"""WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, {2 * WIDTH})) AS g FROM (SELECT doc_id, h, unnest(generate_series(0, n - {WIDTH})) AS i FROM d WHERE n >= {WIDTH})),
+f AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g), x AS (SELECT doc_id, i FROM w JOIN f USING (g) WHERE doc_id > first),
+b AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {WIDTH} THEN 0 ELSE 1 END AS new FROM x),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM b), r AS (SELECT doc_id, span, min(i) AS low, max(i) + {WIDTH} AS high FROM k GROUP BY ALL),
+e AS (SELECT doc_id, span, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY span), 0) AS before FROM r),
+t AS (SELECT doc_id, sum(high - low) AS removed, count(*) AS spans, max(high) AS last, string_agg(substring(h, 2 * before + 1, 2 * (low - before)), '' ORDER BY span) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE kept || substring(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""
