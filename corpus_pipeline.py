@@ -21,13 +21,10 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, one row of the document with the smallest doc_id; which one, if rows repeat it, is left open."""
-    index = exact_dedup.fresh_index(spark)
-    index.admit(docs)
-    stays = spark.read.schema("digest binary, keep_id bigint").parquet(index.path).select(F.col("keep_id").alias("__keep"), F.col("digest").alias("__digest"))
+    """Of equal texts, one row of the document with the smallest doc_id (null last); which one, if rows repeat it, is left open."""
+    found = exact_dedup.once(docs, batches=2).where("kept").select(F.col("keep_id").alias("__keep"), F.unhex("text_sha256").alias("__digest")).distinct()
     same = F.expr("doc_id <=> __keep AND __own = __digest")
-    found = docs.withColumn("__own", exact_dedup.digest(docs["text"])).join(stays.hint("merge"), same, "left_semi")
-    return found.dropDuplicates(["__own"]).drop("__own")
+    return docs.withColumn("__own", exact_dedup.digest(docs["text"])).join(found.hint("merge"), same, "left_semi").dropDuplicates(["__own"]).drop("__own")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Exact deduplication against a persistent digest index, with DataFrame operations only.
 
-The index is a table bucketed and sorted by digest: one row for each distinct normalised text, with
-the document that stays and the number of its copies. New data is reduced to one row for each digest
-(partial aggregation runs before the shuffle, so a text that fills a third of the rows is one row a
-task), anti-joined with the index bucket by bucket, and what is new is appended.
-
-Defined cases: a null text counts as empty; an empty text is a text like any other; rows that repeat a
-doc_id with the same text are one document seen twice: each counts in group_size and all carry
-kept = true if that doc_id stays; a null doc_id sorts after every other. Other columns are not read.
+The index is a table bucketed and sorted by digest: one row for each distinct normalised text, with the document
+that stays. New data comes in batches: each is reduced to one row for each digest (partial aggregation runs before the
+shuffle, so a text that fills a third of the rows is one row a task), anti-joined with the index bucket by bucket, the
+index side unshuffled, and what is new is appended. A batch that is admitted again, after a crash say, finds its own
+digests and appends nothing; documents that stayed still stay.
+
+Digests are written once, so that texts are read and hashed once however many batches there are.
+
+Defined cases: a null text counts as empty; an empty or very long text is a text like any other; rows that repeat a
+doc_id with the same text are one document seen twice: each counts in group_size and all carry kept = true if that
+doc_id stays; a null doc_id sorts after every other; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.llm.common import documents, partitions, shared_dir
+from grainfold.llm.common import delete, documents, partitions, shared_dir, stash
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -38,39 +41,51 @@ class DigestIndex:
         self.spark, self.name = spark, name
         self.path = f"{shared_dir(spark)}/{name}"
         self.buckets = buckets or partitions(spark)
+        if not spark.catalog.tableExists(name):
+            self.append(spark.createDataFrame([], "digest binary, keep_id bigint"))
 
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
-
-    def rows(self) -> DataFrame:
-        return self.spark.table(self.name)
-
-    def admit(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """Append what is new in docs; returns all digests of docs with the index row each belongs to.
-
-        Of equal texts within one call the smallest doc_id stays; a text that an earlier call admitted
-        keeps the earlier document, whatever its id, and group_size then counts that call's copies.
-        """
-        seen = digests(docs, id_col, text_col)
-        new = seen.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        if self.exists():
-            new = new.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+    def append(self, rows: DataFrame) -> None:
         (
-            new.write.format("parquet").mode("append").option("path", self.path)
+            rows.write.format("parquet").mode("append").option("path", self.path)
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         )
-        return self.lookup(seen)
-
-    def lookup(self, seen: DataFrame) -> DataFrame:
-        """(doc_id, digest) rows with keep_id and group_size. The files are read without their buckets, so
-        that the join's skewed partitions (a digest that many rows share) can be split at run time."""
-        rows = self.spark.read.schema("digest binary, keep_id bigint, group_size bigint").parquet(self.path)
-        return seen.join(rows.hint("merge"), "digest")
 
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
 
-def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    found = index.admit(docs, id_col, text_col)
-    return found.select(
+    def admit(self, seen: DataFrame) -> None:
+        """Append the digests of seen (doc_id, digest) that the index lacks, each with its smallest doc_id."""
+        new = seen.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
+        self.append(new.join(self.rows().select("digest").hint("merge"), "digest", "left_anti"))
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
+
+
+def batches_by_id(seen: DataFrame, batches: int) -> list[DataFrame]:
+    """The rows in `batches` parts of about one size, smaller doc_ids first and null ones last."""
+    shares = [(i + 1) / batches for i in range(batches - 1)]
+    edges = (seen.agg(F.percentile_approx("doc_id", shares)).first()[0] if shares else None) or []
+    edges = sorted(set(edges))
+    low = [F.lit(True), *[F.col("doc_id") > e for e in edges]]
+    high = [*[F.col("doc_id") <= e for e in edges], F.lit(True)]
+    parts = [seen.where(a & b) for a, b in zip(low[:-1], high[:-1], strict=True)]
+    return [*parts, seen.where(low[-1] | F.col("doc_id").isNull())]
+
+
+def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", batches: int = 1) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every row; docs are admitted to the index in `batches` batches.
+
+    A text that the index had before keeps the earlier document, whatever its id; among docs the smallest doc_id stays.
+    group_size counts the rows of docs with the text.
+    """
+    seen = stash(digests(docs, id_col, text_col), "digests")
+    for batch in batches_by_id(seen, batches):
+        index.admit(batch)
+    sizes = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    groups = stash(sizes.join(index.rows().hint("merge"), "digest"), "groups")  # written, so that the next join can split a digest that many rows share
+    return seen.join(groups.hint("merge"), "digest").select(
         "doc_id", "keep_id", "group_size",
         F.expr("doc_id <=> keep_id").alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
@@ -81,8 +96,17 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
 
 
+def once(docs: DataFrame, batches: int) -> DataFrame:
+    """exact_dedup() with an index of its own, which is gone afterwards."""
+    index = fresh_index(docs.sparkSession)
+    try:
+        return exact_dedup(docs, index, batches=batches)
+    finally:
+        index.drop()
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir), fresh_index(spark))
+    return once(documents(spark, sf_dir), batches=2)
 
 
 ORACLE = r"""

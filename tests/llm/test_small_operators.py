@@ -1,5 +1,7 @@
+import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -69,9 +71,36 @@ def test_exact_dedup_and_a_second_batch(spark, frame):
     rows = {r["doc_id"]: r for r in exact_dedup.exact_dedup(frame(EDGE), index).collect()}
     assert (rows[5]["keep_id"], rows[5]["kept"], rows[4]["kept"], rows[5]["group_size"]) == (4, False, True, 2)
     assert rows[1]["keep_id"] == 0 and rows[2]["keep_id"] == 2
-    later = {r["doc_id"]: r["kept"] for r in exact_dedup.exact_dedup(frame(["new", "same text here"], ids=[100, 3]), index).collect()}
-    assert later == {100: True, 3: False} and index.rows().count() == 7
-    assert exact_dedup.exact_dedup(frame([]), exact_dedup.fresh_index(spark)).count() == 0
+    for _ in range(2):  # a batch that is admitted again changes nothing
+        later = {r["doc_id"]: (r["kept"], r["group_size"]) for r in exact_dedup.exact_dedup(frame(["new", "same text here"], ids=[100, 3]), index).collect()}
+        assert later == {100: (True, 1), 3: (False, 1)} and index.rows().count() == 7
+    index.drop()
+    assert not spark.catalog.tableExists(index.name)
+    assert exact_dedup.once(frame([]), 2).count() == 0
+
+
+@pytest.mark.parametrize("batches", [1, 2, 3, 7])
+def test_exact_dedup_in_batches_equals_brute_force(frame, batches):
+    rnd = random.Random(batches)
+    texts = [rnd.choice([None, "", " ", "a b", "a  b", "a\tb", "c", "long " * 2000]) for _ in range(60)]
+    ids = [rnd.choice([None, *range(40)]) for _ in texts]
+    got = sorted(((r["doc_id"], r["text_sha256"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.once(frame(texts, ids), batches).collect()), key=repr)
+    plain = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts]
+    want = []
+    for i, p in zip(ids, plain):
+        same = [j for j, q in zip(ids, plain) if p == q]
+        keep = min((j for j in same if j is not None), default=None)
+        want.append((i, hashlib.sha256(p.encode()).hexdigest(), keep, len(same), i == keep))
+    assert got == sorted(want, key=repr)
+
+
+def test_index_side_of_the_anti_join_is_not_shuffled(spark, frame):
+    index = exact_dedup.fresh_index(spark)
+    index.admit(exact_dedup.digests(frame(EDGE)))
+    new = exact_dedup.digests(frame(EDGE)).groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
+    plan = new.join(index.rows().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    index.drop()
 
 
 def test_line_dedup_equals_brute_force(frame):
