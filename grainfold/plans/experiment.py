@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from grainfold.config import Config, Stage, load_plugins
 from grainfold.functions import text as T
-from grainfold.operators import experiments, ranking
+from grainfold.operators import experiments, judging, ranking
+from grainfold.operators.evaluation import REFERENCE
 from grainfold.operators.registry import OPERATORS
 from grainfold.session import stash
 from grainfold.sources import tables
@@ -139,3 +140,29 @@ def run_matrix(spark: SparkSession, cells: list[tuple[str, Config]], examples_fo
         if not tables.pending(cell, done, "config_name", "domain").isEmpty():
             tables.append_matrix(run_experiment(config, examples_for(config.domain), judge, corpus_for(config.domain), name, traces), path)
     return spark.read.schema(tables.MATRIX).parquet(path)
+
+
+def validated(judge, examples: DataFrame, n: int | None = None) -> DataFrame:
+    """A judge's scores of examples with gold scores (the first n of them), each beside its reference: what judge_report() reads.
+    examples: example_id, question, documents_sentences, response_sentences and the reference scores."""
+    chosen = examples if n is None else tables.first_rows(examples, n, "example_id")
+    known = chosen.withColumns({f"{m}_ref": F.col(c) for m, c in REFERENCE.items()})
+    return judge.scores(known, "question", "documents_sentences", "response_sentences")
+
+
+def run_validation(spark: SparkSession, judge, model: str, variant: str, cells: list[tuple[str, str]], examples_for, root: str, n: int) -> DataFrame:
+    """Reports of a judge on example sets (domain, config), one after the other; those that are there already are skipped.
+    examples_for maps a config to its examples."""
+    path = tables.report_path(root, model, variant, n)
+    schema = tables.report_schema()
+    for domain, config in cells:
+        cell = spark.createDataFrame([(model, variant, config)], "model string, prompt_variant string, config string")
+        try:
+            done = spark.read.schema(schema).parquet(path)
+        except tables.AnalysisException:
+            done = None
+        if not tables.pending(cell, done, *cell.columns).isEmpty():
+            report = judging.judge_report(validated(judge, examples_for(config), n))
+            names = {"model": model, "prompt_variant": variant, "domain": domain, "config": config}
+            tables.append_reports(report.withColumns({c: F.lit(v) for c, v in names.items()}), path)
+    return spark.read.schema(schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
 import shutil
@@ -64,14 +65,23 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free(spark: SparkSession) -> None:
+    """Let shuffle files go that belong to frames which nobody holds any more. Events still on their way to listeners hold
+    finished queries, so they are waited for."""
+    gc.collect()
+    with contextlib.suppress(Exception):  # a wait only: after half a minute the files go later
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    spark.sparkContext._jvm.System.gc()
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()  # shuffle files of frames that nobody holds any more can go now
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    free(spark)
+    return spark.read.schema(schema).parquet(path)
 
 
 def sized(df: DataFrame, most: int) -> DataFrame:

@@ -193,11 +193,14 @@ def append_matrix(rows: DataFrame, path: str) -> None:
     append_rows(rows, path, MATRIX, ["config_name", "config_id", "domain"])
 
 
+def report_schema() -> t.StructType:
+    text = {"model", "prompt_variant", "domain", "config"}
+    return t.StructType([t.StructField(c, t.StringType() if c in text else t.LongType() if c.startswith("n") else t.DoubleType()) for c in REPORT])
+
+
 def append_reports(rows: DataFrame, path: str) -> None:
     """A judge's reports, by model, variant and example set."""
-    text = {"model", "prompt_variant", "domain", "config"}
-    schema = t.StructType([t.StructField(c, t.StringType() if c in text else t.LongType() if c.startswith("n") else t.DoubleType()) for c in REPORT])
-    append_rows(rows, path, schema, ["model", "prompt_variant", "config"])
+    append_rows(rows, path, report_schema(), ["model", "prompt_variant", "config"])
 
 
 def report_path(root: str, model: str, variant: str, n: int) -> str:

@@ -223,3 +223,24 @@ def test_pooled_corpus_holds_each_text_once(spark):
     pipe = experiment.Pipeline(config.from_dict(PLAIN | {"index": {"type": "faiss", "corpus_mode": "pooled"}, "chunker": {"type": "none"}}))
     corpus = spark.createDataFrame([(5, "b"), (3, "a"), (9, "b"), (1, "c"), (7, " ")], "doc_id bigint, text string")
     assert [(r["chunk_id"], r["text"]) for r in pipe.chunks(examples(spark), corpus).orderBy("doc_id").collect()] == [("0-0", "c"), ("1-0", "a"), ("2-0", "b")]
+
+
+def test_validation_sweep_goes_on_where_it_stopped(spark, tmp_path):
+    sentences = [[("0a", "One."), ("0b", "Two.")], [("1a", "Three."), ("1b", "Four.")]]
+    rows = [(i, "Q?", sentences, [("a", "Yes.")], 0.5, 0.25, 0.5, i < 2) for i in range(3)]
+    keyed = "array<struct<key: string, text: string>>"
+    gold = spark.createDataFrame(rows, f"example_id int, question string, documents_sentences array<{keyed}>, response_sentences {keyed}, relevance_score double, utilization_score double, completeness_score double, adherence_score boolean")
+    asked = []
+
+    def examples_for(name):
+        asked.append(name)
+        return gold
+
+    sweep = lambda *cells: experiment.run_validation(spark, models.FakeJudge(), "Some/Model", "baseline", [("Law", c) for c in cells], examples_for, str(tmp_path), 3)
+    sweep("one")
+    got = {r["config"]: r for r in sweep("one", "two").collect()}
+    assert asked == ["one", "two"] and set(got) == {"one", "two"}
+    r = got["two"]
+    assert (r["n"], r["n_scored"], r["n_failed"], r["relevance_rmse"], r["utilization_signed"], r["completeness_mae"]) == (3, 3, 0, 0.0, 0.0, 0.0)
+    assert (r["adherence_acc"], r["adherence_over_flag"], r["adherence_under_flag"]) == (round(2 / 3, 6), 0.0, round(1 / 3, 6))
+    assert experiment.validated(models.FakeJudge(), gold, 2).count() == 2
