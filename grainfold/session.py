@@ -66,9 +66,10 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def free(spark: SparkSession) -> None:
-    """Let shuffle files go that belong to frames which nobody holds any more. Events still on their way to listeners hold
-    finished queries, so they are waited for."""
+    """Let shuffle files go that belong to frames which nobody holds any more. A session holds on to its last query until
+    the next one, so a query of one row is run; events on their way to listeners hold queries too, so they are waited for."""
     gc.collect()
+    spark.range(1).write.format("noop").mode("overwrite").save()
     with contextlib.suppress(Exception):  # a wait only: after half a minute the files go later
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     spark.sparkContext._jvm.System.gc()
