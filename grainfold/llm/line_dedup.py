@@ -18,8 +18,8 @@ at the same place of both (substitution), or when one character of the longer is
 4. The partner chosen is verified by edit distance on the lines themselves.
 
 Defined cases: a null text has no lines; lines of fewer than min_chars characters (blank ones included)
-take no part and stay, as the SQL of op8 has it; with exact_chars, exact copies of shorter lines go as well if
-they have that many characters and are not blank, but they have no near copies; of repeated rows (one doc_id,
+take no part and stay; with exact_chars, exact copies of shorter lines go as well if they have that many characters
+and are not blank, but they have no near copies (op8 asks for all of one character or more); of repeated rows (one doc_id,
 equal lines) all occurrences at the earliest place stay; a null doc_id comes before every other. Line ids are two 64-bit hashes of the line.
 """
 
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.llm.common import documents, stash
+from grainfold.llm.common import documents, partitions, stash
 
 MIN_CHARS = 20
 LONG = 100
@@ -124,19 +124,34 @@ def near_firsts(found: DataFrame, distinct: DataFrame) -> DataFrame:
     )
 
 
-def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
-    """Distinct lines (a, b) with their earliest occurrence and the earliest occurrence of another line within one edit."""
-    found = lines(docs, id_col, text_col, min_chars, exact_chars)
-    distinct = distinct_lines(found, None if exact_chars is None else min_chars)
-    return distinct.select("a", "b", "first", "n").join(near_firsts(found, distinct).hint("merge"), ["a", "b"], "left")
+def hot_lines(distinct: DataFrame) -> DataFrame:
+    """Lines that hold more than a quarter of a task's fair share of all lines, four a task at most, and into how many
+    parts of that size each is cut: eight a task altogether at most."""
+    share = 4 * partitions(distinct.sparkSession)
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    return distinct.where(F.col("n") * share > total).select("a", "b", F.ceil(F.col("n") * share / max(total, 1)).cast("int").alias("parts"))
+
+
+def judged_occurrences(occurrences: DataFrame, distinct: DataFrame, near: DataFrame) -> DataFrame:
+    """Occurrences of lines that have a copy or an earlier near one, with first and stays (the earliest of both).
+
+    The occurrences of a hot line are dealt to several tasks, each of which gets its verdict.
+    """
+    hot = F.broadcast(hot_lines(distinct))
+    verdicts = distinct.select("a", "b", "first", "n").join(near.hint("merge"), ["a", "b"], "left").where("n > 1 OR near < first")
+    parts = F.coalesce("parts", F.lit(1))
+    salted = verdicts.join(hot, ["a", "b"], "left").select("a", "b", "first", F.least("first", "near").alias("stays"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+    dealt = occurrences.join(hot, ["a", "b"], "left").withColumn("salt", F.pmod(F.xxhash64("doc_id", "version", "line_no"), parts).cast("int")).drop("parts")
+    return dealt.join(salted.hint("merge"), ["a", "b", "salt"])
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """doc_id, text: the lines that stay, joined again; n_lines, n_exact, n_near: how many lines went as copies and as near copies."""
-    verdicts = line_verdicts(docs, id_col, text_col, min_chars, exact_chars).where("n > 1 OR near < first").select("a", "b", "first", F.least("first", "near").alias("stays"))
+    found = lines(docs, id_col, text_col, min_chars, exact_chars)
+    distinct = distinct_lines(found, None if exact_chars is None else min_chars)
+    occurrences = found.select("doc_id", "version", "line_no", "place", "a", "b")
     dropped = (
-        lines(docs, id_col, text_col, min_chars, exact_chars).select("doc_id", "version", "line_no", "place", "a", "b")
-        .join(verdicts.hint("merge"), ["a", "b"]).where("place > stays")
+        judged_occurrences(occurrences, distinct, near_firsts(found, distinct)).where("place > stays")
         .groupBy(F.col("doc_id").alias("gone_id"), F.col("version").alias("gone_version"))
         .agg(F.collect_set("line_no").alias("gone"), F.collect_set(F.when(F.col("place") > F.col("first"), F.col("line_no"))).alias("exact"))
     )
@@ -153,19 +168,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(documents(spark, sf_dir))
+    out = line_dedup(documents(spark, sf_dir), exact_chars=1)
     return out.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: Brute force over distinct lines: each with every other that is at most one character longer or shorter.
+#: Brute force over distinct lines: each of MIN_CHARS characters or more with every other that is at most one character
+#: longer or shorter; shorter ones, if they are not blank, have exact copies only.
 ORACLE = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
 ), d AS (
-  SELECT line, length(line) AS n, min(doc_id * 1000000 + line_no) AS at, substring(line, 1, (length(line) - 1) // 2) AS head FROM l WHERE length(line) >= 20 GROUP BY line
+  SELECT line, length(line) AS n, min(doc_id * 1000000 + line_no) AS at FROM l WHERE length(line) >= 20 OR regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line
 ), near AS (
   SELECT a.line, min(b.at) AS near FROM d a JOIN d b ON b.n BETWEEN a.n - 1 AND a.n + 1 AND a.line != b.line
-  WHERE (substring(a.line, 1, (least(a.n, b.n) - 1) // 2) = substring(b.line, 1, (least(a.n, b.n) - 1) // 2)
+  WHERE a.n >= 20 AND b.n >= 20 AND (substring(a.line, 1, (least(a.n, b.n) - 1) // 2) = substring(b.line, 1, (least(a.n, b.n) - 1) // 2)
       OR right(a.line, (least(a.n, b.n) - 1) // 2) = right(b.line, (least(a.n, b.n) - 1) // 2))
     AND levenshtein(a.line, b.line) <= 1 GROUP BY a.line
 ), v AS (
