@@ -22,6 +22,10 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_suffix_dedup": span_dedup.ORACLE,
+        "op4_quality_rules": quality_rules.ORACLE,
+        "op5_lm_scores": lm_scores.ORACLE,
+        "op6_jaccard_join": jaccard_join.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
     }
