@@ -9,10 +9,11 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grainfold.session import delete, partitions, shared_dir, ship_package, stash
 
-__all__ = ["cache_share", "claim", "delete", "documents", "lean", "map_texts", "partitions", "remembers", "shared_dir", "ship_package", "stash", "trim", "utf8"]
+__all__ = ["cache_share", "claim", "delete", "documents", "join_counted", "lean", "map_texts", "partitions", "remembers", "shared_dir", "ship_package", "stash", "trim", "utf8"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,6 +69,19 @@ def lean(work: Callable) -> Callable:
     return two if work.__code__.co_argcount == 2 else one
 
 
+def join_counted(left: DataFrame, right: DataFrame, on: str, size: str) -> DataFrame:
+    """left joined with right, which has one row for each key and says in `size` how many rows of left have it.
+
+    Keys that hold more than a quarter of a task's fair share of left, of which there are four a task at most, are
+    broadcast; the rows of all others are merged. So no task gets more than its share, whatever one key holds.
+    """
+    share = 4 * partitions(left.sparkSession)
+    total = right.agg(F.sum(size)).first()[0] or 0
+    hot = F.broadcast(right.where(F.col(size) * share > total))
+    rest = left.join(hot.select(on), on, "left_anti").join(right.hint("merge"), on)
+    return left.join(hot, on).unionByName(rest)
+
+
 def cache_share(spark: SparkSession, total: int) -> int:
     """Bytes that one Python worker may remember, so that the workers of an executor remember `total` together."""
     sc = spark.sparkContext

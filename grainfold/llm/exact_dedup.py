@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainfold.llm.common import delete, documents, partitions, shared_dir, stash
+from grainfold.llm.common import delete, documents, join_counted, partitions, shared_dir, stash
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -84,8 +84,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     for batch in batches_by_id(seen, batches):
         index.admit(batch)
     sizes = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-    groups = stash(sizes.join(index.rows().hint("merge"), "digest"), "groups")  # written, so that the next join can split a digest that many rows share
-    return seen.join(groups.hint("merge"), "digest").select(
+    groups = stash(sizes.join(index.rows().hint("merge"), "digest"), "groups")
+    return join_counted(seen, groups, "digest", "group_size").select(
         "doc_id", "keep_id", "group_size",
         F.expr("doc_id <=> keep_id").alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),

@@ -82,7 +82,7 @@ def test_exact_dedup_and_a_second_batch(spark, frame):
 @pytest.mark.parametrize("batches", [1, 2, 3, 7])
 def test_exact_dedup_in_batches_equals_brute_force(frame, batches):
     rnd = random.Random(batches)
-    texts = [rnd.choice([None, "", " ", "a b", "a  b", "a\tb", "c", "long " * 2000]) for _ in range(60)]
+    texts = [rnd.choice([None, "", " ", "a b", "a  b", "a\tb", "c", "long " * 2000]) for _ in range(60)] + [f"own {i}" for i in range(40)]
     ids = [rnd.choice([None, *range(40)]) for _ in texts]
     got = sorted(((r["doc_id"], r["text_sha256"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.once(frame(texts, ids), batches).collect()), key=repr)
     plain = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts]
