@@ -50,7 +50,12 @@ def shingles(text: bytes | None, n: int = WORDS) -> np.ndarray:
     for i in range(1, width):
         rolled = rolled * STEP + h[i : len(h) - width + 1 + i]
     rolled = (rolled ^ (rolled >> np.uint64(29))) * SEEDS[0] + np.uint64(width)
-    return np.unique(rolled)
+    return distinct_sorted(rolled)
+
+
+def distinct_sorted(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
 
 
 def frequency_class(owners: np.ndarray) -> np.ndarray:
@@ -58,12 +63,22 @@ def frequency_class(owners: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(owners)).astype(np.uint8)
 
 
-def prefix(tokens: np.ndarray, classes: np.ndarray, seed: np.uint64, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first elements of a set under an order that other sets have too, and their places; equal keys stay together."""
-    size = len(tokens)
+def order_keys(tokens: np.ndarray, classes: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """By which a global order places elements: rare classes first, and within a class by a hash."""
+    return (classes.astype(np.uint64) << np.uint64(56)) | ((tokens * seed) >> np.uint64(8))
+
+
+def in_prefix(key: np.ndarray, percent: int) -> np.ndarray:
+    """Which elements of a set are among its first ones under an order; equal keys stay together."""
+    size = len(key)
     p = size - -(-percent * size // 100) + 1
-    key = (classes.astype(np.uint64) << np.uint64(56)) | ((tokens * seed) >> np.uint64(8))
-    chosen = np.flatnonzero(key <= np.partition(key, p - 1)[p - 1])
+    return key <= np.partition(key, p - 1)[p - 1]
+
+
+def prefix(tokens: np.ndarray, classes: np.ndarray, seed: np.uint64, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first elements of a set that other sets have too, in their order, and their places."""
+    key = order_keys(tokens, classes, seed)
+    chosen = np.flatnonzero(in_prefix(key, percent))
     chosen = chosen[np.argsort(key[chosen], kind="stable")]
     places = np.flatnonzero(classes[chosen] > 0)
     return tokens[chosen[places]], places.astype(np.int32)
@@ -74,7 +89,7 @@ ROWS = "doc_id bigint, n_shingles bigint, set_id bigint, second bigint, tokens b
 
 def folded(tokens: np.ndarray) -> bytes:
     """Sorted 32-bit halves of tokens: equal tokens have equal ones, so that a filter on them loses nothing."""
-    return np.unique((tokens ^ (tokens >> np.uint64(32))).astype(np.uint32)).tobytes()
+    return distinct_sorted((tokens ^ (tokens >> np.uint64(32))).astype(np.uint32)).tobytes()
 
 
 def meet(x: bytes, y: bytes, kind=np.uint64) -> int:
@@ -141,17 +156,20 @@ def candidates(docs: DataFrame, n: int, percent: int, block_bytes: int) -> DataF
 
     def choose(group: pa.Table, found: pa.Table) -> pa.Table:
         made, ids, second = sets_of(group)
-        every, codes = np.unique(np.concatenate(made)), returned_codes(found.to_pylist())
+        _, places_ = np.unique(np.concatenate(made), return_inverse=True)
+        every_class = returned_codes(found.to_pylist())[places_]
+        ends = np.cumsum([len(m) for m in made])
         seen: set[tuple[int, int]] = set()
         columns: list[list] = [[], [], [], [], []]
         for i, m in enumerate(made):
-            classes = codes[np.searchsorted(every, m)] if len(m) else np.zeros(0, np.uint8)
+            classes = every_class[ends[i] - len(m) : ends[i]]
             parts: list = [None] * 5
             one = int(ids[i]), int(second[i])
             if len(m) and 100 * np.count_nonzero(classes) >= percent * len(m) and one not in seen:
                 seen.add(one)
-                (p0, places), (p1, _), (p2, _) = (prefix(m, classes, seed, percent) for seed in SEEDS)
-                parts = [m.tobytes(), p0.tobytes(), folded(p1), folded(p2), places.tobytes()]
+                p0, places = prefix(m, classes, SEEDS[0], percent)
+                others = [m[in_prefix(order_keys(m, classes, s), percent) & (classes > 0)] for s in SEEDS[1:]]
+                parts = [m.tobytes(), p0.tobytes(), *map(folded, others), places.tobytes()]
             for c, p in zip(columns, parts, strict=True):
                 c.append(p)
         return pa.table({"doc_id": group["doc_id"], "n_shingles": pa.array([len(m) for m in made], pa.int64()), "set_id": pa.array(ids.view(np.int64)), "second": pa.array(second.view(np.int64)), **{k: pa.array(c, pa.binary()) for k, c in zip(("tokens", "p0", "p1", "p2", "places"), columns, strict=True)}})
@@ -205,8 +223,9 @@ def links(rows: DataFrame, percent: int, report: list | None = None) -> DataFram
         hubs = open_.groupBy("token").agg(F.min(by_seed).alias("hub"))
         pairs = open_.join(hubs.hint("merge"), "token").where(f"component != hub.component AND {fits('', 'hub.', percent)}")
         met = stash(verify(pairs.select(F.greatest("doc", "hub.doc").alias("a"), F.least("doc", "hub.doc").alias("b")).distinct(), found, percent, report), "links")
-        near = stash(near.unionByName(met), "links") if near else met
-        labelled = open_.drop("component").join(components(near).withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        joined = components(near.unionByName(met) if near else met)
+        near = joined.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))  # one link a set says as much as all
+        labelled = open_.drop("component").join(joined.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         several = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
         open_ = stash(labelled.join(several.hint("merge"), "token", "left_semi"), "open_postings")
     left = Window.partitionBy("doc").orderBy(F.desc("rest"), "token").rowsBetween(Window.unboundedPreceding, -1)

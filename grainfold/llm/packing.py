@@ -204,7 +204,8 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_task.select("length", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    numbered = made.join(starts, ["length", "task"]).select(*[x.split()[0] for x in PIECES.split(", ")[:5]], (F.col("first") + F.col("nth")).alias("number"))
+    numbered = made.join(starts.hint("merge"), ["length", "task"])  # a key has what one task made of one length
+    numbered = numbered.select(*[x.split()[0] for x in PIECES.split(", ")[:5]], (F.col("first") + F.col("nth")).alias("number"))
 
     def place(batches):
         for batch in batches:

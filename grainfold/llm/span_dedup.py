@@ -36,7 +36,7 @@ from grainfold.llm.quality_rules import covered
 from grainfold.llm.suffix_array import permuted_common_prefixes, suffix_array
 
 WIDTH, GRAM = 50, 20
-BLOCK_BYTES, PIECE_BYTES, HOT, CONTEXTS = 8_000_000, 2_000_000, 2_000, 50_000
+BLOCK_BYTES, PIECE_BYTES, HOT, CONTEXTS = 8_000_000, 1_000_000, 2_000, 50_000
 LAST = np.iinfo(np.int64).max
 M1, M2, PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64((1 << 28) - 1)
 
@@ -121,11 +121,12 @@ def runs_of_windows(raw: np.ndarray, first: np.ndarray, last: np.ndarray, width:
     return start, stop, (at ^ (at >> np.uint64(29))) * M1, ((wide * M1) ^ (ending >> np.uint64(7))) * M2 + (stop - start).astype(np.uint64)
 
 
-def distinct(block: Block, codes: np.ndarray, keys: np.ndarray, width: int):
+def distinct(block: Block, codes: np.ndarray, places: np.ndarray, width: int):
     """The shared contexts (from, to, number of the distinct one), and of the distinct ones in order: key (which
-    shard), from, to, smallest doc_id. codes: by anchor in keys 0 alone, 1 shared, 2 shared by very many.
+    shard), from, to, smallest doc_id. codes, by anchor: 0 alone, 1 shared, 2 shared by very
+    many; places: of each run's anchor among them.
     Two contexts of a block are equal if their anchors' and their bytes' 64-bit hashes are."""
-    code = codes[np.searchsorted(keys, block.hash)] if len(keys) else np.zeros(0, np.uint8)
+    code = codes[places] if len(codes) else np.zeros(0, np.uint8)
     start, stop, key, same = (x[code == 1] for x in (block.start, block.stop, block.hash, block.bytes_hash))
     hot = np.flatnonzero(code == 2)
     if len(hot):
@@ -255,7 +256,7 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return packed(sliced_keys(keys, n, slices, block_of(group)))
 
     def codes(block: Block, found: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-        return returned_codes(found), np.unique(block.hash)
+        return returned_codes(found), np.unique(block.hash, return_inverse=True)[1]
 
     def explode(group: pa.Table, found: pa.Table) -> pa.Table:
         block = Block(group, width, gram)
@@ -318,18 +319,22 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             places = np.repeat(begin_, run) + inner
             owner = block.ids[np.searchsorted(block.ends, begin_, "right")]
             gone[places[least[np.repeat(where, run) + inner] < np.repeat(owner, run)]] = True
-        removed = covered(gone[:-1][: max(len(block.text) - width + 1, 0)], width, len(block.text)) if gone.any() else gone[:-1]
         raw = np.frombuffer(block.text, np.uint8)
-        total_ = np.concatenate(([0], np.cumsum(removed, dtype=np.int32)))
-        begins = removed & ~np.concatenate(([False], removed[:-1])) if len(removed) else removed
-        begins[(block.ends - block.sizes)[block.sizes > 0]] |= removed[(block.ends - block.sizes)[block.sizes > 0]]
-        spans = np.concatenate(([0], np.cumsum(begins, dtype=np.int32)))
-        low, high = block.ends - block.sizes, block.ends
-        kept = [raw[a:b][~removed[a:b]].tobytes() if t else block.text[a:b] for a, b, t in zip(low.tolist(), high.tolist(), (total_[high] > total_[low]).tolist(), strict=True)]
+        sums, texts = [], []
+        for low, high in zip((block.ends - block.sizes).tolist(), block.ends.tolist(), strict=True):  # a document at a time
+            starts = gone[low : max(high - width + 1, low)]
+            if starts.any():
+                lost = covered(starts, width, high - low)
+                kept, cut = raw[low:high][~lost].tobytes(), np.count_nonzero(lost)
+                runs = int(lost[0]) + np.count_nonzero(lost[1:] & ~lost[:-1])
+            else:
+                kept, cut, runs = block.text[low:high], 0, 0
+            sums.append((cut, runs, hashlib.sha256(kept).hexdigest()))
+            texts.append(kept.decode("utf-8", "ignore") if with_text else None)
+        cut, runs, digests = zip(*sums, strict=True) if sums else ((), (), ())
         return pa.table({
-            "doc_id": block.given, "n_bytes": pa.array(block.sizes), "n_removed": pa.array((total_[high] - total_[low]).astype(np.int64)), "n_spans": pa.array((spans[high] - spans[low]).astype(np.int64)),
-            "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
-            "kept_text": pa.array([k.decode("utf-8", "ignore") if with_text else None for k in kept], pa.string()),
+            "doc_id": block.given, "n_bytes": pa.array(block.sizes), "n_removed": pa.array(cut, pa.int64()), "n_spans": pa.array(runs, pa.int64()),
+            "kept_sha256": pa.array(digests, pa.string()), "kept_text": pa.array(texts, pa.string()),
             **{a: group[a] for a in riding.values()},
         })
 

@@ -27,7 +27,7 @@ from grainfold.llm.bpe import PAIR_COST, PIECE_BYTES, Pairs
 from grainfold.llm.common import cache_share, documents, map_texts
 
 #: CACHE_BYTES: what the workers of one executor may remember together, pieces and verdicts on pairs.
-CODEC, CACHE_BYTES, PIECE_COST = "zstd", 256 << 20, 200
+CODEC, CACHE_BYTES, PIECE_COST = "zstd", 768 << 20, 200
 
 
 def byte_letters() -> dict[str, int]:

@@ -20,6 +20,14 @@ def vector_queries(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
+@query("SELECT label % 2 AS part, count(*) AS n, min(len(embedding))::INT AS dim FROM embeddings GROUP BY 1")
+def vector_index(spark, sf_dir):
+    """Vectors added to an index in two parts, with their dimension checked."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("part", F.col("label") % 2)
+    index = retrieval.added(retrieval.added(None, rows.where("part = 0"), 64), rows.where("part != 0 OR part IS NULL"), 64)
+    return index.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("embedding")).alias("dim"))
+
+
 DENSE = f"""SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round({B.dot("q.embedding", "d.embedding")}, 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0"""
 TOP_DENSE = "SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1)::INT AS rank FROM ({DENSE}) QUALIFY rank < {k}"
 

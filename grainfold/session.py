@@ -56,7 +56,8 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def _forget(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:  # a stopped session has no file system to ask
-        delete(spark, path)
+        with contextlib.suppress(Exception):  # nor has one whose JVM went first
+            delete(spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
