@@ -228,6 +228,8 @@ def links(rows: DataFrame, percent: int, report: list | None = None) -> DataFram
         labelled = open_.drop("component").join(joined.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         several = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
         open_ = stash(labelled.join(several.hint("merge"), "token", "left_semi"), "open_postings")
+        if open_.isEmpty():  # every list lies in one component
+            return near
     left = Window.partitionBy("doc").orderBy(F.desc("rest"), "token").rowsBetween(Window.unboundedPreceding, -1)
     open_ = open_.withColumn("before", F.collect_list("token").over(left))  # a prefix at most, so that a pair is met at its first element only
     x, y = (open_.select("token", *[F.col(c).alias(side + c) for c in ("doc", "n", "rest", "component", "before")]) for side in ("a_", "b_"))
