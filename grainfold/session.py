@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import os
 import shutil
 import tempfile
@@ -15,6 +14,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's own setting by which a query's shuffle files are deleted when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _SHIPPED: set[str] = set()
 _SCRATCH: set[str] = set()
 
@@ -66,23 +68,19 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def free(spark: SparkSession) -> None:
-    """Let shuffle files go that belong to frames which nobody holds any more. A session holds on to its last query until
-    the next one, so a query of one row is run; events on their way to listeners hold queries too, so they are waited for."""
-    gc.collect()
-    spark.range(1).write.format("noop").mode("overwrite").save()
-    with contextlib.suppress(Exception):  # a wait only: after half a minute the files go later
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    spark.sparkContext._jvm.System.gc()
-
+def stash(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing.
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
+    The shuffle files of the write go when it ends (CLEANUP). by: columns by whose values the files are parted.
+    """
     spark, schema = df.sparkSession, df.schema
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    del df
-    free(spark)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     return spark.read.schema(schema).parquet(path)
 
 
