@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from grainfold.llm import bpe, exact_dedup, jaccard_join, line_dedup, lm_scores, packing, periodic_runs, prefix_trie, quality_classifier, quality_rules, span_dedup, token_counts
+from grainfold.llm import bpe, chunk_bpe, exact_dedup, jaccard_join, line_dedup, lm_scores, packing, periodic_runs, prefix_trie, quality_classifier, quality_rules, span_dedup, token_counts
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.op8,
         "op9_byte_bpe": bpe.op9,
         "op10_token_counts": token_counts.op10,
+        "op11_chunk_bpe": chunk_bpe.op11,
         "op12_periodic_runs": periodic_runs.op12,
         "op13_prefix_trie": prefix_trie.op13,
     }
