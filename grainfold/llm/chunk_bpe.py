@@ -14,7 +14,7 @@ Words are encoded by merging the pair of lowest rank, leftmost first: short ones
 
 Defined cases: a null or empty text has no tokens; a text without a space is one stretch; special tokens' strings are
 cut out of the text as it was written, each one token; rows that repeat are handled one by one; an empty table gives no
-rows. Characters' classes and normal forms are those of the installed Unicode tables. Other columns are not read.
+rows. Characters that Unicode got after version 15 may be classed otherwise than by the library. Other columns are not read.
 """
 
 from __future__ import annotations
