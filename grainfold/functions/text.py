@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 #: The characters that count as blank (Unicode white space and the ASCII separators), where a
 #: sentence ends (a closing quote or bracket there is consumed), and what a blank paragraph border is.
 BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SENTENCE_END = rf"""(?<=[.!?])["')\]]?{BLANK}+(?=[A-Z0-9])"""
 PARAGRAPH = rf"\n{BLANK}*\n"
 
@@ -20,7 +21,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    """Without blanks at both ends, in time proportional to the length however many blanks stand within."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def words(c: Column) -> Column:

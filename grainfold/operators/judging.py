@@ -62,6 +62,9 @@ def json_part(answer: Column) -> Column:
     return F.when(fenced != "", fenced).otherwise(bare)
 
 
+BLANKS = re.compile(r"\s*")
+
+
 def escape_inner_quotes(text: str | None) -> str | None:
     """A quote inside a string ends it only if :, a comma, a closing bracket or the end follows; others are escaped."""
     if text is None:
@@ -74,7 +77,8 @@ def escape_inner_quotes(text: str | None) -> str | None:
             i += 2
             continue
         if c == '"':
-            ends = not inside or next((x for x in text[i + 1 :] if not x.isspace()), "") in ("", ":", ",", "}", "]")
+            after = BLANKS.match(text, i + 1).end()
+            ends = not inside or text[after : after + 1] in ("", ":", ",", "}", "]")
             inside = not inside if ends else inside
             c = c if ends else '\\"'
         out.append(c)

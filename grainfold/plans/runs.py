@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from grainfold.config import from_dict
+from grainfold.config import configured
 from grainfold.operators import experiments, models
 from grainfold.plans import base as B
 from grainfold.plans import experiment
@@ -66,7 +66,7 @@ RESULT = "example_id, n_sources, md5(context) AS context_md5, md5(prompt) AS pro
 
 
 def answered(spark, sf_dir, config: dict) -> DataFrame:
-    out = experiment.Pipeline(from_dict(config)).answers(questions(spark, sf_dir), judge=models.FakeJudge())
+    out = experiment.Pipeline(configured(config)).answers(questions(spark, sf_dir), judge=models.FakeJudge())
     scores = [F.round(m, 6).alias(m) for m in ("relevance", "utilization", "completeness")]
     return out.select("example_id", F.size("sources").alias("n_sources"), F.md5("context").alias("context_md5"), F.md5("prompt").alias("prompt_md5"), "answer", *scores, "adherence")
 
@@ -84,7 +84,7 @@ def experiment_per_example(spark, sf_dir):
 
 
 def matrix_sql(config: dict, name: str, body: str) -> str:
-    made = from_dict(config)
+    made = configured(config)
     kinds = {s: (made.types().get(s) or {"type": "none"})["type"] for s in tables.STAGES}
     known = {"config_name": name, "config_id": experiments.config_id(made.types()), "domain": made.domain, **kinds}
     columns = ", ".join(f"'{v}' AS {c}" for c, v in known.items())
@@ -94,7 +94,7 @@ def matrix_sql(config: dict, name: str, body: str) -> str:
 @query(f"{matrix_sql(POOLED, 'pooled', POOLED_SQL)} UNION ALL {matrix_sql(OWN, 'own', OWN_SQL)}")
 def experiment_matrix(spark, sf_dir):
     """The rows of a result matrix: every configuration over all examples."""
-    rows = [experiment.run_experiment(from_dict(c), questions(spark, sf_dir), models.FakeJudge(), name=n) for n, c in (("pooled", POOLED), ("own", OWN))]
+    rows = [experiment.run_experiment(configured(c), questions(spark, sf_dir), models.FakeJudge(), name=n) for n, c in (("pooled", POOLED), ("own", OWN))]
     return rows[0].unionByName(rows[1])
 
 

@@ -104,15 +104,15 @@ def test_grid_names_and_registry():
 def test_configurations(tmp_path):
     path = tmp_path / "c.yaml"
     path.write_text("domain: Law\n" + "".join(f"{k}: {json.dumps(v)}\n" for k, v in STAGES.items()) + "reranker:\nseed: 7\n")
-    made = config.load_config(str(path))
+    made = config.configuration_at(str(path))
     assert made.seed == 7 and made.reranker is None and made.chunker == config.Stage("fixed", {"size": 4, "overlap": 0})
     wrong = [{k: v for k, v in PLAIN.items() if k != "splitter"}, {k: v for k, v in PLAIN.items() if k != "domain"}, PLAIN | {"chunker": "fixed"}, PLAIN | {"prompt": {"kind": "x"}}, PLAIN | {"retriever": {"type": "nothing"}}, PLAIN | {"domain": ""}]
     for raw in wrong:
         with pytest.raises(ValueError):
-            config.from_dict(raw)
+            config.configured(raw)
     path.write_text("- 1\n")
     with pytest.raises(ValueError):
-        config.load_config(str(path))
+        config.configuration_at(str(path))
 
 
 def test_costs_of_unknown_models_and_the_cap_on_both_legs(spark):
@@ -191,7 +191,7 @@ def examples(spark):
 @pytest.mark.parametrize("retriever", ["dense", "bm25", "hybrid", "mmr"])
 def test_an_experiment_from_end_to_end(spark, mode, retriever):
     raw = PLAIN | {"chunker": {"type": "fixed", "size": 12, "overlap": 0}, "index": {"type": "faiss", "corpus_mode": mode}, "retriever": {"type": retriever, "k": 3}, "reranker": {"type": "lexical", "top_n": 2}, "repacker": {"type": "reverse"}, "summarizer": {"type": "lexical"}, "query_classifier": {"type": "heuristic"}}
-    rows = {r["example_id"]: r for r in experiment.Pipeline(config.from_dict(raw)).answers(examples(spark), judge=models.FakeJudge()).collect()}
+    rows = {r["example_id"]: r for r in experiment.Pipeline(config.configured(raw)).answers(examples(spark), judge=models.FakeJudge()).collect()}
     assert set(rows) == {1, 2, 3, 4}
     assert not rows[2]["needs_retrieval"] and rows[2]["sources"] == [] and rows[2]["context"] == "" and rows[2]["relevance"] == 0.0
     assert "The door is painted green today." in rows[1]["context"] and rows[1]["answer"].startswith("[ECHO] received a prompt of")
@@ -208,7 +208,7 @@ def test_matrix_goes_on_where_it_stopped(spark, tmp_path):
         asked.append(domain)
         return examples(spark)
 
-    cells = [("one", config.from_dict(PLAIN)), ("two", config.from_dict(PLAIN | {"repacker": {"type": "sides"}}))]
+    cells = [("one", config.configured(PLAIN)), ("two", config.configured(PLAIN | {"repacker": {"type": "sides"}}))]
     path = f"{tmp_path}/matrix"
     experiment.run_matrix(spark, cells[:1], examples_for, path, judge=models.FakeJudge(), traces=f"{tmp_path}/traces")
     got = {r["config_name"]: r for r in experiment.run_matrix(spark, cells, examples_for, path).collect()}
@@ -220,7 +220,7 @@ def test_matrix_goes_on_where_it_stopped(spark, tmp_path):
 
 
 def test_pooled_corpus_holds_each_text_once(spark):
-    pipe = experiment.Pipeline(config.from_dict(PLAIN | {"index": {"type": "faiss", "corpus_mode": "pooled"}, "chunker": {"type": "none"}}))
+    pipe = experiment.Pipeline(config.configured(PLAIN | {"index": {"type": "faiss", "corpus_mode": "pooled"}, "chunker": {"type": "none"}}))
     corpus = spark.createDataFrame([(5, "b"), (3, "a"), (9, "b"), (1, "c"), (7, " ")], "doc_id bigint, text string")
     assert [(r["chunk_id"], r["text"]) for r in pipe.chunks(examples(spark), corpus).orderBy("doc_id").collect()] == [("0-0", "c"), ("1-0", "a"), ("2-0", "b")]
 

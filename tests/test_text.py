@@ -137,3 +137,22 @@ def test_semantic_parameters_are_checked():
     for wrong in ({"breakpoint": "other"}, {"percentile": 0.0}, {"percentile": 100.0}, {"threshold": 1.5}):
         with pytest.raises(ValueError):
             chunking.semantic(**wrong)
+
+
+def test_a_million_blanks_within_take_linear_time(spark):
+    n = 1_000_000
+    row = spark.range(1).select(F.concat(F.lit(" \t a"), F.repeat(F.lit(" "), n), F.lit("b.　\n")).alias("t"))
+    stripped = row.select(F.length(T.strip(F.col("t"))).alias("n"))
+    stripped.first()
+    began = time.time()
+    assert stripped.first()["n"] == n + 3
+    assert row.select(F.size(T.sentences(F.col("t"))).alias("n")).first()["n"] == 1
+    assert row.select(F.size(T.paragraphs(F.col("t"))).alias("n")).first()["n"] == 1
+    assert row.select(F.size(T.summary_windows(F.col("t"), 500_000)).alias("n")).first()["n"] == 3
+    assert time.time() - began < 20
+
+
+def test_strip_takes_every_blank_character(spark):
+    edge = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    for text, want in [(edge + "x" + edge + "y" + edge, "x" + edge + "y"), (edge, ""), ("", ""), ("​ z", "​ z"), ("é日本", "é日本"), (None, None)]:
+        assert spark.createDataFrame([(text,)], "t string").select(T.strip(F.col("t")).alias("t")).first()["t"] == want
