@@ -36,7 +36,7 @@ from grainfold.llm.token_counts import byte_letters
 #: A cut is made where BITS bits of the hash of WINDOW bytes are zero, LEAST bytes after the cut before at the earliest.
 BITS, WINDOW, LEAST = 9, 16, 64
 #: Bits of the filter (8 MB), and bytes that the workers of one executor may remember together.
-FILTER_BITS, CACHE_BYTES, WORD_COST = 1 << 26, 768 << 20, 260
+FILTER_BITS, CACHE_BYTES, WORD_COST = 1 << 26, 320 << 20, 260
 LIST_MERGE, LONG = 64, 1 << 60
 
 
