@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -36,7 +37,7 @@ from grainfold.llm.token_counts import byte_letters
 #: A cut is made where BITS bits of the hash of WINDOW bytes are zero, LEAST bytes after the cut before at the earliest.
 BITS, WINDOW, LEAST = 9, 16, 64
 #: Bits of the filter (8 MB), and bytes that the workers of one executor may remember together.
-FILTER_BITS, CACHE_BYTES, WORD_COST = 1 << 26, 320 << 20, 260
+FILTER_BITS, CACHE_BYTES, WORD_COST = 1 << 26, 448 << 20, 210
 LIST_MERGE, LONG = 64, 1 << 60
 
 
@@ -110,11 +111,10 @@ class WordTokenizer:
         self.tokens = [b""] * (max(table.values()) + 1)
         for text, i in table.items():
             self.tokens[i] = text.encode()
-        self.known, self.held, self.bound = {}, 0, cache_bytes
+        self.known, self.older, self.held, self.bound = {}, {}, 0, cache_bytes
 
     def forget(self) -> None:
-        self.known.clear()
-        self.held = 0
+        self.known, self.older, self.held = {}, {}, 0
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -125,20 +125,40 @@ class WordTokenizer:
         """Normalised stretches of text and ids of special tokens, in their order."""
         return [self.special[s] if s in self.special else self.normal(s) for s in self.cut(text) if s]
 
-    def word(self, word: str) -> bytes:
-        out = np.array(self.words.encode(word.encode("utf-8", "surrogatepass")), "<u2").tobytes()
+    def remember(self, word: str, ids: bytes) -> bytes:
+        """Two generations, each within half of the bound; the older one goes when the younger one is full."""
         if len(word) <= LIST_MERGE:
-            self.held += WORD_COST + len(word) * 4
-            if self.held > self.bound:
-                self.known.clear()
-                self.held = WORD_COST
-            self.known[word] = out
-        return out
+            self.held += WORD_COST + 2 * len(word)
+            if self.held > self.bound // 2:
+                self.older, self.known, self.held = self.known, {}, WORD_COST
+            self.known[word] = ids
+        return ids
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.words.encode(piece.encode("utf-8", "surrogatepass"))
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def word(self, word: str) -> bytes:
+        """What stands between two spaces: one piece of the pattern or more, none of which crosses a space."""
+        ids = self.older.get(word)
+        if ids is None:
+            pieces, find = self.split(word), self.known.get
+            ids = self.piece(word) if pieces == [word] else b"".join([find(p) or self.remember(p, self.piece(p)) for p in pieces])
+        return self.remember(word, ids)
 
     def encode(self, normal: str) -> bytes:
         """Ids of normalised text, two bytes each."""
         get, make = self.known.get, self.word
-        return b"".join([get(w) or make(w) for w in self.split(normal)])
+        out, known = [], self.known
+        for w in normal.split(" "):
+            if w:
+                ids = get(w)
+                if ids is None:
+                    ids = make(w)
+                    if self.known is not known:
+                        known, get = self.known, self.known.get
+                out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b" ".join(map(self.tokens.__getitem__, ids.tolist()))
