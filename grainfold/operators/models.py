@@ -170,6 +170,7 @@ class Generator:
 
     load: Load
     parallel: int | None = None
+    charged: str | None = None  # the model whose price each call costs
 
     def answers(self, df: DataFrame, prompt: str = "prompt") -> DataFrame:
         def ask(client, text):
@@ -199,7 +200,7 @@ def local_generator(parallel: int | None = None, **options) -> Generator:
 
 @register("generator", "groq")
 def hosted_generator(parallel: int | None = None, **options) -> Generator:
-    return Generator(partial(HostedChat, **options), parallel)
+    return Generator(partial(HostedChat, **options), parallel, options.get("model", HOSTED_GENERATOR))
 
 
 @register("generator", "hf")
@@ -219,6 +220,7 @@ class Judge:
     max_retries: int = 1
     conservative: bool = False
     parallel: int | None = None
+    charged: str | None = None  # the model whose price each call costs
 
     def label(self, df: DataFrame, question: str = "question", documents: str = "documents", response: str = "response") -> DataFrame:
         retries = self.max_retries
@@ -271,7 +273,7 @@ def hosted_judge(max_retries: int = 1, conservative: bool = False, parallel: int
     if requests_per_minute > 0:
         parallel = parallel or 1
     options = {"model": HOSTED_JUDGE, "max_new_tokens": None, "as_json": True, "max_retries": max_rate_limit_retries} | options
-    return Judge(partial(paced_chat, requests_per_minute / (parallel or 1), **options), max_retries, conservative, parallel)
+    return Judge(partial(paced_chat, requests_per_minute / (parallel or 1), **options), max_retries, conservative, parallel, options["model"])
 
 
 @register("judge", "hf")

@@ -9,7 +9,7 @@ own documents only, with a pooled one all documents, each text once.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,9 @@ from grainfold.config import Config, Stage, load_plugins
 from grainfold.functions import text as T
 from grainfold.operators import experiments, judging, ranking
 from grainfold.operators.evaluation import REFERENCE
+from grainfold.operators.models import Generator
 from grainfold.operators.registry import OPERATORS
+from grainfold.plans import ledger
 from grainfold.session import stash
 from grainfold.sources import tables
 
@@ -54,13 +56,16 @@ class Pipeline:
     def pooled(self) -> bool:
         return self.mode == "pooled"
 
-    def chunks(self, examples: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    def chunks(self, examples: DataFrame, corpus: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
         """([corpus_id], doc_id, chunk_id, text), written. corpus (doc_id, text): what a pooled index holds instead of the
-        examples' own documents. doc_id here is the chunk's place: its document's number and its own."""
+        examples' own documents. documents (example_id, pos, text): the examples' own documents, one a row, instead of the
+        arrays in examples. doc_id here is the chunk's place: its document's number and its own."""
+        if documents is None and (corpus is None or not self.pooled):
+            documents = examples.select("example_id", F.posexplode("documents").alias("pos", "text"))
         if not self.pooled:
-            own = examples.select(F.col("example_id").alias("corpus_id"), F.posexplode("documents").alias("pos", "text"))
+            own = documents.select(F.col("example_id").alias("corpus_id"), "pos", "text")
         else:
-            given = corpus.select(F.struct("doc_id").alias("at"), "text") if corpus is not None else examples.select("example_id", F.posexplode("documents").alias("pos", "text")).select(F.struct("example_id", "pos").alias("at"), "text")
+            given = corpus.select(F.struct("doc_id").alias("at"), "text") if corpus is not None else documents.select(F.struct("example_id", "pos").alias("at"), "text")
             first = given.groupBy("text").agg(F.min("at").alias("at"))  # each text once, where it is met first
             own = tables.numbered(first, "at").select(F.lit(0).alias("corpus_id"), F.col("row_no").alias("pos"), "text")
         cut = self.chunker(own.select(F.struct("corpus_id", "pos").alias("doc_id"), "text"))
@@ -80,32 +85,42 @@ class Pipeline:
         short = self.summarizer(placed)
         return short.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("place", "chunk_id", "text", "score", F.col("rank").cast("int").alias("rank")))).cast(SOURCE).alias("sources"))
 
-    def prompts(self, examples: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    def prompts(self, examples: DataFrame, corpus: DataFrame | None = None, documents: DataFrame | None = None) -> DataFrame:
         """examples with needs_retrieval, sources, context and prompt; a question that needs no retrieval has no sources."""
         asked = examples.withColumn("needs_retrieval", self.classifier(F.col("question"))["needs_retrieval"])
-        found = self.sources(asked.where("needs_retrieval"), self.chunks(examples, corpus))
+        found = self.sources(asked.where("needs_retrieval"), self.chunks(examples, corpus, documents))
         none = F.array().cast(SOURCE)
         met = asked.join(found.withColumnRenamed("query_id", "example_id"), "example_id", "left").withColumn("sources", F.coalesce("sources", none))
         texts = F.transform("sources", lambda s: s["text"])
         return met.withColumns({"context": ranking.context(texts), "prompt": self.prompt(texts, F.col("question"))})
 
-    def answers(self, examples: DataFrame, corpus: DataFrame | None = None, judge=None) -> DataFrame:
+    def answers(self, examples: DataFrame, corpus: DataFrame | None = None, judge=None, documents: DataFrame | None = None) -> DataFrame:
         """prompts() with answer, its token counts, the four scores (null without a judge or a label) and failed."""
-        answered = self.generator.answers(self.prompts(examples, corpus))
+        return self.answered(self.prompts(examples, corpus, documents), judge)
+
+    def answered(self, prompts: DataFrame, judge=None) -> DataFrame:
+        """The same of prompts that are made already. A model's answers are written before anything reads them, so that each
+        prompt is sent once."""
+        answered = self.generator.answers(prompts)
+        if isinstance(self.generator, Generator):
+            answered = stash(answered, "generated")
         if judge is None:
             nothing = {m: F.lit(None).cast("double") for m in ("relevance", "utilization", "completeness")}
-            return answered.withColumns(nothing | {"adherence": F.lit(None).cast("boolean"), "failed": F.lit(False)})
+            none = {f"judge_{c}": F.lit(None).cast("bigint") for c in ("in_tokens", "out_tokens")}
+            return answered.withColumns(nothing | {"adherence": F.lit(None).cast("boolean"), "failed": F.lit(False)} | none)
         parts = answered.withColumns({"__texts": F.transform("sources", lambda s: s["text"]), "__answer": F.coalesce("answer", F.lit(""))})
         if self.config.splitter.type == "regex":
-            documents, response = T.split_documents(F.col("__texts")), self.splitter(F.col("__answer"))
-            split = parts.withColumns({"__documents": documents, "__response": response})
+            split = parts.withColumns({"__documents": T.split_documents(F.col("__texts")), "__response": self.splitter(F.col("__answer"))})
         else:  # a splitter that is no column of its own cannot run inside an array: sentences are split text by text
             each = parts.select("example_id", F.posexplode("__texts").alias("i", "t")).select("example_id", "i", self.splitter(F.col("t")).alias("s"))
             lists = each.groupBy("example_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("__documents"))
             split = parts.join(lists, "example_id", "left").withColumns({"__documents": F.coalesce("__documents", F.array().cast("array<array<string>>")), "__response": self.splitter(F.col("__answer"))})
         keyed = split.withColumns({"documents_sentences": T.keyed_documents(F.col("__documents")), "response_sentences": T.keyed(F.col("__response"), F.lit(""))})
         scored = judge.scores(keyed.withColumnsRenamed({"in_tokens": "gen_in_tokens", "out_tokens": "gen_out_tokens"}), "question", "documents_sentences", "response_sentences")
-        return scored.drop("__texts", "__answer", "__documents", "__response").withColumnsRenamed({"in_tokens": "judge_in_tokens", "out_tokens": "judge_out_tokens"}).withColumnsRenamed({"gen_in_tokens": "in_tokens", "gen_out_tokens": "out_tokens"})
+        scored = scored.drop("__texts", "__answer", "__documents", "__response").withColumnsRenamed({"in_tokens": "judge_in_tokens", "out_tokens": "judge_out_tokens"})
+        if "judge_in_tokens" not in scored.columns:
+            scored = scored.withColumns({f"judge_{c}": F.lit(None).cast("bigint") for c in ("in_tokens", "out_tokens")})
+        return scored.withColumnsRenamed({"gen_in_tokens": "in_tokens", "gen_out_tokens": "out_tokens"})
 
 
 def matrix_row(answers: DataFrame, config: Config, name: str | None = None) -> DataFrame:
@@ -116,30 +131,42 @@ def matrix_row(answers: DataFrame, config: Config, name: str | None = None) -> D
     return row.select(*[F.col(f.name).cast(f.dataType) for f in tables.MATRIX])
 
 
-def run_experiment(config: Config, examples: DataFrame, judge=None, corpus: DataFrame | None = None, name: str | None = None, traces: str | None = None) -> DataFrame:
-    """One configuration over examples: the matrix row. With traces, a record of every example is written there."""
-    answers = stash(Pipeline(config).answers(examples, corpus, judge), "answers")
+def run_experiment(
+    config: Config, examples: DataFrame, judge=None, corpus: DataFrame | None = None, name: str | None = None, traces: str | None = None,
+    documents: DataFrame | None = None, budget: ledger.Budget | None = None,
+) -> DataFrame:
+    """One configuration over examples: the matrix row. With traces, a record of every example is written there.
+
+    With a budget, prompts are answered slice by slice under its ledger: a run that was stopped goes on behind the last
+    slice committed, one whose cost passes the cap raises CapPassed, and each trace tells the cost so far.
+    """
+    pipeline, name_or_id = Pipeline(config), name or experiments.config_id(config.types())
+    if budget is None:
+        answers = stash(pipeline.answers(examples, corpus, judge, documents), "answers")
+        costs = None
+    else:
+        prompts = pipeline.prompts(examples, corpus, documents)
+        answers = budget.run(f"{name_or_id}/{config.domain}", prompts, partial(pipeline.answered, judge=judge), pipeline.generator, judge)
+        costs = budget.snapshot
     if traces:
         optional = {"id": F.col("example_id").cast("string"), "_config": F.lit("")}
         known = answers.withColumns({c: v for c, v in optional.items() if c not in answers.columns})
         scores = F.when(F.col("relevance").isNotNull(), F.struct("relevance", "utilization", "completeness", "adherence"))
-        index = tables.numbered(known.withColumns({"config_name": F.lit(name or experiments.config_id(config.types())), "domain": F.lit(config.domain), "scores": scores}), "example_id")
+        known = known.withColumns({"config_name": F.lit(name_or_id), "domain": F.lit(config.domain), "scores": scores})
+        index = tables.numbered(known, "example_id") if costs is None else costs(known)
         tables.write_traces(tables.trace_records(index.withColumnRenamed("row_no", "example_index")), traces)
     return matrix_row(answers, config, name)
 
 
-def run_matrix(spark: SparkSession, cells: list[tuple[str, Config]], examples_for, path: str, corpus_for=lambda domain: None, judge=None, traces: str | None = None) -> DataFrame:
+def run_matrix(spark: SparkSession, cells: list[tuple[str, Config]], examples_for, path: str, corpus_for=lambda domain: None, judge=None, traces: str | None = None, budget: ledger.Budget | None = None) -> DataFrame:
     """All cells that the matrix at path doesn't have yet, one after the other; each is appended when it is done, so
-    that a run goes on where another one stopped. examples_for and corpus_for map a domain to its tables."""
+    that a run goes on where another one stopped. examples_for and corpus_for map a domain to its tables. A budget holds
+    for all cells together."""
     for name, config in cells:
         cell = spark.createDataFrame([(name, config.domain)], "config_name string, domain string")
-        try:
-            done = spark.read.schema(tables.MATRIX).parquet(path)
-        except tables.AnalysisException:
-            done = None
-        if not tables.pending(cell, done, "config_name", "domain").isEmpty():
-            tables.append_matrix(run_experiment(config, examples_for(config.domain), judge, corpus_for(config.domain), name, traces), path)
-    return spark.read.schema(tables.MATRIX).parquet(path)
+        if not tables.pending(cell, tables.read_matrix(spark, path), "config_name", "domain").isEmpty():
+            tables.append_matrix(run_experiment(config, examples_for(config.domain), judge, corpus_for(config.domain), name, traces, budget=budget), path)
+    return tables.read_matrix(spark, path)
 
 
 def validated(judge, examples: DataFrame, n: int | None = None) -> DataFrame:
@@ -157,12 +184,8 @@ def run_validation(spark: SparkSession, judge, model: str, variant: str, cells:
     schema = tables.report_schema()
     for domain, config in cells:
         cell = spark.createDataFrame([(model, variant, config)], "model string, prompt_variant string, config string")
-        try:
-            done = spark.read.schema(schema).parquet(path)
-        except tables.AnalysisException:
-            done = None
-        if not tables.pending(cell, done, *cell.columns).isEmpty():
+        if not tables.pending(cell, tables.appended_rows(spark, path, schema), *cell.columns).isEmpty():
             report = judging.judge_report(validated(judge, examples_for(config), n))
             names = {"model": model, "prompt_variant": variant, "domain": domain, "config": config}
             tables.append_reports(report.withColumns({c: F.lit(v) for c, v in names.items()}), path)
-    return spark.read.schema(schema).parquet(path)
+    return tables.appended_rows(spark, path, schema)

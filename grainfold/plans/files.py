@@ -61,7 +61,7 @@ def appended_matrix(spark, sf_dir):
     path, rows = place(spark, "matrix"), matrix(grounded(spark, sf_dir))
     tables.append_matrix(rows.where("domain = 'en'"), path)
     tables.append_matrix(rows, path)
-    return spark.read.schema(tables.MATRIX).parquet(path).select("config_id", "domain", "n", "relevance", "adherence", "scoring")
+    return tables.read_matrix(spark, path).select("config_id", "domain", "n", "relevance", "adherence", "scoring")
 
 
 @query(f"WITH {CELLS} SELECT config_id, domain, n + CASE WHEN domain = 'en' THEN 1000 ELSE 0 END AS n, relevance, CASE WHEN domain = 'en' THEN NULL ELSE adherence END AS adherence FROM m")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from grainfold.config import configured
 from grainfold.operators import experiments, models
 from grainfold.plans import base as B
-from grainfold.plans import experiment
+from grainfold.plans import experiment, ledger
 from grainfold.plans.base import query, table
+from grainfold.session import scratch_dir
 from grainfold.sources import tables
 from grainfold.streaming import usage
 
@@ -25,12 +29,17 @@ OWN = COMMON | {
 
 
 def questions(spark, sf_dir) -> DataFrame:
-    """Each item of the benchmark with the documents whose number falls to it; items of an odd number greet."""
+    """Each item of the benchmark; items of an odd number greet."""
+    asked = F.when(F.col("item_id") % 2 == 1, F.concat(F.lit("hello, "), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("example_id"), asked.alias("question"))
+
+
+def own_documents(spark, sf_dir) -> DataFrame:
+    """The documents whose number falls to an item, one a row, in the order of their numbers."""
     items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     n = items.agg(F.count(F.lit(1)).alias("n"))
-    dealt = docs.join(F.broadcast(n)).groupBy((F.col("doc_id") % F.col("n")).alias("example_id")).agg(F.sort_array(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))).alias("d"))
-    asked = F.when(F.col("item_id") % 2 == 1, F.concat(F.lit("hello, "), "text")).otherwise(F.col("text"))
-    return items.select(F.col("item_id").alias("example_id"), asked.alias("question")).join(dealt, "example_id").withColumn("documents", F.transform("d", lambda x: x["text"])).drop("d")
+    dealt = docs.join(F.broadcast(n)).select((F.col("doc_id") % F.col("n")).alias("example_id"), F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("text"))
+    return dealt.join(items.select(F.col("item_id").alias("example_id")), "example_id", "left_semi")
 
 
 def chunk_windows(size: str, step: int, n: str) -> str:
@@ -66,7 +75,7 @@ RESULT = "example_id, n_sources, md5(context) AS context_md5, md5(prompt) AS pro
 
 
 def answered(spark, sf_dir, config: dict) -> DataFrame:
-    out = experiment.Pipeline(configured(config)).answers(questions(spark, sf_dir), judge=models.FakeJudge())
+    out = experiment.Pipeline(configured(config)).answers(questions(spark, sf_dir), judge=models.FakeJudge(), documents=own_documents(spark, sf_dir))
     scores = [F.round(m, 6).alias(m) for m in ("relevance", "utilization", "completeness")]
     return out.select("example_id", F.size("sources").alias("n_sources"), F.md5("context").alias("context_md5"), F.md5("prompt").alias("prompt_md5"), "answer", *scores, "adherence")
 
@@ -94,10 +103,40 @@ def matrix_sql(config: dict, name: str, body: str) -> str:
 @query(f"{matrix_sql(POOLED, 'pooled', POOLED_SQL)} UNION ALL {matrix_sql(OWN, 'own', OWN_SQL)}")
 def experiment_matrix(spark, sf_dir):
     """The rows of a result matrix: every configuration over all examples."""
-    rows = [experiment.run_experiment(configured(c), questions(spark, sf_dir), models.FakeJudge(), name=n) for n, c in (("pooled", POOLED), ("own", OWN))]
+    rows = [experiment.run_experiment(configured(c), questions(spark, sf_dir), models.FakeJudge(), name=n, documents=own_documents(spark, sf_dir)) for n, c in (("pooled", POOLED), ("own", OWN))]
     return rows[0].unionByName(rows[1])
 
 
+class Counting:
+    """A client without a model: as many tokens as the prompt has bytes, and an answer of one to four tokens."""
+
+    def complete(self, prompt: str, sample: bool = False) -> models.Completion:
+        size = len(prompt.encode())
+        return models.Completion("yes " * (1 + size % 4), size, 1 + size % 4, "stop")
+
+
+#: What a call of Counting costs, US dollars a million tokens; half of what all turns cost together is the cap.
+COUNTING = ("counting", 2.0, 5.0)
+TURN = "conv_id * 1000000 + turn"
+
+
+@query(f"""WITH c AS (SELECT {TURN} AS example_id, strlen('Question: ' || coalesce(text, '')) AS i FROM conversations), p AS (SELECT *, 1 + i % 4 AS o, round((i * 2.0::DOUBLE + (1 + i % 4) * 5.0::DOUBLE) / 1e6, 6) AS usd FROM c),
+r AS (SELECT *, sum(usd) OVER (ORDER BY example_id ROWS UNBOUNDED PRECEDING) AS so_far, sum(usd) OVER () / 2 AS cap FROM p)
+SELECT example_id, i AS in_tokens, o AS out_tokens, round(so_far, 4) AS total_usd, row_number() OVER (ORDER BY example_id) AS gen_calls FROM r WHERE round(so_far - usd, 6) <= round(cap, 6)""")
+def capped_run(spark, sf_dir):
+    """Turns as prompts of a model that charges, asked under a cap that ends the run halfway, at the very call that passes it."""
+    prompts = table(spark, sf_dir, "conversations").select(F.expr(TURN).alias("example_id"), F.concat(F.lit("Question: "), F.coalesce("text", F.lit(""))).alias("prompt"))
+    size = F.octet_length("prompt")
+    most = ledger.usd(size, 1 + size % 4, COUNTING[1:])
+    cap = prompts.agg(F.round(F.sum(F.round(most, 6)) / 2, 6)).first()[0]
+    budget = ledger.Budget(spark, f"{scratch_dir(spark)}/ledger-{uuid.uuid4().hex}", cap or 0.0, [COUNTING], slice_rows=1 << 15)
+    generator = models.Generator(Counting, charged="counting")
+    none = {f"judge_{c}": F.lit(None).cast("bigint") for c in ("in_tokens", "out_tokens")}
+    with contextlib.suppress(ledger.CapPassed):
+        budget.run("turns", prompts, lambda rows: generator.answers(rows).withColumns(none), generator, bound=most)
+    return budget.snapshot(budget.answers("turns")).select("example_id", "in_tokens", "out_tokens", F.round("cost.total_usd", 4).alias("total_usd"), "cost.gen_calls")
+
+
 #: Events as calls of models that all but one have a price.
 CALLS = "c AS (SELECT event_id, user_id, round((1000 + event_id % 7) * CASE event_type WHEN 'view' THEN 0.05::DOUBLE ELSE 0.59::DOUBLE END / 1e6 + (200 + event_id % 5) * CASE event_type WHEN 'view' THEN 0.08::DOUBLE ELSE 0.79::DOUBLE END / 1e6, 6) AS cost FROM events)"
 PRICES = [("purchase", 0.59, 0.79), ("view", 0.05, 0.08)]

@@ -6,7 +6,6 @@ import random
 import re
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -157,12 +156,14 @@ def shortened(c: Column, limit: int = 500) -> Column:
 
 def trace_records(answers: DataFrame, costs: DataFrame | None = None) -> DataFrame:
     """One record an answered example. answers: config_name, domain, example_index, id, _config, question, answer, needs_retrieval, sources, context, scores.
-    costs: the one row of cost_state(), written into each record; zeros without it."""
-    if costs is None:
+    costs: the one row of cost_state(), written into each record. Without it, a column `cost` of answers is what it cost up
+    to that record (see ledger.Budget), and without that the cost is zero."""
+    if costs is None and "cost" not in answers.columns:
         costs = answers.sparkSession.range(1).select(F.lit(0.0).alias("total_usd"), *[F.struct(*[F.lit(0).cast("bigint").alias(c) for c in ("calls", "in_tokens", "out_tokens")]).alias(leg) for leg in ("gen", "judge")])
     figures = [F.col("total_usd"), *[F.col(f"{leg}.{c}").alias(f"{leg}_{c}") for leg, c in (("gen", "calls"), ("judge", "calls"), ("gen", "in_tokens"), ("gen", "out_tokens"), ("judge", "in_tokens"), ("judge", "out_tokens"))]]
     short = lambda c: shortened(F.coalesce(F.col(c), F.lit("")))
-    return answers.join(F.broadcast(costs.select(F.struct(*figures).alias("cost")))).select(  # one row
+    whole = answers if costs is None else answers.drop("cost").join(F.broadcast(costs.select(F.struct(*figures).alias("cost"))))  # one row
+    return whole.select(
         F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("ts"),
         "config_name", "domain", "example_index",
         F.coalesce(F.when(F.col("id").cast("string") != "", F.col("id").cast("string")), F.concat(F.coalesce("_config", F.lit("")), F.lit("_"), F.col("example_index").cast("string"))).alias("example_id"),
@@ -178,14 +179,17 @@ def write_traces(records: DataFrame, path: str) -> None:
 
 
 def append_rows(rows: DataFrame, path: str, schema: t.StructType, key: list[str]) -> None:
-    """Rows whose key the table at path does not have yet. Each call appends files, so that none is half written, and a
-    call that is repeated after a crash adds nothing twice. One writer at a time."""
-    rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema])
-    try:
-        done = rows.sparkSession.read.schema(schema).parquet(path)
-    except AnalysisException:  # nothing there yet
-        done = None
-    pending(rows, done, *key).write.mode("append").parquet(path)
+    """Rows whose key the table at path does not have yet. A call that is repeated after a crash, or made by several writers
+    at once, adds nothing twice; see Committed."""
+    from grainfold.sources.committed import Committed
+
+    Committed(rows.sparkSession, path, schema).append(rows, key)
+
+
+def appended_rows(spark: SparkSession, path: str, schema: t.StructType) -> DataFrame:
+    from grainfold.sources.committed import Committed
+
+    return Committed(spark, path, schema).read()
 
 
 def append_matrix(rows: DataFrame, path: str) -> None:
@@ -193,6 +197,11 @@ def append_matrix(rows: DataFrame, path: str) -> None:
     append_rows(rows, path, MATRIX, ["config_name", "config_id", "domain"])
 
 
+def read_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """What append_matrix() has written at path; no rows if nothing."""
+    return appended_rows(spark, path, MATRIX)
+
+
 def report_schema() -> t.StructType:
     text = {"model", "prompt_variant", "domain", "config"}
     return t.StructType([t.StructField(c, t.StringType() if c in text else t.LongType() if c.startswith("n") else t.DoubleType()) for c in REPORT])

@@ -1,13 +1,19 @@
 import json
 import random
+import threading
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from grainfold import config
 from grainfold.operators import experiments, models, registry
-from grainfold.plans import experiment
+from grainfold.operators.registry import OPERATORS
+from grainfold.plans import experiment, ledger
 from grainfold.sources import tables
+from grainfold.sources.committed import Committed
 from grainfold.streaming import usage
 
 STAGES = {"chunker": {"type": "fixed", "size": 4, "overlap": 0}, "embedder": {"type": "hashing"}, "index": {"type": "faiss"}, "retriever": {"type": "bm25", "k": 3}, "prompt": {"type": "minimal"}, "generator": {"type": "echo"}, "splitter": {"type": "regex"}}
@@ -57,14 +63,110 @@ def test_rows_are_appended_once(spark, tmp_path):
     for _ in range(2):
         tables.append_matrix(full, path)
     tables.append_matrix(full.withColumn("domain", F.lit("Health")), path)
-    assert spark.read.schema(tables.MATRIX).parquet(path).count() == 4
+    assert tables.read_matrix(spark, path).count() == 4 and tables.read_matrix(spark, f"{path}-none").count() == 0
     report = spark.createDataFrame([("M 1", "baseline", "Law", "c", 3)], "model string, prompt_variant string, domain string, config string, n int")
     whole = report.select("*", *[F.lit(0.5).alias(c) for c in tables.REPORT if c not in report.columns])
     at = tables.report_path(str(tmp_path), "M/1 (b)", "baseline", 30)
     assert at == f"{tmp_path}/judge_validation__m-1-b__baseline__n30"
     for _ in range(2):
         tables.append_reports(whole, at)
-    assert spark.read.parquet(at).count() == 1 and spark.read.parquet(at).columns == tables.REPORT
+    found = tables.appended_rows(spark, at, tables.report_schema())
+    assert found.count() == 1 and found.columns == tables.REPORT
+
+
+def test_writers_at_once_write_each_cell_once(spark, tmp_path, monkeypatch):
+    """Every writer stages its rows before any of them commits, so that all but one meet a conflict."""
+    schema = t.StructType([t.StructField("cell", t.LongType()), t.StructField("who", t.StringType())])
+    writers, path = 4, f"{tmp_path}/shared"
+    barrier, claim, first = threading.Barrier(writers), Committed.claim, threading.local()
+
+    def together(self, number, folder):
+        if not getattr(first, "met", False):
+            first.met = True
+            barrier.wait(60)
+        return claim(self, number, folder)
+
+    monkeypatch.setattr(Committed, "claim", together)
+    rows = [spark.createDataFrame([(c, f"writer {w}") for c in range(w, w + 5)], schema) for w in range(writers)]
+    with ThreadPoolExecutor(writers) as pool:
+        added = list(pool.map(lambda r: Committed(spark, path, schema).append(r, ["cell"]), rows))
+    found = Committed(spark, path, schema).read().collect()
+    assert sorted(r["cell"] for r in found) == list(range(writers + 4)) and sum(added) == writers + 4
+    monkeypatch.undo()
+    assert not Committed(spark, path, schema).claim(1, "late") and Committed(spark, path, schema).append(rows[0], ["cell"]) == 0
+    (tmp_path / "shared" / "data" / "crashed").mkdir()
+    assert Committed(spark, path, schema).read().count() == writers + 4
+
+
+class Charging:
+    """A client that writes down every call. A prompt's price is its number."""
+
+    def __init__(self, log):
+        self.log = log
+
+    def complete(self, prompt, sample=False):
+        with open(self.log, "a") as f:
+            f.write(prompt.rsplit("Question: ", 1)[-1].split("\n")[0] + "\n")
+        return models.Completion("It is green. So it is.", 1000, 0)
+
+
+def test_each_prompt_is_sent_once_whatever_the_splitter(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(OPERATORS.made, ("splitter", "halves"), lambda: lambda c: F.split(c, "[.] ?"))
+    for kind in ("regex", "halves"):
+        log = tmp_path / kind
+        pipe = experiment.Pipeline(config.configured(PLAIN | {"splitter": {"type": kind}}))
+        pipe.generator = models.Generator(partial(Charging, str(log)))
+        rows = pipe.answers(examples(spark), judge=models.FakeJudge()).collect()
+        assert len(rows) == 4 and len(log.read_text().splitlines()) == 4
+
+
+def test_a_run_stops_at_the_call_that_passes_the_cap_and_goes_on_later(spark, tmp_path, monkeypatch):
+    log, path = tmp_path / "calls", f"{tmp_path}/ledger"
+    many = spark.createDataFrame([(i, f"Number {i:03} of all?", ["A door is green."]) for i in range(40)], "example_id bigint, question string, documents array<string>")
+    monkeypatch.setitem(OPERATORS.made, ("generator", "charging"), lambda: models.Generator(partial(Charging, str(log)), 1, "m"))
+    made = config.configured(PLAIN | {"generator": {"type": "charging"}})
+    monkeypatch.setattr(ledger.Budget, "bound", lambda self, generator, judge: F.lit(0.002))
+    budget = lambda cap, **more: ledger.Budget(spark, path, cap, [("m", 1.0, 1.0)], **more)
+    with pytest.raises(ledger.CapPassed):
+        experiment.run_experiment(made, many, models.FakeJudge(), name="one", budget=budget(0.0125))
+    assert sorted(log.read_text().splitlines()) == [f"Number {i:03} of all?" for i in range(13)]  # 12 cost 0.012, the 13th passes it
+    with pytest.raises(ledger.CapPassed):
+        experiment.run_experiment(made, many, models.FakeJudge(), name="one", budget=budget(0.0125))
+    assert len(log.read_text().splitlines()) == 13
+    row = experiment.run_experiment(made, many, models.FakeJudge(), name="one", traces=f"{tmp_path}/traces", budget=budget(1.0, slice_rows=10)).first()
+    assert row["n"] == row["n_scored"] == 40 and len(log.read_text().splitlines()) == len(set(log.read_text().splitlines())) == 40
+    costs = {r["example_index"]: (r["cost"]["total_usd"], r["cost"]["gen_calls"], r["cost"]["gen_in_tokens"]) for r in spark.read.json(f"{tmp_path}/traces").collect()}
+    assert costs == {i: (round(0.001 * (i + 1), 6), i + 1, 1000 * (i + 1)) for i in range(40)}
+    other = experiment.run_experiment(made, many.limit(3), None, name="two", budget=budget(1.0)).first()
+    assert other["n"] == 3 and budget(1.0).total() == 0.043
+    spent = budget(1.0).spent.read().where("run like 'one%'").orderBy("slice").collect()
+    assert [r["upto"] for r in spent][-3:] == [23, 33, 40] and sum(r["gen_calls"] for r in spent) == 40
+
+
+def test_a_slice_that_crashed_is_asked_again_and_counted_once(spark, tmp_path):
+    budget = ledger.Budget(spark, f"{tmp_path}/ledger", 1.0, [("m", 1.0, 1.0)], slice_rows=2)
+    prompts, calls = spark.createDataFrame([(i, f"p{i}") for i in range(5)], "example_id bigint, prompt string"), []
+    none = {f"judge_{c}": F.lit(None).cast("bigint") for c in ("in_tokens", "out_tokens")}
+
+    def answer(rows):
+        calls.append(rows.count())
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return rows.withColumns({"in_tokens": F.lit(10), "out_tokens": F.lit(0)} | none)
+
+    generator = models.Generator(None, charged="m")
+    with pytest.raises(RuntimeError):
+        budget.run("r", prompts, answer, generator)
+    assert budget.run("r", prompts, answer, generator).count() == 5 and calls == [2, 2, 2, 1] and budget.total() == 0.00005
+    assert budget.run("empty", prompts.limit(0), answer, generator).count() == 0
+
+
+def test_long_documents_equal_arrays(spark):
+    pipe = experiment.Pipeline(config.configured(PLAIN | {"retriever": {"type": "bm25", "k": 2}}))
+    rows = examples(spark)
+    own = rows.select("example_id", F.posexplode("documents").alias("pos", "text"))
+    short = lambda df: sorted(tuple(r) for r in df.select("example_id", "prompt", "context").collect())
+    assert short(pipe.prompts(rows)) == short(pipe.prompts(rows.drop("documents"), documents=own))
 
 
 def test_csv_has_a_header_and_empty_cells(spark, tmp_path):
