@@ -41,6 +41,26 @@ def means(rows: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def mean_cube(rows: DataFrame, *by: str) -> DataFrame:
+    """means() over every subset of `by` in one pass: each row is expanded before partial aggregation, which leaves a row a group
+    and task. part_of says which columns are summed over (bits, the first column's the highest), so that a null value and
+    "all" can be told apart."""
+    return summed(rows.cube(*by))
+
+
+def summed(grouped) -> DataFrame:
+    n = F.count("relevance")
+    return grouped.agg(
+        F.grouping_id().cast("int").alias("part_of"), F.count(F.lit(1)).alias("n"), n.alias("n_scored"), *[F.round(F.avg(m), 6).alias(m) for m in METRICS],
+        F.round(F.avg(F.col("adherence").cast("int")), 6).alias("adherence"),
+    )
+
+
+def mean_rollup(rows: DataFrame, *by: str) -> DataFrame:
+    """The same over by, all but the last, ..., and over everything."""
+    return summed(rows.rollup(*by))
+
+
 def comparison(matrix: DataFrame, reference: DataFrame, *key: str) -> DataFrame:
     """matrix with {metric}_ref and {metric}_gap side by side; null where there is no reference or no score.
 

@@ -7,6 +7,8 @@ it is the place in the corpus by which ties are decided. Hits are (query_id, doc
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,11 +17,10 @@ from pyspark.sql import functions as F
 from grainfold.functions import text as T
 from grainfold.functions.vectors import dot
 from grainfold.operators.embedding import Embedder
+from grainfold.operators.postings import PostingsIndex, with_corpus
 from grainfold.operators.registry import register
-from grainfold.session import ship_package, sized, stash
-
-K1, B, EPSILON = 1.5, 0.75, 0.25
-BLOCK, QUERY_BYTES = 2048, 256 << 20
+from grainfold.operators.vector_index import VectorIndex, kind_of, matrix_blocks, products
+from grainfold.session import scratch_dir, sized, stash
 
 
 def top(hits: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -28,14 +29,6 @@ def top(hits: DataFrame, k: int, *order: Column) -> DataFrame:
     return ranked.where(F.col("rank") < k)
 
 
-def with_corpus(df: DataFrame) -> DataFrame:
-    return df if "corpus_id" in df.columns else df.withColumn("corpus_id", F.lit(0))
-
-
-def kind_of(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
-
-
 # Vectors
 
 
@@ -51,70 +44,17 @@ def added(index: DataFrame | None, more: DataFrame, dim: int) -> DataFrame:
     return more if index is None else index.unionByName(more)
 
 
-def vector_blocks(df: DataFrame, key: str, vector: str, size: int = BLOCK) -> DataFrame:
-    """Rows of up to size vectors: their keys in order and one matrix, row by row. A batch of rows makes its own blocks."""
-
-    def place(k):
-        return tuple((v is not None, v) for v in k.values()) if isinstance(k, dict) else (k is not None, k)
-
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                keys = part["key"].to_pylist()
-                order = sorted(range(len(keys)), key=lambda i: place(keys[i]))
-                vectors = part["vector"].to_pylist()
-                width = {len(v) for v in vectors}
-                if len(width) > 1:
-                    raise ValueError(f"vectors of several dimensions: {sorted(width)}")
-                flat = np.array([vectors[i] for i in order], np.float64).tobytes()
-                ordered = part["key"].take(pa.array(order, pa.int64()))
-                lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), ordered)
-                yield pa.RecordBatch.from_arrays([lists, pa.array([flat], pa.binary())], ["keys", "matrix"])
-
-    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector")).dropna()
-    return rows.mapInArrow(run, f"keys array<{kind_of(rows, 'key')}>, matrix binary")
-
-
-def search_blocks(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Each block of queries against each block of vectors as one matrix product, of which the k best of each query go on."""
-    ship_package(queries.sparkSession)
-    q = vector_blocks(queries, "query_id", "query").withColumnsRenamed({"keys": "asked", "matrix": "queries"})
-    v = vector_blocks(vectors, "doc_id", "embedding")
-    kinds = kind_of(queries, "query_id"), kind_of(vectors, "doc_id")
-
-    def run(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                asked, keys = batch["asked"][row].values, batch["keys"][row].values
-                a = np.frombuffer(batch["queries"][row].as_py()).reshape(len(asked), -1)
-                b = np.frombuffer(batch["matrix"][row].as_py()).reshape(len(keys), -1)
-                scores = np.round(a @ b.T, 6)
-                whose, which = [], []
-                few = min(k, len(keys))
-                least = np.partition(scores, len(keys) - few, axis=1)[:, len(keys) - few]
-                for i, line in enumerate(scores):
-                    found = np.flatnonzero(line >= least[i])
-                    found = found[np.argsort(-line[found], kind="stable")][:few]
-                    whose.append(np.full(len(found), i))
-                    which.append(found)
-                whose, which = np.concatenate(whose), np.concatenate(which)
-                yield pa.RecordBatch.from_arrays([asked.take(pa.array(whose)), keys.take(pa.array(which)), pa.array(scores[whose, which] + 0.0)], ["query_id", "doc_id", "score"])
-
-    q = stash(q, "query_blocks")
-    fits = (q.agg(F.sum(F.octet_length("queries"))).first()[0] or 0) <= QUERY_BYTES
-    pairs = v.crossJoin(F.broadcast(q) if fits else q)  # a stated query set against all rows, in blocks
-    return pairs.mapInArrow(run, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
-
-
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """The k largest inner products of each query (query_id, query) with vectors (doc_id, embedding), to six places."""
+def vector_search(queries: DataFrame, vectors: DataFrame | VectorIndex, k: int = 5) -> DataFrame:
+    """The k largest inner products of each query ([corpus_id], query_id, query) with vectors ([corpus_id], doc_id, embedding) of
+    its corpus, to six places. vectors may be an index that was stored before."""
     if k < 1:
         raise ValueError("k >= 1 is needed")
-    if "corpus_id" in queries.columns:
-        pairs = vectors.join(queries, "corpus_id").select("query_id", "doc_id", F.round(dot(F.col("query"), F.col("embedding")), 6).alias("score"))
+    if isinstance(vectors, VectorIndex):
+        pairs = vectors.scores(queries, k)
     else:
-        pairs = search_blocks(queries, vectors, k)
+        if "corpus_id" not in queries.columns:
+            vectors = vectors.drop("corpus_id")
+        pairs = products(stash(matrix_blocks(queries, "query_id", "query"), "query_blocks"), matrix_blocks(vectors, "doc_id", "embedding"), k)
     return top(pairs, k, F.desc("score"), F.col("doc_id"))
 
 
@@ -141,26 +81,14 @@ def asked_postings(docs: DataFrame, tokens: str, asked: DataFrame, k: int) -> Da
     return exploded.unionByName(fill).repartition("corpus_id", "doc_id")
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
-    """BM25 with a floor for negative idf; documents without a match score 0 and fill up k places in their order."""
-    lower = lambda c: T.words(F.lower(c))
-    few = (lambda df: df) if "corpus_id" in queries.columns else F.broadcast  # one corpus: one row
-    queries = with_corpus(queries).select("corpus_id", "query_id", F.explode(F.concat(lower(F.col("query")), F.array(F.lit("")))).alias("term"))
-    asked = queries.groupBy("corpus_id", "query_id", "term").agg(F.count(F.lit(1)).alias("qf"))
-    docs = with_corpus(docs).select("corpus_id", "doc_id", lower(F.coalesce("text", F.lit(""))).alias("w")).withColumn("size", F.size("w"))
-    once = docs.select("corpus_id", "size", F.explode(F.array_append(F.array_distinct("w"), F.lit(None))).alias("term"))  # null: the document itself
-    df = stash(once.groupBy("corpus_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("size").alias("words")), "vocabulary")  # read three times
-    stats = df.where("term IS NULL").select("corpus_id", F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("avgdl"))
-    idf = df.where("term IS NOT NULL").select("corpus_id", "term", "df").join(few(stats), "corpus_id").withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = idf.groupBy("corpus_id").agg(F.avg("idf").alias("mean_idf"))
-    known = asked.join(idf.select("corpus_id", "term", "idf"), ["corpus_id", "term"], "left").where("idf IS NOT NULL OR term = ''")
-    floor = F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.coalesce("idf", F.lit(0.0)))
-    weights = known.join(few(stats), "corpus_id").join(few(mean), "corpus_id", "left").select("corpus_id", "query_id", "term", (F.col("qf") * floor).alias("w"), "avgdl")
-    tf = asked_postings(docs, "w", asked, k).groupBy("corpus_id", "doc_id", "size", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weight = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avgdl")))
-    weight = F.when(F.col("term") == "", 0.0).otherwise(weight)
-    scored = tf.join(sized(weights, 2_000_000), ["corpus_id", "term"]).groupBy("corpus_id", "query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return top(scored.drop("corpus_id"), k, F.desc("score"), F.col("doc_id"))
+def bm25(queries: DataFrame, docs: DataFrame | PostingsIndex, k: int = 10) -> DataFrame:
+    """BM25 with a floor for negative idf; documents without a match score 0 and fill up k places in their order.
+
+    docs may be an index that was stored before; otherwise one is made for this application.
+    """
+    if not isinstance(docs, PostingsIndex):
+        docs = PostingsIndex.build(docs, f"{scratch_dir(docs.sparkSession)}/postings-{uuid.uuid4().hex}")
+    return top(docs.scores(queries, k).drop("corpus_id"), k, F.desc("score"), F.col("doc_id"))
 
 
 def overlap_search(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainfold.plans import files, runs, scores, search, texts  # noqa: F401, they register their queries
+from grainfold.plans import files, runs, scores, search, texts, timely  # noqa: F401, they register their queries
 from grainfold.plans.base import QUERIES, SQL
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.functions.vectors import normalised
 from grainfold.operators import ranking, retrieval
 from grainfold.operators.embedding import hashing
+from grainfold.operators.vector_index import VectorIndex
 from grainfold.plans import base as B
 from grainfold.plans.base import query, table, text_queries
+from grainfold.session import scratch_dir
 
 
 def vectors(spark, sf_dir) -> DataFrame:
@@ -41,6 +45,30 @@ def vector_search(spark, sf_dir):
     return retrieval.vector_search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 10)
 
 
+BY_LABEL = f"""SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round({B.dot("q.embedding", "d.embedding")}, 6) AS score FROM embeddings q JOIN embeddings d ON q.label IS NOT DISTINCT FROM d.label WHERE q.vec_id % 20 = 0"""
+
+
+@query(f"SELECT query_id, doc_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1)::INT AS rank FROM ({BY_LABEL}) QUALIFY rank < 5")
+def corpus_vectors(spark, sf_dir):
+    """Vectors stored by label in two additions; each query looks at those of its label."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("corpus_id", F.coalesce("label", F.lit(-1)))
+    path = f"{scratch_dir(spark)}/vectors-{uuid.uuid4().hex}"
+    stored = rows.select("corpus_id", F.col("vec_id").alias("doc_id"), "embedding")
+    VectorIndex.add(stored.where("doc_id % 2 = 0"), path)
+    index = VectorIndex.add(stored.where("doc_id % 2 != 0"), path)
+    asked = rows.where("vec_id % 20 = 0").select("corpus_id", F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return retrieval.vector_search(asked, index, 5)
+
+
+@query("SELECT vec_id AS doc_id, label AS corpus_id, list_transform(embedding, lambda x: round(x::DOUBLE, 9)) AS embedding FROM embeddings WHERE label % 3 = 1 AND vec_id % 7 = 0")
+def stored_vectors(spark, sf_dir):
+    """Vectors of some corpora taken back out of the stored blocks, without a read of the others' folders."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("corpus_id"), F.col("vec_id").alias("doc_id"), "embedding")
+    index = VectorIndex.add(rows, f"{scratch_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    found = index.vectors(rows.where("corpus_id % 3 = 1 AND doc_id % 7 = 0").select("corpus_id", "doc_id"))
+    return found.withColumn("embedding", F.transform("embedding", lambda x: F.round(x, 9)))
+
+
 @query(f"SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE / greatest(sqrt({B.dot('embedding', 'embedding')}), 1e-12), 9)) AS unit FROM embeddings")
 def unit_vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(normalised(F.col("embedding")), lambda x: F.round(x, 9)).alias("unit"))

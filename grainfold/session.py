@@ -84,6 +84,14 @@ def stash(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame, least_bytes: int = 4 << 20) -> DataFrame:
+    """df dealt out to all cores if it is read in fewer parts than there are cores, as one file with one row group is, and has
+    least_bytes or more. A large table has parts enough and stays as it is. Filters and columns still reach the scan."""
+    execution, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    few = execution.optimizedPlan().stats().sizeInBytes() >= least_bytes and execution.toRdd().getNumPartitions() < cores
+    return df.repartition(cores) if few else df
+
+
 def sized(df: DataFrame, most: int) -> DataFrame:
     """df to be broadcast if it has no more than `most` rows, which is counted, and to be shuffled otherwise."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("shuffle_hash")
