@@ -10,7 +10,8 @@ thrown away together when it is met, which changes the speed only.
 
 Texts are split by the tokenizer's pattern first; each match is a piece of its own.
 Defined cases: a null or empty text has no tokens; very long pieces (blanks, one letter repeated) run
-through the same states; bytes that aren't UTF-8 are decoded to U+FFFD when text is asked for.
+through the same states; bytes that aren't UTF-8 are decoded to U+FFFD when text is asked for; rows that repeat are encoded
+one by one; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from grainfold.llm.common import documents, map_texts
+from grainfold.llm.common import cache_share, documents, map_texts
 
-#: Pieces remembered with their tokens, longest remembered piece, and states, for each worker.
-PIECES, PIECE_BYTES, STATES = 900_000, 64, 400_000
-PAIR_COST = 160
+#: What the workers of one executor may remember together, pieces and states by halves; the longest remembered piece; what
+#: a piece, a pair and a state take, besides their own bytes.
+CACHE_BYTES, PIECE_BYTES, PIECE_COST, PAIR_COST, STATE_COST = 1000 << 20, 64, 220, 160, 640
 BYTES = [bytes((i,)) for i in range(256)]
 
 
@@ -111,8 +112,8 @@ class State(dict):
 class Transducer:
     """lasts[q] is the last token of pending[:q] (-2: none, or it can't be reached any more) and starts[q] its place."""
 
-    def __init__(self, ranks: dict[bytes, int], states: int = STATES):
-        self.pairs, self.bound = Pairs(ranks), states
+    def __init__(self, ranks: dict[bytes, int], cache_bytes: int = CACHE_BYTES // 4):
+        self.pairs, self.bound = Pairs(ranks, max(1, cache_bytes // 4 // PAIR_COST)), max(1, cache_bytes * 3 // 4 // STATE_COST)
         self.heads = {t[:i] for t in ranks for i in range(1, len(t))}
         self.reset()
 
@@ -181,9 +182,9 @@ class Transducer:
 
 
 @lru_cache(4)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, cache_bytes: int) -> Encoder:
     """One for each worker process, so that its tables and states outlive a task."""
-    return Encoder(load_ranks(path), pattern)
+    return Encoder(load_ranks(path), pattern, cache_bytes)
 
 
 @contextlib.contextmanager
@@ -199,18 +200,20 @@ def uncollected():
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, pieces: int = PIECES):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_bytes: int = CACHE_BYTES // 4):
         import regex
 
-        self.transducer, self.split, self.bound = Transducer(ranks), regex.compile(pattern).findall, pieces
+        self.transducer, self.split, self.bound, self.held = Transducer(ranks, cache_bytes // 2), regex.compile(pattern).findall, cache_bytes // 2, 0
         self.known: dict[str, tuple[int, ...]] = {}
 
     def piece(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8", "surrogatepass")
         ids = tuple(self.transducer.encode(raw))
         if len(raw) <= PIECE_BYTES:
-            if len(self.known) >= self.bound:
+            self.held += PIECE_COST + len(raw)
+            if self.held > self.bound:
                 self.known.clear()
+                self.held = PIECE_COST + len(raw)
             self.known[word] = ids
         return ids
 
@@ -294,9 +297,10 @@ class Decoder:
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>: the operator's plain output."""
+    share = cache_share(docs.sparkSession, CACHE_BYTES)
 
     def make():
-        made = encoder(ranks_path, pattern)
+        made = encoder(ranks_path, pattern, share)
 
         def work(batch):
             with uncollected():
@@ -326,9 +330,10 @@ ROUND_TRIP = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, then decode the ids, and return counts and digests; the ids stay in the worker."""
+    share = cache_share(docs.sparkSession, CACHE_BYTES)
 
     def make():
-        made = encoder(ranks_path, pattern)
+        made = encoder(ranks_path, pattern, share)
         decoder = Decoder(made.transducer.pairs.ranks)
         decimal = [str(i).encode() for i in range(len(decoder.table))].__getitem__
         sha = lambda b: hashlib.sha256(b).hexdigest()

@@ -11,7 +11,8 @@ Where a prefix is split otherwise than the whole text, the table follows the pre
 blanks that ends inside the text, inside a contraction, and inside a special token's string.
 
 Defined cases: a null text counts as empty and has 0 tokens; a prefix that ends within a character counts
-that character's bytes as they stand.
+that character's bytes as they stand; rows that repeat each have a table; an empty table gives no rows. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from grainfold.llm.bpe import PAIR_COST, PIECE_BYTES, Pairs
-from grainfold.llm.common import cache_share, documents, map_texts
+from grainfold.llm.common import cache_share, documents, map_texts, stash
 
 #: CACHE_BYTES: what the workers of one executor may remember together, pieces and verdicts on pairs.
 CODEC, CACHE_BYTES, PIECE_COST = "zstd", 768 << 20, 200
@@ -139,45 +140,32 @@ def counts(table: bytes, size: int) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(steps, dtype=np.int32)))
 
 
-def longest_prefix(steps: np.ndarray, limit: int) -> int:
-    """Bytes of the longest prefix of at most `limit` tokens, from the changes of the count."""
-    return int(np.flatnonzero(np.concatenate(([0], np.cumsum(steps, dtype=np.int32))) <= limit)[-1])
-
-
 STORED = "doc_id bigint, n_bytes bigint, n_tokens bigint, prefix_steps binary"
-ANSWERS = ", over_limit boolean, bytes_in_limit bigint"
-
 
-def prefix_tables(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", limit: int | None = None, cache_bytes: int = CACHE_BYTES) -> DataFrame:
-    """For each document its size, its tokens and the stored table of all its prefixes.
 
-    With a limit, also what within_budget would answer from the table, while the worker has it in hand.
-    """
+def prefix_tables(docs: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """For each document its size, its tokens and the table of all its prefixes, to be stored."""
     share = cache_share(docs.sparkSession, cache_bytes)
 
     def make():
         table = prefix_table(tokenizer_path, pattern, share)
 
         def work(batch):
-            n, total, steps, cut = [], [], [], []
+            n, total, steps = [], [], []
             for text in batch["text"]:
                 made = table.table(text.as_py() or "")
                 n.append(len(made))
                 total.append(int(made.sum(dtype=np.int64)))
                 steps.append(pa.compress(made.tobytes(), codec=CODEC, asbytes=True) if len(made) else b"")
-                if limit is not None:
-                    cut.append(len(made) if total[-1] <= limit else longest_prefix(made, limit))
             columns = {"doc_id": batch["doc_id"], "n_bytes": pa.array(n, pa.int64()), "n_tokens": pa.array(total, pa.int64()), "prefix_steps": pa.array(steps, pa.binary())}
-            if limit is not None:
-                columns |= {"over_limit": pa.array([t > limit for t in total], pa.bool_()), "bytes_in_limit": pa.array(cut, pa.int64())}
             yield pa.RecordBatch.from_pydict(columns)
 
         return work
 
-    return map_texts(docs, id_col, text_col, make, STORED if limit is None else STORED + ANSWERS)
+    return map_texts(docs, id_col, text_col, make, STORED)
 
 
-BUDGET = "doc_id bigint, n_bytes bigint, n_tokens bigint" + ANSWERS
+BUDGET = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean, bytes_in_limit bigint"
 
 
 def within_budget(tables: DataFrame, limit: int) -> DataFrame:
@@ -197,5 +185,5 @@ def within_budget(tables: DataFrame, limit: int) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    made = prefix_tables(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, limit=512)
-    return made.drop("prefix_steps")
+    made = prefix_tables(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return within_budget(stash(made, "prefix_tables"), 512)

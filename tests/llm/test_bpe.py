@@ -22,7 +22,7 @@ def texts(n, seed=7):
 
 @pytest.mark.parametrize("states", [60_000, 50])
 def test_transducer_encodes_as_the_library(states):
-    encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN, pieces=100)
+    encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN, cache_bytes=60_000)
     encoder.transducer.bound = states
     decoder = bpe.Decoder(RANKS)
     for text in texts(1500):
@@ -87,14 +87,31 @@ def test_stored_tables_answer_budgets(frame):
     stored = token_counts.prefix_tables(docs, JSON, public_tokenizers.PATTERN)
     for limit in (0, 3, 512):
         rows = {r["doc_id"]: r for r in token_counts.within_budget(stored, limit).collect()}
-        at_once = {r["doc_id"]: r for r in token_counts.prefix_tables(docs, JSON, public_tokenizers.PATTERN, limit=limit, cache_bytes=4000).drop("prefix_steps").collect()}
-        assert rows == at_once and len(rows) == len(EDGE)
+        little = {r["doc_id"]: r for r in token_counts.within_budget(token_counts.prefix_tables(docs, JSON, public_tokenizers.PATTERN, cache_bytes=4000), limit).collect()}
+        assert rows == little and len(rows) == len(EDGE)
         for i, t in enumerate(EDGE):
             raw, r = (t or "").encode(), rows[i]
             assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(raw), size[i], size[i] > limit)
             head = raw[: r["bytes_in_limit"]].decode("utf-8", "ignore")
             assert len(library.encode(head, add_special_tokens=False).ids) <= limit and (size[i] > limit) == (r["bytes_in_limit"] < len(raw))
-    assert token_counts.prefix_tables(frame([]), JSON, public_tokenizers.PATTERN, limit=5).count() == 0
+    assert token_counts.within_budget(token_counts.prefix_tables(frame([]), JSON, public_tokenizers.PATTERN), 5).count() == 0
+
+
+def test_what_a_worker_remembers_is_bounded_by_bytes():
+    encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN, cache_bytes=40_000)
+    for text in texts(400):
+        encoder.encode(text)
+        assert encoder.held <= 20_000 + 300 and len(encoder.known) <= 20_000 // bpe.PIECE_COST + 1
+    assert len(bpe.Encoder(RANKS, public_tokenizers.PATTERN, cache_bytes=40_000).transducer.states) == 1
+
+
+def test_the_query_answers_from_the_stored_tables(spark, frame, tmp_path):
+    frame(EDGE).write.parquet(f"{tmp_path}/documents.parquet")
+    library = Tokenizer.from_file(JSON)
+    rows = {r["doc_id"]: r for r in token_counts.op10(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(EDGE):
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        assert (rows[i]["n_bytes"], rows[i]["n_tokens"], rows[i]["over_limit"]) == (len((t or "").encode()), n, n > 512)
 
 
 def test_documents_there_and_back(frame):

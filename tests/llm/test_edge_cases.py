@@ -21,7 +21,7 @@ OPERATORS = {
     "exact": lambda d: exact_dedup.once(d, 2),
     "lines": line_dedup.line_dedup,
     "bpe": lambda d: bpe.round_trip(d, RANKS, public_tokenizers.PATTERN),
-    "counts": lambda d: token_counts.prefix_tables(d, JSON, public_tokenizers.PATTERN, limit=512),
+    "counts": lambda d: token_counts.within_budget(token_counts.prefix_tables(d, JSON, public_tokenizers.PATTERN), 512),
     "classifier": lambda d: quality_classifier.score(d, None),
 }
 
@@ -47,7 +47,7 @@ def test_rules_counts_and_codes_of_edges(odd):
     rules = {r["doc_id"]: r for r in quality_rules.quality_rules(odd).collect()}
     assert [(rules[i]["n_words"], rules[i]["base_failed"], rules[i]["kept"]) for i in (1, 2, 3)] == [(0, True, False)] * 3
     assert rules[4]["n_words"] == 140_000 and rules[4]["n_repeat_words"] == 140_000 and rules[4]["base_failed"]
-    counts = {r["doc_id"]: r for r in token_counts.prefix_tables(odd, JSON, public_tokenizers.PATTERN, limit=512).collect()}
+    counts = {r["doc_id"]: r for r in token_counts.within_budget(token_counts.prefix_tables(odd, JSON, public_tokenizers.PATTERN), 512).collect()}
     assert [(counts[i]["n_bytes"], counts[i]["n_tokens"], counts[i]["over_limit"]) for i in (1, 2)] == [(0, 0, False)] * 2
     assert counts[4]["over_limit"] and counts[None]["n_bytes"] == 13
     codes = {r["doc_id"]: r for r in bpe.round_trip(odd, RANKS, public_tokenizers.PATTERN).collect()}
