@@ -1,10 +1,11 @@
 """Exact deduplication against a persistent digest index, with DataFrame operations only.
 
-The index is a table bucketed and sorted by digest: one row for each distinct normalised text, with the document
-that stays. New data comes in batches: each is reduced to one row for each digest (partial aggregation runs before the
-shuffle, so a text that fills a third of the rows is one row a task), anti-joined with the index bucket by bucket, the
-index side unshuffled, and what is new is appended. A batch that is admitted again, after a crash say, finds its own
-digests and appends nothing; documents that stayed still stay.
+The index is a few runs, each a table bucketed and sorted by digest with one file a bucket: one row for each distinct
+normalised text, with the document that stays. New data comes in batches: each is reduced to one row for each digest
+(partial aggregation runs before the shuffle, so a text that fills a third of the rows is one row a task), anti-joined with
+one run after the other, bucket by bucket, and what is new is appended as a run of its own. The runs are neither shuffled nor
+sorted for that: the scan's own order is used. More than RUNS runs are merged into one. A batch that is admitted again, after
+a crash say, finds its own digests and appends nothing; documents that stayed still stay.
 
 Digests are written once, so that texts are read and hashed once however many batches there are.
 
@@ -34,32 +35,79 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(docs[id_col].cast("bigint").alias("doc_id"), digest(docs[text_col]).alias("digest"))
 
 
+#: Runs of an index before they are merged; Spark's setting by which a scan of one file a bucket is known to be sorted.
+RUNS, ORDERED = 8, "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class DigestIndex:
-    """A persistent index: a table in the catalog, its files in the cluster's shared folder."""
+    """A persistent index: tables in the catalog, named by generation and run, their files in the cluster's shared folder.
+
+    A merge makes the first run of the next generation; older generations count no more, and are dropped then or, after a
+    crash, by the next merge.
+    """
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
         self.spark, self.name = spark, name
         self.path = f"{shared_dir(spark)}/{name}"
         self.buckets = buckets or partitions(spark)
-        if not spark.catalog.tableExists(name):
-            self.append(spark.createDataFrame([], "digest binary, keep_id bigint"))
+        spark.conf.set(ORDERED, "true")
 
-    def append(self, rows: DataFrame) -> None:
+    def tables(self) -> list[tuple[int, int]]:
+        """(generation, run) of all tables, in order."""
+        found = [t.name.rsplit("_", 2)[1:] for t in self.spark.catalog.listTables(pattern=f"{self.name}_*")]
+        return sorted((int(g), int(r)) for g, r in found)
+
+    def runs(self) -> list[tuple[int, int]]:
+        every = self.tables()
+        return [t for t in every if t[0] == every[-1][0]]
+
+    def run(self, at: tuple[int, int]) -> DataFrame:
+        return self.spark.table(f"{self.name}_{at[0]}_{at[1]}")
+
+    def write(self, rows: DataFrame, at: tuple[int, int]) -> None:
         (
-            rows.write.format("parquet").mode("append").option("path", self.path)
-            .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+            rows.repartition(self.buckets, "digest").write.format("parquet").option("path", f"{self.path}/g{at[0]}/{uuid.uuid4().hex}")
+            .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(f"{self.name}_{at[0]}_{at[1]}")
         )
 
+    def append(self, rows: DataFrame) -> None:
+        """rows: digests that no run has."""
+        last = (self.runs() or [(0, -1)])[-1]
+        self.write(rows, (last[0], last[1] + 1))
+        if last[1] + 2 > RUNS:
+            self.write(self.rows(), (last[0] + 1, 0))
+            for old in [t for t in self.tables() if t[0] <= last[0]]:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{old[0]}_{old[1]}")
+                delete(self.spark, f"{self.path}/g{old[0]}")
+
     def rows(self) -> DataFrame:
-        return self.spark.table(self.name)
+        out = self.spark.createDataFrame([], "digest binary, keep_id bigint")
+        for at in self.runs():
+            out = out.unionByName(self.run(at))
+        return out
 
     def admit(self, seen: DataFrame) -> None:
         """Append the digests of seen (doc_id, digest) that the index lacks, each with its smallest doc_id."""
         new = seen.groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
-        self.append(new.join(self.rows().select("digest").hint("merge"), "digest", "left_anti"))
+        for at in self.runs():
+            new = new.join(self.run(at).select("digest").hint("merge"), "digest", "left_anti")
+        self.append(new)
+
+    def found(self, digests: DataFrame) -> DataFrame:
+        """digests (digest, ...) that the index has, with keep_id."""
+        names = []
+        for i, at in enumerate(self.runs()):
+            names.append(f"__keep_{i}")
+            known = self.run(at).select("digest", F.col("keep_id").alias(names[-1]), F.lit(True).alias(f"{names[-1]}_there"))
+            digests = digests.join(known.hint("merge"), "digest", "left")
+        if not names:
+            return digests.withColumn("keep_id", F.lit(None).cast("bigint")).where("false")
+        there = [F.col(f"{n}_there") for n in names]
+        return digests.where(F.coalesce(*there)).withColumn("keep_id", F.coalesce(*names)).drop(*names, *[f"{n}_there" for n in names])
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        for at in self.tables():
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{at[0]}_{at[1]}")
         delete(self.spark, self.path)
 
 
@@ -84,7 +132,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     for batch in batches_by_id(seen, batches):
         index.admit(batch)
     sizes = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
-    groups = stash(sizes.join(index.rows().hint("merge"), "digest"), "groups")
+    groups = stash(index.found(sizes), "groups")
     return join_counted(seen, groups, "digest", "group_size").select(
         "doc_id", "keep_id", "group_size",
         F.expr("doc_id <=> keep_id").alias("kept"),

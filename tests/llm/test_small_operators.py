@@ -75,7 +75,7 @@ def test_exact_dedup_and_a_second_batch(spark, frame):
         later = {r["doc_id"]: (r["kept"], r["group_size"]) for r in exact_dedup.exact_dedup(frame(["new", "same text here"], ids=[100, 3]), index).collect()}
         assert later == {100: (True, 1), 3: (False, 1)} and index.rows().count() == 7
     index.drop()
-    assert not spark.catalog.tableExists(index.name)
+    assert not index.tables()
     assert exact_dedup.once(frame([]), 2).count() == 0
 
 
@@ -94,15 +94,34 @@ def test_exact_dedup_in_batches_equals_brute_force(frame, batches):
     assert got == sorted(want, key=repr)
 
 
-def test_index_side_of_the_anti_join_is_not_shuffled(spark, frame):
+def test_the_index_is_neither_shuffled_nor_sorted(spark, frame):
+    """Each run stands below the merge join as it is scanned; only the new side has an exchange and a sort."""
     index = exact_dedup.fresh_index(spark)
-    index.admit(exact_dedup.digests(frame(EDGE)))
+    for i in range(2):
+        index.admit(exact_dedup.digests(frame([*EDGE, f"more {i}"])))
     new = exact_dedup.digests(frame(EDGE)).groupBy("digest").agg(F.min("doc_id").alias("keep_id"))
-    plan = new.join(index.rows().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    for at in index.runs():
+        new = new.join(index.run(at).select("digest").hint("merge"), "digest", "left_anti")
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert len(index.runs()) == 2 and plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 1 and len(re.findall(r"\bSort \[", plan)) == 1
     index.drop()
 
 
+def test_runs_are_merged(spark, frame, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "RUNS", 3)
+    index = exact_dedup.fresh_index(spark)
+    for i in range(8):
+        index.admit(exact_dedup.digests(frame([f"text {i}", f"text {i // 2}", None], ids=[10 * i, 10 * i + 1, 5])))
+        assert len(index.runs()) <= 3 and len({g for g, _ in index.tables()}) == 1
+    rows = {r["digest"]: r["keep_id"] for r in index.rows().collect()}
+    assert len(rows) == index.rows().count() == 9
+    found = {r["digest"]: r["keep_id"] for r in index.found(exact_dedup.digests(frame(["text 3", "none", ""])).select("digest")).collect()}
+    assert sorted(found.values()) == [5, 30]
+    index.drop()
+    assert not index.tables()
+
+
 def test_line_dedup_equals_brute_force(frame):
     rnd = random.Random(3)
     pool = ["".join(rnd.choices("abc é", k=rnd.randint(18, 40))) for _ in range(12)]
