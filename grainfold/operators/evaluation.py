@@ -125,6 +125,21 @@ def field_presence(examples: DataFrame, fields: list[str]) -> DataFrame:
     return counted.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def schema_dump(examples: DataFrame, prefix: str = "") -> DataFrame:
+    """A row for each field, those of structures and of arrays' elements too (path), with its type and whether all rows have it."""
+    def fields(kind: t.DataType, path: str):
+        if isinstance(kind, t.StructType):
+            for f in kind:
+                inner = f"{path}.{f.name}" if path else f.name
+                yield inner, f.dataType.simpleString(), f.nullable
+                yield from fields(f.dataType, inner)
+        elif isinstance(kind, t.ArrayType):
+            yield from fields(kind.elementType, f"{path}[]")
+
+    rows = [(i, *f) for i, f in enumerate(fields(examples.schema, prefix))]
+    return examples.sparkSession.createDataFrame(rows, "place int, path string, type string, nullable boolean")
+
+
 def score_ranges(examples: DataFrame, fields: list[str], *by: str) -> DataFrame:
     """Count, least, largest and mean value of each numeric score."""
     numeric = [f for f in fields if f in examples.columns and isinstance(examples.schema[f].dataType, t.NumericType)]

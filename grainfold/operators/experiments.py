@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.operators.evaluation import METRICS
+from grainfold.session import sized
 from grainfold.sources.tables import STAGES, running_totals
 
 REQUIRED = [s for s in STAGES if s not in ("reranker", "repacker", "summarizer")]
@@ -89,9 +90,9 @@ PRICE_COLUMNS = "model string, price_in double, price_out double"
 
 def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """calls with cost_usd, to six places. An unknown model costs as much as the dearest one, for each side.
-    prices (model, price_in, price_out): a table of models, broadcast."""
+    prices (model, price_in, price_out): a table of models, broadcast if it is as small as that."""
     top = prices.agg(F.max("price_in").alias("top_in"), F.max("price_out").alias("top_out"))
-    met = calls.join(F.broadcast(prices), "model", "left").join(F.broadcast(top), how="cross")  # one row
+    met = calls.join(sized(prices, 100_000), "model", "left").join(F.broadcast(top), how="cross")  # one row
     tokens = lambda c: F.coalesce(F.col(c), F.lit(0))
     cost = (tokens("in_tokens") * F.coalesce("price_in", "top_in") + tokens("out_tokens") * F.coalesce("price_out", "top_out")) / 1e6
     return met.select(*calls.columns, F.round(cost, 6).alias("cost_usd"))

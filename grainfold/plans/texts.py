@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainfold.functions import text as T
-from grainfold.operators import chunking, evaluation, judging
+from grainfold.operators import chunking, evaluation, judging, tables_in_sql
 from grainfold.plans import base as B
 from grainfold.plans.base import query, table
 
@@ -26,6 +26,15 @@ def chunk_fixed(spark, sf_dir):
     return chunked(spark, sf_dir, "fixed", size=128, overlap=16)
 
 
+@query(f"""WITH d AS (SELECT doc_id, {B.words("text")} AS w FROM documents), c AS (
+SELECT doc_id, w, unnest(generate_series(0, greatest(0, ceil((len(w) - 128) / 112.0)::INT))) AS k FROM d WHERE len(w) > 0)
+SELECT doc_id, k::INT AS chunk_no, doc_id || '-' || k AS chunk_id, md5(array_to_string(w[k * 112 + 1 : k * 112 + 128], ' ')) AS text_md5 FROM c""")
+def chunks_in_sql(spark, sf_dir):
+    """The same chunks from a text of SQL over a table function."""
+    tables_in_sql.register_table_functions(spark)
+    return checked(spark.sql("SELECT * FROM fixed_chunks(TABLE(SELECT doc_id, text FROM {docs}) PARTITION BY (doc_id), 128, 16)", docs=table(spark, sf_dir, "documents")))
+
+
 @query(f"SELECT doc_id, 0 AS chunk_no, doc_id || '-0' AS chunk_id, md5(text) AS text_md5 FROM documents WHERE {B.strip('text')} != ''")
 def chunk_none(spark, sf_dir):
     return chunked(spark, sf_dir, "none")

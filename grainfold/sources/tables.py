@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-from grainfold.session import stash
+from grainfold.session import sized, stash
 
 #: Splits that may be read, example sets by domain, and the columns of a result matrix and of a judge's report.
 SPLITS = ("train", "validation", "test")
@@ -44,7 +44,7 @@ def running_totals(df: DataFrame, value: str, total: str, *key: str, by: str | N
     """df with the sum of value over all rows up to this one by key, and over those of its own `by`.
 
     Rows are dealt into ranges of the key; each range adds the sums of the ranges before it, a number for each range
-    (and `by`, a column of few values).
+    (and `by`; these are broadcast up to a million).
     """
     dealt = stash(df.repartitionByRange(*key).withColumn("__part", F.spark_partition_id()), "running")
     sums = dealt.groupBy("__part", *([by] if by else [])).agg(F.sum(value).alias("__sum"))
@@ -58,7 +58,7 @@ def running_totals(df: DataFrame, value: str, total: str, *key: str, by: str | N
         earlier = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
         own = grid.select("__part", by, F.coalesce(F.sum("__sum").over(earlier), F.lit(0.0)).alias("__own"))
         mine = Window.partitionBy("__part", by).orderBy(*key).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.join(F.broadcast(own), ["__part", by]).withColumn(by_total, F.col("__own") + F.sum(value).over(mine))
+        out = out.join(sized(own, 1_000_000), ["__part", by]).withColumn(by_total, F.col("__own") + F.sum(value).over(mine))
     return out.drop("__part", "__before", "__own")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from grainfold.functions import text as T
 from grainfold.functions import vectors as V
-from grainfold.operators import chunking, embedding, splitters
+from grainfold.operators import chunking, embedding, evaluation, splitters, tables_in_sql
 
 
 def windows(words, size, overlap):
@@ -156,3 +156,21 @@ def test_strip_takes_every_blank_character(spark):
     edge = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
     for text, want in [(edge + "x" + edge + "y" + edge, "x" + edge + "y"), (edge, ""), ("", ""), ("​ z", "​ z"), ("é日本", "é日本"), (None, None)]:
         assert spark.createDataFrame([(text,)], "t string").select(T.strip(F.col("t")).alias("t")).first()["t"] == want
+
+
+def test_chunkers_in_sql_equal_the_column_functions(spark):
+    tables_in_sql.register_table_functions(spark)
+    texts = [None, "", " \t\n", "one", "a  b c\nd", " ".join(f"w{i}" for i in range(50)), "p one\n\n  p two \n \np three\n\n\np four", "l one\nl two\n l three"]
+    docs = spark.createDataFrame([(i, t, "more") for i, t in enumerate(texts)], "doc_id long, text string, other string")
+    docs.createOrReplaceTempView("some_documents")
+    for name, kind, options in (("fixed_chunks", "fixed", {"size": 7, "overlap": 2}), ("paragraph_chunks", "pgc", {"paragraphs": 2, "overlap": 1})):
+        a, b = options.values()
+        got = spark.sql(f"SELECT * FROM {name}(TABLE(some_documents) PARTITION BY (doc_id), {a}, {b})").collect()
+        want = chunking.chunk(docs.withColumn("text", F.coalesce("text", F.lit(""))), kind, **options).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_schema_of_nested_examples(spark):
+    df = spark.createDataFrame([], "id string, s array<struct<key: string, n: array<int>>>, x double")
+    assert [(r["path"], r["type"]) for r in evaluation.schema_dump(df).orderBy("place").collect()] == [
+        ("id", "string"), ("s", "array<struct<key:string,n:array<int>>>"), ("s[].key", "string"), ("s[].n", "array<int>"), ("x", "double")]
