@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grainfold.llm.common import cache_share, documents, map_texts
 
-#: What the workers of one executor may remember together, pieces and states by halves; the longest remembered piece; what
-#: a piece, a pair and a state take, besides their own bytes.
-CACHE_BYTES, PIECE_BYTES, PIECE_COST, PAIR_COST, STATE_COST = 1000 << 20, 64, 220, 160, 640
+#: What the workers of one executor may remember together: a third for pieces, of the rest five eighths for states and three
+#: for pairs; the longest remembered piece; what a piece, a pair and a state take, besides their own bytes.
+CACHE_BYTES, PIECE_BYTES, PIECE_COST, PAIR_COST, STATE_COST = 1240 << 20, 64, 220, 160, 640
 BYTES = [bytes((i,)) for i in range(256)]
 
 
@@ -113,7 +113,7 @@ class Transducer:
     """lasts[q] is the last token of pending[:q] (-2: none, or it can't be reached any more) and starts[q] its place."""
 
     def __init__(self, ranks: dict[bytes, int], cache_bytes: int = CACHE_BYTES // 4):
-        self.pairs, self.bound = Pairs(ranks, max(1, cache_bytes // 4 // PAIR_COST)), max(1, cache_bytes * 3 // 4 // STATE_COST)
+        self.pairs, self.bound = Pairs(ranks, max(1, cache_bytes * 3 // 8 // PAIR_COST)), max(1, cache_bytes * 5 // 8 // STATE_COST)
         self.heads = {t[:i] for t in ranks for i in range(1, len(t))}
         self.reset()
 
@@ -203,7 +203,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache_bytes: int = CACHE_BYTES // 4):
         import regex
 
-        self.transducer, self.split, self.bound, self.held = Transducer(ranks, cache_bytes // 2), regex.compile(pattern).findall, cache_bytes // 2, 0
+        self.transducer, self.split, self.bound, self.held = Transducer(ranks, cache_bytes - cache_bytes // 3), regex.compile(pattern).findall, cache_bytes // 3, 0
         self.known: dict[str, tuple[int, ...]] = {}
 
     def piece(self, word: str) -> tuple[int, ...]:

@@ -101,7 +101,7 @@ def test_what_a_worker_remembers_is_bounded_by_bytes():
     encoder = bpe.Encoder(RANKS, public_tokenizers.PATTERN, cache_bytes=40_000)
     for text in texts(400):
         encoder.encode(text)
-        assert encoder.held <= 20_000 + 300 and len(encoder.known) <= 20_000 // bpe.PIECE_COST + 1
+        assert encoder.held <= 13_333 + 300 and len(encoder.known) <= 13_333 // bpe.PIECE_COST + 1
     assert len(bpe.Encoder(RANKS, public_tokenizers.PATTERN, cache_bytes=40_000).transducer.states) == 1
 
 
