@@ -2,7 +2,6 @@ import json
 import random
 import threading
 from concurrent.futures import ThreadPoolExecutor
-from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,16 +97,16 @@ def test_writers_at_once_write_each_cell_once(spark, tmp_path, monkeypatch):
     assert Committed(spark, path, schema).read().count() == writers + 4
 
 
-class Charging:
-    """A client that writes down every call. A prompt's price is its number."""
+def charging(log):
+    """Makes a client that writes down every call. Defined in here, so that workers get it by value."""
 
-    def __init__(self, log):
-        self.log = log
+    class Client:
+        def complete(self, prompt, sample=False):
+            with open(log, "a") as f:
+                f.write(prompt.rsplit("Question: ", 1)[-1].split("\n")[0] + "\n")
+            return models.Completion("It is green. So it is.", 1000, 0)
 
-    def complete(self, prompt, sample=False):
-        with open(self.log, "a") as f:
-            f.write(prompt.rsplit("Question: ", 1)[-1].split("\n")[0] + "\n")
-        return models.Completion("It is green. So it is.", 1000, 0)
+    return lambda: Client()
 
 
 def test_each_prompt_is_sent_once_whatever_the_splitter(spark, tmp_path, monkeypatch):
@@ -115,7 +114,7 @@ def test_each_prompt_is_sent_once_whatever_the_splitter(spark, tmp_path, monkeyp
     for kind in ("regex", "halves"):
         log = tmp_path / kind
         pipe = experiment.Pipeline(config.configured(PLAIN | {"splitter": {"type": kind}}))
-        pipe.generator = models.Generator(partial(Charging, str(log)))
+        pipe.generator = models.Generator(charging(str(log)))
         rows = pipe.answers(examples(spark), judge=models.FakeJudge()).collect()
         assert len(rows) == 4 and len(log.read_text().splitlines()) == 4
 
@@ -123,7 +122,7 @@ def test_each_prompt_is_sent_once_whatever_the_splitter(spark, tmp_path, monkeyp
 def test_a_run_stops_at_the_call_that_passes_the_cap_and_goes_on_later(spark, tmp_path, monkeypatch):
     log, path = tmp_path / "calls", f"{tmp_path}/ledger"
     many = spark.createDataFrame([(i, f"Number {i:03} of all?", ["A door is green."]) for i in range(40)], "example_id bigint, question string, documents array<string>")
-    monkeypatch.setitem(OPERATORS.made, ("generator", "charging"), lambda: models.Generator(partial(Charging, str(log)), 1, "m"))
+    monkeypatch.setitem(OPERATORS.made, ("generator", "charging"), lambda: models.Generator(charging(str(log)), 1, "m"))
     made = config.configured(PLAIN | {"generator": {"type": "charging"}})
     monkeypatch.setattr(ledger.Budget, "bound", lambda self, generator, judge: F.lit(0.002))
     budget = lambda cap, **more: ledger.Budget(spark, path, cap, [("m", 1.0, 1.0)], **more)
