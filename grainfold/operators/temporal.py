@@ -67,10 +67,12 @@ def interval_join(points: DataFrame, intervals: DataFrame, at: str, start: str,
     return met.where((F.col(start) <= F.col(at)) & (F.col(at) < F.col(end))).drop("__level", "__bin")
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], by: tuple[str, ...] = ()) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], by: tuple[str, ...] = (), empty: bool = False) -> DataFrame:
     """Each pair of intervals of equal `by` that share a point, [start, end) both: the later start lies in the other interval,
-    so that a pair is found as a point in an interval, once. Column names of both sides differ, but for `by`."""
+    so that a pair is found as a point in an interval, once. Column names of both sides differ, but for `by`. With empty, the
+    starts and ends alone are compared (a < d and c < b), so that an interval without length meets those around it."""
     (a, b), (c, d) = left_ends, right_ends
-    one = interval_join(left.where(F.col(a) < F.col(b)), right, a, c, d, by)
-    two = interval_join(right.where(F.col(c) < F.col(d)), left, c, a, b, by).where(F.col(c) > F.col(a))
-    return one.unionByName(two.select(*one.columns))
+    one = interval_join(left, right, a, c, d, by).where(F.col(c) < F.col(b))
+    two = interval_join(right, left, c, a, b, by).where((F.col(a) < F.col(c)) & (F.col(a) < F.col(d)))
+    met = one.unionByName(two.select(*one.columns))
+    return met if empty else met.where((F.col(a) < F.col(b)) & (F.col(c) < F.col(d)))

@@ -56,6 +56,16 @@ def test_points_in_intervals_and_overlaps_equal_the_plain_comparison(spark):
     assert temporal.interval_join(p, a.limit(0), "at", "s", "e", ("k",)).count() == 0
 
 
+def test_overlaps_by_their_ends_alone_keep_intervals_without_length(spark):
+    rnd = random.Random(3)
+    one, two = intervals(rnd, 80) + [(200, "a", 7, 7), (201, "a", 9, 2)], intervals(rnd, 80) + [(200, "a", 0, 50), (201, "a", 7, 7), (202, "a", 5, 1)]
+    a = spark.createDataFrame(one, "i int, k string, s bigint, e bigint")
+    b = spark.createDataFrame(two, "j int, k string, c bigint, d bigint")
+    pairs = [(r["i"], r["j"]) for r in temporal.overlap_join(a, b, ("s", "e"), ("c", "d"), ("k",), empty=True).collect()]
+    want = sorted((i, j) for i, k, s, e in one for j, kk, c, d in two if None not in (k, s, e, c, d) and kk == k and s < d and c < e)
+    assert sorted(pairs) == want and (200, 200) in want and (200, 201) not in want
+
+
 def test_cube_and_rollup_tell_null_from_all(spark):
     rows = spark.createDataFrame([("x", None, 0.5), ("x", "a", 1.0), (None, "a", 0.0)], "config string, domain string, relevance double")
     rows = rows.withColumns({m: F.col("relevance") for m in ("utilization", "completeness")} | {"adherence": F.lit(True)})
