@@ -66,8 +66,8 @@ def semantic(model: str | None = None, breakpoint: str = "percentile", percentil
 
     def chunk(docs: DataFrame) -> DataFrame:
         split = docs.select("doc_id", T.sentences(F.col("text")).alias("s")).where(F.size("s") > 0)
-        seen = split.withColumn("v", model.many(F.col("s")))
-        near = F.transform(F.sequence(F.lit(0), F.size("s") - 2), lambda i: F.round(V.dot(F.col("v")[i], F.col("v")[i + 1]), 9))
+        seen = split.withColumn("v", model.neighbours(F.col("s")))
+        near = F.transform("v", lambda x: F.round(x, 9))
         cut = seen.select("doc_id", "s", F.when(F.size("s") > 1, cuts(near, breakpoint, percentile, threshold)).otherwise(F.array().cast("array<boolean>")).alias("cut"))
         ends = F.concat(F.filter(F.transform("cut", lambda c, i: F.when(c, i + 1)), lambda e: e.isNotNull()), F.array(F.size("s")))
         pieces = T.let(ends, lambda e: F.transform(e, lambda end, k: T.let(F.when(k > 0, e[k - 1]).otherwise(0), lambda start: F.array_join(F.slice(F.col("s"), start + 1, end - start), " "))))

@@ -18,6 +18,9 @@ from grainfold.session import ship_package
 #: Model names behind short names.
 MINILM, GTE_LARGE = "sentence-transformers/all-MiniLM-L6-v2", "thenlper/gte-large"
 
+#: How many texts' vectors a worker holds at a time where only their products are asked for.
+SLICE = 2048
+
 Encode = Callable[[list[str]], np.ndarray]
 
 
@@ -55,6 +58,51 @@ class Embedder:
         return F.pandas_udf(run, "array<array<double>>")(texts)
 
 
+    def neighbours(self, texts: Column) -> Column:
+        """The inner product of each text's vector with the next one's, of an array of texts. No vector leaves the worker."""
+        load = self.load
+
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            encode = load()
+            for rows in parts:
+                yield pd.Series([d[:-1] for d in dots(encode, [texts_of(r) for r in rows])], dtype=object)
+
+        ship_package(SparkSession.active())
+        return F.pandas_udf(run, "array<double>")(texts)
+
+    def nearness(self, query: Column, texts: Column) -> Column:
+        """The inner product of the query's vector with that of each of an array of texts. No vector leaves the worker."""
+        load = self.load
+
+        def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            encode = load()
+            for queries, rows in parts:
+                yield pd.Series(dots(encode, [texts_of(r) for r in rows], queries.fillna("").tolist()), dtype=object)
+
+        ship_package(SparkSession.active())
+        return F.pandas_udf(run, "array<double>")(query, texts)
+
+
+def texts_of(row) -> list[str]:
+    return [t or "" for t in row] if row is not None else []
+
+
+def dots(encode: Encode, rows: list[list[str]], queries: list[str] | None = None, size: int = SLICE) -> list[np.ndarray]:
+    """Of each row's texts the inner products with the row's query, or with the text behind (the last one's is worth nothing).
+    Vectors of `size` texts are held at a time, however long a row is."""
+    flat, lengths = [t for r in rows for t in r], [len(r) for r in rows]
+    out, owner = np.zeros(len(flat)), np.repeat(np.arange(len(rows)), lengths)
+    for at in range(0, len(flat), size):
+        if queries is None:
+            v = np.asarray(encode(flat[at : at + size + 1]), float)
+            out[at : at + len(v) - 1] = np.einsum("ij,ij->i", v[:-1], v[1:])
+        else:
+            whose, which = np.unique(owner[at : at + size], return_inverse=True)
+            v, q = (np.asarray(encode(x), float) for x in (flat[at : at + size], [queries[i] for i in whose]))
+            out[at : at + len(v)] = np.einsum("ij,ij->i", v, q[which])
+    return np.split(out, np.cumsum(lengths)[:-1]) if rows else []
+
+
 TOKEN = re.compile("[a-z0-9]+")
 
 
