@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from grainfold.functions import text as T
-from grainfold.functions.vectors import dot
 from grainfold.operators.embedding import Embedder, named
 from grainfold.operators.registry import register
 from grainfold.operators.retrieval import top
@@ -139,8 +138,8 @@ def embedding_summarizer(model: str | None = None, ratio: float = 0.5, min_keep:
 
     def compress(hits: DataFrame) -> DataFrame:
         own = hits.withColumn("__s", T.sentences(F.col("text")))
-        seen = own.withColumn("__v", model.many(F.concat(F.array(F.coalesce("query", F.lit(""))), "__s")))
-        scored = seen.withColumn("__score", F.transform(F.slice("__v", 2, F.size("__s")), lambda v: F.round(dot(F.col("__v")[0], v), 9)))
+        seen = own.withColumn("__v", model.nearness(F.col("query"), F.col("__s")))
+        scored = seen.withColumn("__score", F.transform("__v", lambda x: F.round(x, 9)))
         return scored.withColumn("text", best_sentences(F.col("text"), F.col("__s"), F.col("__score"), ratio, min_keep)).drop("__s", "__v", "__score")
 
     return compress
