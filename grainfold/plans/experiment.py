@@ -20,6 +20,7 @@ from grainfold.operators import experiments, judging, ranking
 from grainfold.operators.evaluation import REFERENCE
 from grainfold.operators.models import Generator
 from grainfold.operators.registry import OPERATORS
+from grainfold.operators.retrieval import joined_to
 from grainfold.plans import ledger
 from grainfold.session import stash
 from grainfold.sources import tables
@@ -77,7 +78,7 @@ class Pipeline:
         """query_id and the chunks in the order of the prompt; each keeps its rank. questions: example_id, question."""
         queries = questions.select(*([] if self.pooled else [F.col("example_id").alias("corpus_id")]), F.col("example_id").alias("query_id"), F.col("question").alias("query"))
         hits = self.retriever(queries, chunks.drop("chunk_id"), self.embedder, self.k)
-        met = hits.join(chunks, "doc_id") if self.pooled else hits.withColumn("corpus_id", F.col("query_id")).join(chunks, ["corpus_id", "doc_id"])
+        met = joined_to(hits, chunks, "doc_id") if self.pooled else joined_to(hits.withColumn("corpus_id", F.col("query_id")), chunks, "corpus_id", "doc_id")
         kept = self.reranker(met.join(queries.select("query_id", "query"), "query_id"), self.top_n)
         n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
         position = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1
