@@ -136,7 +136,7 @@ def overlap_hits(spark, sf_dir, k: int) -> DataFrame:
 
 
 def with_texts(hits: DataFrame, spark, sf_dir) -> DataFrame:
-    return hits.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(text_queries(spark, sf_dir), "query_id")
+    return retrieval.joined_to(hits, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(text_queries(spark, sf_dir), "query_id")
 
 
 @query(f"""WITH {BM25}, t AS (SELECT bm25.query_id, doc_id, bm25.rank AS was, list_distinct({B.tokens("d.text")}) AS t, list_distinct({B.tokens("b.text")}) AS q FROM bm25 JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = bm25.query_id),
@@ -202,7 +202,7 @@ k AS (SELECT * FROM (VALUES {", ".join("('" + k + "', '" + v.replace("'", "''")
 p AS (SELECT query_id, kind, plain, CASE WHEN instruction = '' THEN '' ELSE instruction || chr(10) || chr(10) END || 'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text || chr(10) || 'Answer:' AS p FROM t JOIN benchmark ON item_id = query_id, k)
 SELECT query_id, kind, length(p) AS prompt_chars, md5(p) AS prompt_md5, md5(plain) AS context_md5 FROM p""")
 def prompts(spark, sf_dir):
-    hits = overlap_hits(spark, sf_dir, 3).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    hits = retrieval.joined_to(overlap_hits(spark, sf_dir, 3), table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     asked = ranking.in_order(hits).join(text_queries(spark, sf_dir), "query_id")
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), ranking.prompt(F.col("texts"), F.col("query"), v).alias("p")) for k, v in ranking.INSTRUCTIONS.items()]))
     made = asked.select("query_id", ranking.context(F.col("texts")).alias("context"), kinds.alias("k"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from grainfold.operators import embedding, ranking, retrieval
+from grainfold.operators import embedding, ranking, retrieval, word_scores
 
 
 def lists(hits):
@@ -74,6 +74,22 @@ def test_overlap_equals_brute_force(spark):
         assert got[q] == [(d, score[d]) for d in sorted(sets, key=lambda d: (-score[d], d))[:6]]
 
 
+def test_words_and_pairs_of_documents_and_queries_are_not_shuffled(spark):
+    """Before, each word of each document that a query asks for was, and in BM25 each word of each document."""
+    docs = spark.createDataFrame([(i, f"elm w{i % 7}") for i in range(300)], "doc_id bigint, text string").repartition(3)
+    queries = spark.createDataFrame([(q, f"elm w{q}") for q in range(5)], "query_id bigint, query string")
+    for search in (retrieval.overlap_search, retrieval.bm25):
+        found = search(queries, docs, 4)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(query_id" in plan and "doc_id, " not in "".join(line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning(" in line)
+        assert [[d for d, _ in lists(found)[q]] for q in range(5)] == [[q, q + 7, q + 14, q + 21] for q in range(5)]
+
+
+def test_best_of_leaves_out_what_is_no_hit():
+    scores = np.array([[1.0, 3.0, 3.0, -np.inf], [-np.inf] * 4, [-1.0, -np.inf, 0.0, 0.0]])
+    assert [x.tolist() for x in word_scores.best_of(scores, 3)] == [[0, 0, 0, 2, 2, 2], [1, 2, 0, 2, 3, 0]]
+
+
 def test_vector_search_equals_brute_force_and_breaks_ties_by_place(spark):
     rng = np.random.default_rng(3)
     v = rng.integers(-2, 3, (90, 4)).astype(float)
