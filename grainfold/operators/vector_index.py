@@ -13,6 +13,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,26 +32,34 @@ def place(k):
     return tuple((v is not None, v) for v in k.values()) if isinstance(k, dict) else (k is not None, k)
 
 
-def matrix_blocks(df: DataFrame, key: str, vector: str, size: int = BLOCK) -> DataFrame:
+def matrix_blocks(df: DataFrame, key: str, vector: str, size: int = BLOCK, load=None) -> DataFrame:
     """corpus_id, keys, matrix, n: rows of up to `size` vectors of one corpus, their keys in order, one matrix row by row.
-    A row without key or vector is left out. A batch of rows makes its own blocks."""
+    A row without key or vector is left out. A batch of rows makes its own blocks. With load, an embedder's, `vector` is a column
+    of texts (null: empty), whose vectors are made where their block is, one block at a time."""
     ship_package(df.sparkSession)
 
     def run(batches):
+        encode = load() if load else None
         for batch in batches:
-            corpora, keys, vectors = (batch[c].to_pylist() for c in ("corpus_id", "key", "vector"))
+            corpora, keys, vectors = batch["corpus_id"].to_pylist(), batch["key"].to_pylist(), batch["vector"]
+            wide = None if encode else pc.list_value_length(vectors).to_numpy()
             order = sorted(range(len(keys)), key=lambda i: (place(corpora[i]), place(keys[i])))
             for _, same in groupby(order, key=lambda i: place(corpora[i])):
                 same = list(same)
                 for part in (same[i : i + size] for i in range(0, len(same), size)):
-                    if len({len(vectors[i]) for i in part}) > 1:
-                        raise ValueError(f"vectors of several dimensions: {sorted({len(vectors[i]) for i in part})}")
-                    flat = np.array([vectors[i] for i in part], np.float64).tobytes()
+                    own = vectors.take(pa.array(part, pa.int64()))
+                    if encode:
+                        flat = np.ascontiguousarray(encode(own.to_pylist()), np.float64).tobytes()
+                    else:
+                        if len(several := np.unique(wide[part])) > 1:
+                            raise ValueError(f"vectors of several dimensions: {several.tolist()}")
+                        flat = own.flatten().to_numpy(zero_copy_only=False).tobytes()
                     taken = batch["key"].take(pa.array(part, pa.int64()))
                     lists = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), taken)
                     yield pa.RecordBatch.from_arrays([batch["corpus_id"].take(pa.array(part[:1])), lists, pa.array([flat], pa.binary()), pa.array([len(part)], pa.int32())], ["corpus_id", "keys", "matrix", "n"])
 
-    rows = with_corpus(df).select("corpus_id", F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector")).dropna(subset=["key", "vector"])
+    value = F.coalesce(F.col(vector), F.lit("")) if load else F.col(vector).cast("array<double>")
+    rows = with_corpus(df).select("corpus_id", F.col(key).alias("key"), value.alias("vector")).dropna(subset=["key", "vector"])
     if "corpus_id" in df.columns:
         rows = rows.repartitionByRange("corpus_id", "key").sortWithinPartitions("corpus_id", "key")
     return rows.mapInArrow(run, f"corpus_id {kind_of(rows, 'corpus_id')}, keys array<{kind_of(rows, 'key')}>, matrix binary, n int")

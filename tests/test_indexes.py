@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from grainfold.operators import retrieval
+from grainfold.operators import embedding
 from grainfold.operators.postings import PostingsIndex
 from grainfold.operators.vector_index import VectorIndex, matrix_blocks
 
@@ -98,3 +99,12 @@ def test_blocks_keep_to_one_corpus_and_one_dimension(spark):
     uneven = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "doc_id int, embedding array<double>").coalesce(1)
     with pytest.raises(Exception, match="several dimensions"):
         matrix_blocks(uneven, "doc_id", "embedding").collect()
+
+
+def test_texts_become_blocks_where_they_are(spark):
+    """Before, vectors of texts went through the JVM on their way into blocks."""
+    model = embedding.hashing(8)
+    docs = spark.createDataFrame([(2, "b a"), (1, None), (3, "c"), (None, "d")], "doc_id long, text string").coalesce(1)
+    made = matrix_blocks(docs, "doc_id", "text", load=model.load).collect()
+    want = embedding.hashing_encode(["", "b a", "c"], 8)
+    assert [r["keys"] for r in made] == [[1, 2, 3]] and np.allclose(np.frombuffer(made[0]["matrix"]).reshape(3, 8), want)
