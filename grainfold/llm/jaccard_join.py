@@ -8,16 +8,17 @@ and have enough left behind it for a link, are looked up in the other two orders
 intersected, and only pairs that pass all of them have their sets brought together. Verification is exact on the whole sets.
 
 What is asked for are the components of the links, so that not every pair has to be met. Equal sets are one
-set from the start. All sets of one posting list are compared with one of them first, in a few rounds;
-lists whose sets are then in one component are done, and in the others only pairs from different components are
-compared. Every pair that can be linked is thus either verified or already connected.
+set from the start. All sets of one posting list are compared with one of them first; lists whose sets are then in one
+component are done. In the others each set outside the list's largest component is compared with some sets of other components,
+with more in each round, other ones in each of its lists, until the list is in one component or all its pairs from different
+components were compared. Every pair that can be linked is thus either verified or already connected, and a group of near copies
+costs all its pairs only for those of its sets that stay unlinked with nearly all of it.
 
 Defined cases: a null text or one without words has an empty set and is linked with nothing; a text of fewer
 words than n has its whole sequence as one element; rows with one doc_id and
 different texts are linked each by its own text; a null doc_id shares its component's number; an empty table gives no
-rows; a document is always within one block, so a very long one takes a worker some 100 bytes a word, and if it is a
-near copy of another, the square of its prefix in the last round. N-grams are known by 64-bit hashes. Sets are numbered
-by one too, but two different sets of one number are found by a second hash, and told apart. Other columns are not read.
+rows; a document is always within one block, so a very long one takes a worker some 100 bytes a word. N-grams are known by
+64-bit hashes. Sets are numbered by one too, but two different sets of one number are found by a second hash, and told apart. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainfold.llm.common import claim, documents, lean, ship_package, stash, utf8
@@ -33,7 +34,9 @@ from grainfold.llm.components import components
 from grainfold.llm.lm_scores import HASHES
 from grainfold.llm.span_dedup import PACKED, packed, returned_codes, shared_keys, sliced_keys
 
-WORDS, PERCENT, ROUNDS = 5, 75, 4
+WORDS, PERCENT = 5, 75
+#: Sets of a list that one of another component meets in the round after the hubs, and how many times more in each one after.
+FEW, GROWTH = 8, 8
 BLOCK_BYTES = 8_000_000
 SEEDS = tuple(np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 STEP = np.uint64(0x2545F4914F6CDD1D)
@@ -210,32 +213,47 @@ def fits(a: str, b: str, percent: int) -> str:
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) AND {100 + percent} * least({r}, {q}) >= {percent} * ({n} + {m})"
 
 
+def with_hubs(open_: DataFrame, percent: int) -> DataFrame:
+    """Every set of a list with one of them: (doc, other.doc) that can be links."""
+    central = F.expr("16 * (n - rest) DIV n")  # few rarer elements of its own: close to most others
+    hubs = open_.groupBy("token").agg(F.min(F.struct(central.alias("c"), F.xxhash64("doc", F.lit(0)).alias("h"), "doc", "n", "rest", "component")).alias("other"))
+    return open_.join(hubs.hint("merge"), "token").where(f"component != other.component AND {fits('', 'other.', percent)}")
+
+
+def with_slots(open_: DataFrame, seed: int, each: int, percent: int) -> DataFrame:
+    """The sets of a list that are not in its largest component, each with one slot of the list: (doc, other.doc) that can be links.
+
+    A list is dealt into slots of about `each` sets, and a set takes another slot in each of its lists. A list of up to `each`
+    sets has one slot: all its pairs from different components are compared, because one of the two is always outside the largest.
+    """
+    by_component = open_.groupBy("token", "component").agg(F.count("*").alias("k"))
+    sizes = by_component.groupBy("token").agg(F.ceil(F.sum("k") / each).alias("slots"), F.max(F.struct("k", "component")).getField("component").alias("largest"))
+    listed = open_.join(sizes.hint("merge"), "token")
+    x = listed.where("component != largest").withColumn("slot", F.expr(f"pmod(xxhash64(doc, token, {seed}), slots)"))
+    y = listed.select("token", F.expr(f"pmod(xxhash64(doc, {seed}), slots)").alias("slot"), F.struct("doc", "n", "rest", "component").alias("other"))
+    once = "(slots > 1 OR other.component = largest OR doc < other.doc)"
+    return x.join(y.hint("merge"), ["token", "slot"]).where(f"component != other.component AND {once} AND {fits('', 'other.', percent)}")
+
+
 def links(rows: DataFrame, percent: int, report: list | None = None) -> DataFrame:
     """Links (a, b) between different sets, enough to connect whatever all links connect."""
     rows = rows.where("tokens IS NOT NULL")
     found = rows.select("set_id", "tokens", "p1", "p2").dropDuplicates(["set_id"])
     postings = stash(unpack(rows).distinct(), "postings")  # a set of several blocks comes from each
-    near = None
+    near, each, seed = None, 0, 0
     open_ = postings.withColumn("component", F.col("doc"))
-    for seed in range(ROUNDS):  # every set of a list with one of them, another one each time
-        central = F.expr("16 * (n - rest) DIV n")  # few rarer elements of its own: close to most others
-        by_seed = F.struct(central.alias("c"), F.xxhash64("doc", F.lit(seed)).alias("h"), "doc", "n", "rest", "component")
-        hubs = open_.groupBy("token").agg(F.min(by_seed).alias("hub"))
-        pairs = open_.join(hubs.hint("merge"), "token").where(f"component != hub.component AND {fits('', 'hub.', percent)}")
-        met = stash(verify(pairs.select(F.greatest("doc", "hub.doc").alias("a"), F.least("doc", "hub.doc").alias("b")).distinct(), found, percent, report), "links")
+    while True:
+        pairs = with_slots(open_, seed, each, percent) if each else with_hubs(open_, percent)
+        met = stash(verify(pairs.select(F.greatest("doc", "other.doc").alias("a"), F.least("doc", "other.doc").alias("b")).distinct(), found, percent, report), "links")
         joined = components(near.unionByName(met) if near else met)
         near = joined.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))  # one link a set says as much as all
         labelled = open_.drop("component").join(joined.withColumnRenamed("node", "doc").hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        several = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
+        lists = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
+        several = lists.where(f"x != y AND size > {each}").select("token")  # up to each sets: one slot, so all its pairs were compared
         open_ = stash(labelled.join(several.hint("merge"), "token", "left_semi"), "open_postings")
-        if open_.isEmpty():  # every list lies in one component
+        if open_.isEmpty():
             return near
-    left = Window.partitionBy("doc").orderBy(F.desc("rest"), "token").rowsBetween(Window.unboundedPreceding, -1)
-    open_ = open_.withColumn("before", F.collect_list("token").over(left))  # a prefix at most, so that a pair is met at its first element only
-    x, y = (open_.select("token", *[F.col(c).alias(side + c) for c in ("doc", "n", "rest", "component", "before")]) for side in ("a_", "b_"))
-    more = x.join(y.hint("merge"), "token").where(f"a_doc < b_doc AND a_component != b_component AND {fits('a_', 'b_', percent)} AND NOT arrays_overlap(a_before, b_before)")
-    more = more.select(F.col("a_doc").alias("a"), F.col("b_doc").alias("b")).distinct()
-    return near.unionByName(stash(verify(more, found, percent, report), "links"))
+        each, seed = each * GROWTH or FEW, seed + 1
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT, block_bytes: int = BLOCK_BYTES, report: list | None = None) -> DataFrame:

@@ -58,3 +58,21 @@ def test_edges(frame):
     assert jaccard_join.jaccard_components(frame([])).count() == 0
     rows = jaccard_join.jaccard_components(frame(["a b c d e f"] * 3, ids=[4, 4, None])).collect()
     assert sorted((r["component_id"] for r in rows), key=str) == [4, 4, 4]
+
+
+def test_pairs_of_a_group_of_near_copies_grow_with_its_size_and_not_its_square(frame):
+    rnd = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+
+    def copy(edits):
+        words = list(base)
+        for i in rnd.sample(range(120), edits):
+            words[i] = f"x{rnd.random()}"
+        return " ".join(words)
+
+    texts = [copy(edits) for edits in (1, 2, 3) for _ in range(200)]  # those of three are near few others, but all are connected
+    report: list = []
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(frame(texts), report=report).collect()}
+    assert got == brute(texts, list(range(len(texts))))
+    assert len({c for _, c in got.values()}) == 1
+    assert sum(before for before, _ in report) < 40 * len(texts), report
