@@ -141,3 +141,12 @@ def test_utf8_machine_on_bytes_that_are_not_utf8():
         parts.append(machine.end())
         assert b"".join(parts) == raw
         assert "".join(p.decode("utf-8", "replace") for p in parts) == raw.decode("utf-8", "replace")
+
+
+def test_texts_are_split_by_the_standard_library_as_by_regex():
+    import regex
+
+    whole, own = regex.compile(public_tokenizers.PATTERN).findall, bpe.splitter(public_tokenizers.PATTERN)
+    assert bpe.with_ranges(public_tokenizers.PATTERN) and bpe.with_ranges(r"\d+") is None
+    for text in [*texts(3000, 13), *("a" + chr(c) + "1 " + chr(c) * 2 + " \n" for c in range(0x110000) if c < 0x3400 or c % 97 == 0)]:
+        assert own(text) == whole(text), ascii(text)
