@@ -30,10 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from grainfold.llm.common import cache_share, documents, map_texts
 
-#: What the workers of one executor may remember together: a third for pieces, of the rest five eighths for states and three
-#: for pairs; the longest remembered piece; what a piece, a pair and a state take, besides their own bytes.
-CACHE_BYTES, PIECE_BYTES, PIECE_COST, PAIR_COST, STATE_COST = 1240 << 20, 64, 220, 160, 640
-BYTES = [bytes((i,)) for i in range(256)]
+#: What the workers of one executor may remember together: a third for pieces, of the rest three quarters for states and one
+#: for pairs; the longest remembered piece; what a piece, a pair and a transition with its state take, besides their own bytes.
+CACHE_BYTES, PIECE_BYTES, PIECE_COST, PAIR_COST, MOVE_COST = 1536 << 20, 64, 220, 160, 320
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -101,84 +100,66 @@ class Pairs:
         return -1, -2
 
 
-class State(dict):
-    """byte -> (next state, tokens emitted). final: the tokens still due at the end of the piece, once asked for."""
-
-    __slots__ = ("before", "pending", "lasts", "starts", "final")
-
-    def __init__(self, before: int, pending: bytes, lasts: list[int], starts: list[int]):
-        self.before, self.pending, self.lasts, self.starts, self.final = before, pending, lasts, starts, None
-
-
 class Transducer:
-    """lasts[q] is the last token of pending[:q] (-2: none, or it can't be reached any more) and starts[q] its place."""
+    """A state's live places, each as a node of the tree of tokens and the tokens that lead there, are flat in one tuple, the place
+    behind the last byte at its end. Nodes and states are numbered in steps of 256, so that a byte can be added to them."""
 
     def __init__(self, ranks: dict[bytes, int], cache_bytes: int = CACHE_BYTES // 4):
-        self.pairs, self.bound = Pairs(ranks, max(1, cache_bytes * 3 // 8 // PAIR_COST)), max(1, cache_bytes * 5 // 8 // STATE_COST)
-        self.heads = {t[:i] for t in ranks for i in range(1, len(t))}
+        self.pairs, self.bound = Pairs(ranks, max(1, cache_bytes // 4 // PAIR_COST)), max(1, cache_bytes * 3 // 4 // MOVE_COST)
+        heads = {t[:i] for t in ranks for i in range(1, len(t))}
+        nodes = {b"": 0} | {h: n << 8 for n, h in enumerate(heads, 1)}
+        self.below = {nodes[t[:-1]] | t[-1]: (ranks.get(t, -1), nodes.get(t, 0)) for t in heads | ranks.keys()}
         self.reset()
 
     def reset(self) -> None:
-        for s in getattr(self, "states", {}).values():  # states refer to each other in circles
-            s.clear()
-        self.states: dict[tuple[int, bytes], State] = {}
-        self.start = self.states[-1, b""] = State(-1, b"", [-1], [0])
-
-    def step(self, s: State, byte: int) -> tuple[State, list[int]]:
-        before, pending, heads, states = s.before, s.pending + BYTES[byte], self.heads, self.states
-        out: list[int] = []
-        found = states.get((before, pending))
-        if found is None:
-            start, token = self.pairs.last(pending, s.lasts, before)
-            lasts, starts = [*s.lasts, token], [*s.starts, start]
-            while pending and pending not in heads:
-                cut = end = len(pending)
-                while starts[cut]:
-                    cut = starts[cut]
-                for q in range(1, end):
-                    if q != cut and lasts[q] != -2 and pending[q:] in heads:
-                        at = q
-                        while starts[at]:
-                            at = starts[at]
-                        if at != cut:
-                            break
-                else:
-                    before = lasts[cut]
-                    out.append(before)
-                    pending = pending[cut:]
-                    if cut == end:
-                        lasts, starts = [before], [0]
-                    else:
-                        reach = {cut}
-                        for q in range(cut + 1, end + 1):
-                            if starts[q] in reach:
-                                reach.add(q)
-                        lasts = [before, *[lasts[q] if q in reach else -2 for q in range(cut + 1, end + 1)]]
-                        starts = [0, *[starts[q] - cut if q in reach else -1 for q in range(cut + 1, end + 1)]]
-                    continue
-                break
-            found = states.get((before, pending)) if out else None
-            if found is None:
-                found = states[before, pending] = State(before, pending, lasts, starts)
-        done = s[byte] = found, out
+        start = 0, (-1,)
+        self.places: list[tuple] = [start]
+        self.states: dict[tuple, int] = {start: 0}  # the start and those behind an emission; others have one way to them
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+
+    def step(self, s: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """The state behind one more byte and the tokens that are certain then: those that all live places begin with."""
+        get, fit, live, made = self.below.get, self.pairs.fit, [], None
+        pairs = iter(self.places[s >> 8])
+        for node, tokens in zip(pairs, pairs):
+            if found := get(node | byte):
+                token, node = found
+                if token >= 0 and made is None and fit(tokens[-1], token):
+                    made = *tokens, token
+                if node:
+                    live += node, tokens
+        live += 0, made
+        first = live[1]
+        same = len(first)
+        if same > 1:
+            for tokens in live[3::2]:
+                at = 1
+                while at < same and at < len(tokens) and tokens[at] == first[at]:
+                    at += 1
+                same = at
+        out, n = first[1:same], None
+        if out:
+            live[1::2] = [tokens[same - 1 :] for tokens in live[1::2]]
+        places = tuple(live)
+        if out:
+            n = self.states.get(places)
+        if n is None:
+            n = len(self.places) << 8
+            self.places.append(places)
+            if out:
+                self.states[places] = n
+        done = self.moves[s | byte] = n, out
         return done
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.bound:
+        if len(self.moves) > self.bound:
             self.reset()
-        s, out = self.start, []
+        moves, s, out = self.moves, 0, []
         for byte in piece:
-            done = s.get(byte) or self.step(s, byte)
-            s = done[0]
-            if done[1]:
-                out += done[1]
-        if s.final is None:
-            s.final, at = [], len(s.pending)
-            while at:
-                s.final.append(s.lasts[at])
-                at = s.starts[at]
-            s.final.reverse()
-        out += s.final
+            s, more = moves.get(s | byte) or self.step(s, byte)
+            if more:
+                out += more
+        out += self.places[s >> 8][-1][1:]
         return out
 
 
@@ -190,7 +171,7 @@ def encoder(path: str, pattern: str, cache_bytes: int) -> Encoder:
 
 @contextlib.contextmanager
 def uncollected():
-    """No search for circular garbage meanwhile: it would walk all states again and again, and reset() leaves none."""
+    """No search for circular garbage meanwhile: it would walk all states again and again, and they refer to none of their own."""
     was = gc.isenabled()
     gc.disable()
     try:
@@ -247,16 +228,22 @@ class Known(dict):
 
 
 class Encoder:
+    """Pieces are remembered in two halves: when the younger is full, the older is thrown away and the younger takes its place, so
+    that pieces asked for meanwhile stay."""
+
     def __init__(self, ranks: dict[bytes, int], pattern: str, cache_bytes: int = CACHE_BYTES // 4):
-        self.transducer, self.split, self.bound, self.held = Transducer(ranks, cache_bytes - cache_bytes // 3), splitter(pattern), cache_bytes // 3, 0
-        self.known = Known(self.piece)
+        self.transducer, self.split, self.bound, self.held = Transducer(ranks, cache_bytes - cache_bytes // 3), splitter(pattern), cache_bytes // 6, 0
+        self.known, self.older = Known(self.piece), {}
 
     def piece(self, word: str) -> tuple[int, ...]:
         raw = word.encode("utf-8", "surrogatepass")
-        ids = tuple(self.transducer.encode(raw))
+        ids = self.older.get(word)
+        if ids is None:
+            ids = tuple(self.transducer.encode(raw))
         if len(raw) <= PIECE_BYTES:
             self.held += PIECE_COST + len(raw)
             if self.held > self.bound:
+                self.older = dict(self.known)
                 self.known.clear()
                 self.held = PIECE_COST + len(raw)
             self.known[word] = ids

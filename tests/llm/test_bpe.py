@@ -150,3 +150,19 @@ def test_texts_are_split_by_the_standard_library_as_by_regex():
     assert bpe.with_ranges(public_tokenizers.PATTERN) and bpe.with_ranges(r"\d+") is None
     for text in [*texts(3000, 13), *("a" + chr(c) + "1 " + chr(c) * 2 + " \n" for c in range(0x110000) if c < 0x3400 or c % 97 == 0)]:
         assert own(text) == whole(text), ascii(text)
+
+
+def test_what_is_asked_for_again_stays_when_the_memory_is_full():
+    encoder, made = bpe.Encoder(RANKS, public_tokenizers.PATTERN, cache_bytes=60_000), []
+    encode = encoder.transducer.encode
+    encoder.transducer.encode = lambda raw: made.append(raw) or encode(raw)
+    for text in ("the " + "".join(p) for p in itertools.product("qzxjkv", repeat=4)):
+        assert encoder.encode(text) == LIBRARY.encode_ordinary(text)
+    assert made.count(b"the") == 1 and len(made) == 6**4 + 1
+
+
+def test_what_states_take_is_bounded():
+    machine = bpe.Transducer(RANKS, cache_bytes=400 * bpe.PAIR_COST)
+    for piece in map("".join, itertools.product(["th", "er", "ö", "ing", "q"], repeat=4)):
+        assert machine.encode(piece.encode()) == LIBRARY.encode_ordinary(piece)
+        assert len(machine.places) <= len(machine.moves) + 1 <= machine.bound + 21 and len(machine.pairs.known) <= 100
