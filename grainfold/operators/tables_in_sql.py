@@ -1,7 +1,7 @@
 """Chunkers as table functions, for texts of SQL: `SELECT * FROM fixed_chunks(TABLE(documents) PARTITION BY (doc_id), 128, 16)`.
 
 A table function gets its rows one after the other and holds the words of one document at a time. The chunkers of
-`chunking` do the same inside the JVM and are the way for large tables; these are for people who write SQL. Names are those
+`chunking` do the same batch by batch or inside the JVM and are the way for large tables; these are for people who write SQL. Names are those
 of the session in which register_table_functions() was called.
 """
 
@@ -19,9 +19,14 @@ from grainfold.session import ship_package
 CHUNKS = "doc_id bigint, chunk_no int, chunk_id string, text string"
 
 
-def windows(parts: list[str], size: int, overlap: int, glue: str) -> Iterator[str]:
+def starts(n: int, size: int, overlap: int) -> range:
+    """Where windows over n parts begin, up to the first that reaches the end; none for nothing."""
     step = checked_window(size, overlap)
-    for start in range(0, max(1, len(parts) - size + step), step) if parts else ():
+    return range(0, max(1, n - size + step) if n else 0, step)
+
+
+def windows(parts: list[str], size: int, overlap: int, glue: str) -> Iterator[str]:
+    for start in starts(len(parts), size, overlap):
         yield glue.join(parts[start : start + size])
 
 

@@ -64,7 +64,8 @@ class Pipeline:
         if documents is None and (corpus is None or not self.pooled):
             documents = examples.select("example_id", F.posexplode("documents").alias("pos", "text"))
         if not self.pooled:
-            own = documents.select(F.col("example_id").alias("corpus_id"), "pos", "text")
+            # a corpus is dealt to few tasks, so that its words are counted and its blocks filled there
+            own = documents.select(F.col("example_id").alias("corpus_id"), "pos", "text").repartitionByRange("corpus_id", "pos")
         else:
             given = corpus.select(F.struct("doc_id").alias("at"), "text") if corpus is not None else documents.select(F.struct("example_id", "pos").alias("at"), "text")
             first = given.groupBy("text").agg(F.min("at").alias("at"))  # each text once, where it is met first

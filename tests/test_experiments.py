@@ -326,6 +326,15 @@ def test_pooled_corpus_holds_each_text_once(spark):
     assert [(r["chunk_id"], r["text"]) for r in pipe.chunks(examples(spark), corpus).orderBy("doc_id").collect()] == [("0-0", "c"), ("1-0", "a"), ("2-0", "b")]
 
 
+def test_chunks_of_an_example_are_in_few_files(spark):
+    """Before, each file had chunks of every example, and each task counted words and filled blocks for all of them."""
+    pipe = experiment.Pipeline(config.configured(PLAIN))
+    own = spark.createDataFrame([(i % 40, i, f"oak w{i} elm fir yew ash") for i in range(4000)], "example_id bigint, pos bigint, text string").repartition(4)
+    chunks = pipe.chunks(own, documents=own)
+    files = chunks.select("corpus_id", F.input_file_name().alias("f")).distinct().groupBy("corpus_id").count()
+    assert chunks.count() == 8000 and files.agg(F.sum("count")).first()[0] < 60
+
+
 def test_validation_sweep_goes_on_where_it_stopped(spark, tmp_path):
     sentences = [[("0a", "One."), ("0b", "Two.")], [("1a", "Three."), ("1b", "Four.")]]
     rows = [(i, "Q?", sentences, [("a", "Yes.")], 0.5, 0.25, 0.5, i < 2) for i in range(3)]

@@ -3,9 +3,12 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from grainfold.functions import text as T
 from grainfold.operators import embedding, ranking, retrieval, word_scores
 
 
@@ -85,6 +88,67 @@ def test_words_and_pairs_of_documents_and_queries_are_not_shuffled(spark):
         assert [[d for d, _ in lists(found)[q]] for q in range(5)] == [[q, q + 7, q + 14, q + 21] for q in range(5)]
 
 
+def test_words_of_a_vocabulary_leave_their_bucket_as_sums(spark, monkeypatch):
+    """Before, a row of each word of each corpus was written and read three times."""
+    docs = spark.createDataFrame([(i % 2, i, f"elm w{i} v{i} x{i % 3}") for i in range(3000)], "corpus_id bigint, doc_id bigint, text string").repartition(3)
+    queries = spark.createDataFrame([(c, c, "ELM w7 w8 nothing") for c in range(2)], "corpus_id bigint, query_id bigint, query string")
+    rows, stash = {}, retrieval.stash
+    monkeypatch.setattr(retrieval, "stash", lambda df, name: rows.setdefault(name, stash(df, name)))
+    retrieval.bm25(queries, docs, 3)
+    assert rows["vocabulary"].count() <= 2 * (1 + 4 + 3 * word_scores.BUCKETS)  # the corpus, what it is asked for, three numbers of documents
+
+
+def test_counts_of_words_equal_brute_force():
+    rnd = random.Random(5)
+    rows = [(rnd.choice(["x", "y", None]), " ".join(rnd.choices(["elm", "oak", "\u00e9", "fir", "a" * 40, *(f"w{i}" for i in range(300))], k=rnd.randint(0, 30)))) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.string()), pa.array([t for _, t in rows], pa.string())], ["corpus_id", "text"])
+    corpus, corpora = word_scores.codes_of(pa.array(["x", "x", "y"]))
+    terms, none = pa.array(["elm", "nothing", "oak"]), np.zeros(3, np.int64)
+    asked = word_scores.packed(word_scores.hashes(terms, 8), corpora, corpus, terms, none, none, True)
+    parts = [word_scores.counted([batch.slice(a, 30), batch.slice(a + 30, 20)], word_scores.split_words, 8) for a in range(0, 200, 50)]
+    whole = pa.Table.from_batches([*parts, asked])
+    buckets = [whole.filter(pc.equal(whole["bucket"], b)) for b in range(8)]
+    found = [r for bucket in buckets if len(bucket) for r in word_scores.added_up(bucket).to_pylist()]
+    want = []
+    for c in ("x", "y", None):
+        texts = [t.split() for k, t in rows if k == c]
+        df = Counter(w for t in texts for w in set(t))
+        want.append((c, "documents", None, len(texts), sum(map(len, texts))))
+        want += [(c, "asked", w, df[w], 1) for w in {"x": ["elm"], "y": ["oak"]}.get(c, [])]
+        want += [(c, "terms", None, d, n) for d, n in Counter(df.values()).items()]
+    got = Counter()
+    for r in found:  # buckets add up
+        got[r["corpus_id"], r["kind"], r["term"], r["df"] if r["kind"] == "terms" else 0] += r["n"]
+    assert got == Counter({(c, k, w, d if k == "terms" else 0): n for c, k, w, d, n in want})
+    assert {(r["corpus_id"], r["kind"], r["term"], r["df"]) for r in found if r["kind"] != "terms"} == {(c, k, w, d) for c, k, w, d, _ in want if k != "terms"}
+
+
+def test_words_are_those_of_columns(spark):
+    edges = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (chr(c).isspace() or c < 256 or c % 997 == 0 or 0x2000 <= c < 0x2070)]
+    texts = [f"{c}a{c}{c} b{c}" for c in edges] + ["", " ", "x" * 5000, "one  two\n"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i bigint, t string")
+    want = [r["w"] for r in frame.select("i", T.words(F.col("t")).alias("w")).orderBy("i").collect()]
+    words, sizes = word_scores.split_words(pa.array(texts))
+    ends = np.cumsum(sizes)
+    assert [words.slice(e - n, n).to_pylist() for n, e in zip(sizes, ends, strict=True)] == want
+
+
+def test_scores_of_rare_and_common_terms_equal_the_product(monkeypatch):
+    monkeypatch.setattr(word_scores, "CELLS", 64)  # rare terms in many parts
+    rnd = np.random.default_rng(3)
+    full = np.where(rnd.random((40, 60)) < [[0.9]] * 5 + [[0.04]] * 35, rnd.normal(size=(40, 60)), 0.0)  # terms x queries
+    asked = pa.array([{"query_id": int(q), "term": f"t{t}", "weight": full[t, q]} for t, q in np.argwhere(full)])
+    made = word_scores.Weights(asked)
+    names, ids = made.terms.to_pylist(), made.queries.to_pylist()
+    share = np.where(rnd.random((25, len(names))) < 0.3, rnd.random((25, len(names))), 0.0)
+    doc, term = np.nonzero(share)
+    want = share @ full[[int(n[1:]) for n in names]][:, ids]
+    assert 0 < made.common < len(names) and np.allclose(made.scores(25, doc, term, share[doc, term]), want)
+    assert np.allclose(made.scores(25, doc[:0], term[:0], share[:0, 0]), 0)
+    for q in range(3):
+        assert (made.met(25, doc, term, q) == ((share > 0) @ (full[[int(n[1:]) for n in names]][:, ids[q]] != 0))).all()
+
+
 def test_best_of_leaves_out_what_is_no_hit():
     scores = np.array([[1.0, 3.0, 3.0, -np.inf], [-np.inf] * 4, [-1.0, -np.inf, 0.0, 0.0]])
     assert [x.tolist() for x in word_scores.best_of(scores, 3)] == [[0, 0, 0, 2, 2, 2], [1, 2, 0, 2, 3, 0]]
